@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glosswork.llm import bpe, langid, packing, pii, quality, simhash
+from glosswork.llm import bpe, imatch, langid, packing, pii, quality, sharding, simhash, vectors, warc
 from glosswork.llm.hashing import id_remainder
+from glosswork.llm.storage import new_folder
 
 ACCEPTED_SCORE = 0.3
 
@@ -30,6 +31,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    return warc.read_indexed(warc.archive(_table(spark, sf_dir, "pages"), folder), folder)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii_spans", lambda x: x["base"])
@@ -42,6 +48,19 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = imatch.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
+    return marked.select(
+        F.col("id").alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        imatch.fingerprint(F.col("parts")).alias("fingerprint"),
+        imatch.fingerprint(F.col("edited_parts")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("parts"), F.col("edited_parts")).alias("near_edited"),
+        imatch.likeness(F.col("parts"), F.col("next_parts")).alias("near_next"),
+    )
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = id_remainder("doc_id", 4) == 2
@@ -61,6 +80,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.document_shards(_table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return placed.select(
+        "doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     packed = packing.pack(pieces)
@@ -70,9 +102,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_warc": op3_warc,
     "op4_pii": op4_pii,
+    "op5_imatch": op5_imatch,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
+    "op8_sharding": op8_sharding,
+    "op9_vectors": op9_vectors,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
