@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glosswork.plans import spans  # noqa: F401
 from glosswork.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
