@@ -1,0 +1 @@
+"""Column functions over text: markup, tokens, coverage, guards."""

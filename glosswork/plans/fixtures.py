@@ -40,8 +40,8 @@ _VIEWS: dict[str, tuple[str, str | None]] = {
         "select cast(l_orderkey % n as bigint) as unit_id, l_linenumber as line_no, concat(l_returnflag,l_linestatus) as title, case when l_suppkey%4=0 then 'Quotation' else 'Commentary' end as category, concat('ref ',cast(l_orderkey as varchar),':',cast(l_partkey as varchar)) as source_ref, l_partkey as pos from lineitem cross join (select count(*) n from documents)",
     ),
     "fx_terms": (
-        "select unit_id, step_no, pos+1 as term_pos, term from (select unit_id, step_no, posexplode(slice(split(trim(text),' '),1,6)) as (pos,term) from fx_steps)",
-        "select unit_id, step_no, cast(generate_subscripts(l,1) as int) as term_pos, unnest(l) as term from (select unit_id, step_no, list_slice(string_split(trim(text),' '),1,6) as l from fx_steps)",
+        "select unit_id, step_no, pos+1 as term_pos, term from (select unit_id, step_no, posexplode(split(trim(text),' ')) as (pos,term) from fx_steps)",
+        "select unit_id, step_no, cast(generate_subscripts(l,1) as int) as term_pos, unnest(l) as term from (select unit_id, step_no, string_split(trim(text),' ') as l from fx_steps)",
     ),
     "fx_usage": (
         "select event_id as seq, user_id as run_id, event_type as pass, concat('model-',cast(user_id%3 as string),case when event_id%2=0 then '-2024' else '' end) as model, value as seconds, cast(event_id%900 as bigint) as input_tokens, cast(event_id%300 as bigint) as output_tokens, ts from events",
