@@ -88,8 +88,10 @@ def phrase_is_contaminated(translation: Column, source: Column) -> Column:
 
 def already_aligned(target: Column, phrase: Column, least: float = 0.7) -> Column:
     """Whether more than ``least`` of the target's tokens occur among the phrase's; nothing to find is not aligned."""
-    found = F.size(F.filter(target, lambda t: F.array_contains(phrase, t)))
-    return F.when(F.size(target) == 0, F.lit(False)).otherwise(found / F.size(target) > least)
+    missing = F.array_except(target, phrase)  # hashed and distinct, so the scan below is short
+    start = F.struct(F.lit(0).alias("n"), missing.alias("missing"))
+    lost = F.aggregate(target, start, lambda s, t: F.struct((s["n"] + F.array_contains(s["missing"], t).cast("int")).alias("n"), s["missing"].alias("missing")))["n"]
+    return F.when(F.size(target) == 0, F.lit(False)).otherwise((F.size(target) - lost) / F.size(target) > least)
 
 
 def truncate_ellipsis(text: Column, n: int = 1800) -> Column:

@@ -36,7 +36,7 @@ def proportional_slice(lines: DataFrame, translations: DataFrame) -> DataFrame:
     n = lines.withColumn("w", F.size(T.words("text")))
     n = n.withColumn("before", F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n = n.withColumn("total", F.sum("w").over(whole)).withColumn("n_lines", F.count(F.lit(1)).over(whole))
-    j = n.join(translations, "unit_id").withColumn("all", T.words(F.array_join("tr_lines", " ")))
+    j = n.join(translations.select("unit_id", "tr_lines", T.words(F.array_join("tr_lines", " ")).alias("all")), "unit_id")
     at = lambda c: F.floor(c.cast("double") / F.greatest("total", F.lit(1)).cast("double") * F.size("all")).cast("int")
     i0, i1 = at(F.col("before")), at(F.col("before") + F.col("w"))
     by_words = F.array_join(F.slice("all", i0 + 1, F.greatest(i1 - i0, F.lit(0))), " ")
@@ -50,7 +50,8 @@ def padded_slice(steps: DataFrame, units: DataFrame, head: int = 80, least_pad:
     """
     squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
     j = steps.select("unit_id", "step_no", squeeze("text").alias("s")).join(units.select("unit_id", squeeze("src").alias("u"), T.words("translation").alias("tr")), "unit_id")
-    at = F.expr(f"instr(u, substr(s, 1, {head}))")
+    j = j.withColumn("at", F.expr(f"instr(u, substr(s, 1, {head}))"))
+    at = F.col("at")
     i0 = F.floor((at - 1) / F.length("u") * F.size("tr")).cast("int")
     i1 = F.floor(F.least((at - 1 + F.length("s")) / F.length("u"), F.lit(1.0)) * F.size("tr")).cast("int")
     pad = F.greatest(F.lit(least_pad), i1 - i0)

@@ -148,8 +148,9 @@ def t12(spark, d):
 
 @query("t13_already_aligned", sql("""select unit_id, line_no, len(list_filter(t, lambda x: list_contains(p, x)))::double / len(t) > 0.7 as aligned from (select unit_id, line_no, string_split(text, ' ') as t, list_filter(string_split(text, ' '), lambda x, i: i % (2 + unit_id % 3) > 0) as p from fx_lines)"""))
 def t13(spark, d):
-    t = F.split("text", " ")
-    return fx(spark, d, "fx_lines").select("unit_id", "line_no", T.already_aligned(t, F.filter(t, lambda x, i: (i + 1) % (F.col("unit_id") % 3 + 2) > 0)).alias("aligned"))
+    lines = fx(spark, d, "fx_lines").withColumn("t", F.split("text", " "))
+    lines = lines.withColumn("p", F.filter("t", lambda x, i: (i + 1) % (F.col("unit_id") % 3 + 2) > 0))
+    return lines.select("unit_id", "line_no", T.already_aligned(F.col("t"), F.col("p")).alias("aligned"))
 
 
 @query("t14_truncate_ellipsis", sql("select doc_id, case when length(text) > 300 then concat(substr(text, 1, 300), '…') else text end as excerpt from documents"))
