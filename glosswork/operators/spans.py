@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BY_UNIT = Window.partitionBy("unit_id")
+
+def by_unit():
+    return Window.partitionBy("unit_id")
 
 
 def running_end(order, reach: Column, rn: str = "rn") -> Column:
@@ -18,8 +20,8 @@ def running_end(order, reach: Column, rn: str = "rn") -> Column:
 
 
 def _numbered(df: DataFrame, *order: str):
-    w = BY_UNIT.orderBy(*order)
-    return w, df.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(BY_UNIT))
+    w = by_unit().orderBy(*order)
+    return w, df.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(by_unit()))
 
 
 def repair_spans(spans: DataFrame, units: DataFrame, default_topic: str = "whole unit") -> DataFrame:
@@ -63,10 +65,10 @@ def localise_to_global(local: DataFrame, spans: DataFrame) -> DataFrame:
 
 def drop_consecutive_duplicates(ranges: DataFrame) -> DataFrame:
     """Drop rows whose range equals that of the row before; number again only the units where a row was dropped."""
-    w = BY_UNIT.orderBy("step_no")
+    w = by_unit().orderBy("step_no")
     before = F.lag(F.struct("first_line", "last_line")).over(w)
     marked = ranges.withColumn("dup", F.coalesce(before == F.struct("first_line", "last_line"), F.lit(False)))
-    kept = marked.withColumn("dropped", F.max("dup").over(BY_UNIT)).where("not dup")
+    kept = marked.withColumn("dropped", F.max("dup").over(by_unit())).where("not dup")
     number = F.when(F.col("dropped"), F.row_number().over(w)).otherwise(F.col("step_no"))
     return kept.select("unit_id", number.cast("int").alias("step_no"), "first_line", "last_line")
 
@@ -159,7 +161,7 @@ def locate_start_lines(steps: DataFrame, lines: DataFrame, head: int = 60, short
     ``short_head``, are searched in the unit's joined text; a needle shorter than ``least`` gives null.
     """
     squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
-    w = BY_UNIT.orderBy("line_no")
+    w = by_unit().orderBy("line_no")
     flat = lines.select("unit_id", "line_no", squeeze("text").alias("t"))
     starts = flat.withColumn("pos", (F.coalesce(F.sum(F.length("t")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).cast("int"))
     whole = flat.groupBy("unit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]), "").alias("whole"))
@@ -178,7 +180,7 @@ def proportional_bounds(spans: DataFrame, step_counts: DataFrame) -> DataFrame:
     size = spans.select("unit_id", "span_no", (F.col("end_line") - F.col("start_line") + 1).alias("size"))
     w, rows = _numbered(size.join(step_counts, "unit_id"), "span_no")
     acc = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("double")
-    total = F.sum("size").over(BY_UNIT).cast("double")
+    total = F.sum("size").over(by_unit()).cast("double")
     share = F.bround(acc / total * F.col("n_steps")).cast("int")
     rows = rows.withColumn("x", F.when(F.col("rn") == F.col("n"), F.col("n_steps")).otherwise(share))
     rows = rows.withColumn("last_step", running_end(w, F.col("x")))
@@ -190,7 +192,7 @@ def proportional_steps_floor(spans: DataFrame, step_counts: DataFrame) -> DataFr
     size = spans.select("unit_id", "span_no", (F.col("end_line") - F.col("start_line") + 1).alias("size"))
     w, rows = _numbered(size.join(step_counts, "unit_id"), "span_no")
     acc = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("double")
-    total = F.sum("size").over(BY_UNIT).cast("double")
+    total = F.sum("size").over(by_unit()).cast("double")
     start = F.floor((acc - F.col("size")) / total * F.col("n_steps"))
     end = F.when(F.col("rn") == F.col("n"), F.col("n_steps")).otherwise(F.floor(acc / total * F.col("n_steps")))
     return rows.select("unit_id", "span_no", start.cast("int").alias("from_step"), end.cast("int").alias("to_step"))
@@ -214,7 +216,7 @@ def span_sanity(spans: DataFrame, units: DataFrame) -> DataFrame:
     """One row for every fault of a span: starts after its end, starts before line 1, ends past the unit, and a gap or an
     overlap to the span after it.
     """
-    w = BY_UNIT.orderBy("start_line", "span_no")
+    w = by_unit().orderBy("start_line", "span_no")
     follow = spans.join(units.select("unit_id", "n_lines"), "unit_id").withColumn("next", F.lead("start_line").over(w))
     faults = [
         F.when(F.col("start_line") > F.col("end_line"), "reversed"),

@@ -113,7 +113,7 @@ def run_eta(runs: DataFrame, planned: int) -> DataFrame:
     real = F.count(F.when(~F.col("skipped"), 1)).over(w)
     e = runs.select("collection", "seq", i.alias("i"), elapsed.alias("elapsed"), worked.alias("worked"), real.alias("real"))
     left = F.lit(planned) - F.col("i")
-    return e.select("collection", "seq", "elapsed", F.round(F.col("elapsed") / F.col("i"), 4).alias("mean_all"), F.round(F.col("worked") / F.col("real"), 4).alias("mean_built"), F.floor(F.col("elapsed") / F.col("i") * left).alias("eta_all"))
+    return e.select("collection", "seq", "elapsed", (F.col("elapsed") / F.col("i")).alias("mean_all"), F.when(F.col("real") > 0, F.col("worked") / F.col("real")).alias("mean_built"), F.floor(F.col("elapsed") / F.col("i") * left).alias("eta_all"))
 
 
 def latest_status(runs: DataFrame) -> DataFrame:

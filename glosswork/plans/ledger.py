@@ -105,7 +105,7 @@ def runs(spark, d):
 
 
 @query("u4_run_eta", sql(f"""with {COLLECTED}, e as (select collection, seq, row_number() over w as i, cast(sum(hundredths) over w as bigint) as elapsed, cast(sum(case when not skipped then hundredths end) over w as bigint) as worked, count(case when not skipped then 1 end) over w as rl from runs window w as (partition by collection order by "at", seq rows between unbounded preceding and current row))
-select collection, seq, elapsed, round(elapsed::double / i, 4) as mean_all, round(worked::double / nullif(rl, 0), 4) as mean_built, cast(floor(elapsed::double / i * (3000 - i)) as bigint) as eta_all from e"""))
+select collection, seq, elapsed, elapsed::double / i as mean_all, worked::double / nullif(rl, 0) as mean_built, cast(floor(elapsed::double / i * (3000 - i)) as bigint) as eta_all from e"""))
 def u4(spark, d):
     hundredths = F.round(F.col("minutes") * 100).cast("bigint")  # whole numbers add up alike in any order
     return S.run_eta(runs(spark, d).withColumn("minutes", hundredths), 3000)
