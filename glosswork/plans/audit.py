@@ -116,7 +116,7 @@ def a10(spark, d):
     })
 
 
-TITLES = "t as (select conv_id as unit_id, case when conv_id % 5 = 0 and turn = 0 then 'x' else role end as title, turn from conversations where conv_id % 7 > 0)"
+TITLES = "t as (select conv_id as unit_id, case when conv_id % 5 = 0 and turn = 0 then 'x' else role end as title, turn from conversations)"
 
 
 @query("a11_structure_checks", sql(f"""with u as (select doc_id as unit_id, string_split(text, ' ')[1] as topic, string_split(text, chr(10))[1] as overview from documents), {TITLES},
@@ -124,7 +124,7 @@ g as (select unit_id, count(*) as steps, count(*) filter (length(title) < 3) as
 select unit_id, 'no_steps' as fault from j where steps = 0 union all select unit_id, 'short_topic' from j where length(topic) < 10 union all select unit_id, 'short_overview' from j where length(overview) < 30 union all select unit_id, 'short_titles' from j where short_titles > 0"""))
 def a11(spark, d):
     units = fx(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.split("text", " ")[0].alias("topic"), F.split("text", "\n")[0].alias("overview"))
-    steps = fx(spark, d, "conversations").where("conv_id % 7 > 0").selectExpr("conv_id as unit_id", "case when conv_id % 5 = 0 and turn = 0 then 'x' else role end as title")
+    steps = fx(spark, d, "conversations").selectExpr("conv_id as unit_id", "case when conv_id % 5 = 0 and turn = 0 then 'x' else role end as title")
     return A.structure_checks(units, steps)
 
 

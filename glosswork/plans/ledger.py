@@ -10,11 +10,11 @@ from glosswork.plans.registry import query
 
 PRICES = [("model-0", 1.0, 2.0), ("model-1", 3.0, 4.0), ("model-1-2024", 5.0, 6.0)]
 REF = "case o_orderkey % 5 when 0 then concat('Big Part ', o_custkey % 90, 'a') when 1 then concat(o_custkey % 90, 'b') when 2 then concat('Part', o_custkey, 'a') when 3 then concat('Small ', o_custkey % 70, 'c') else concat('Other Name ', o_custkey % 80, 'b') end"
-UNITS_SQL = "units as (select source as collection, cast(doc_id // 40 + 2 as int) as unit_no, case when doc_id % 2 = 0 then 'a' else 'b' end as side from documents where doc_id % 3 > 0)"
+UNITS_SQL = "units as (select source as collection, cast(doc_id // 40 + 2 as int) as unit_no, case when doc_id % 2 = 0 then 'a' else 'b' end as side, doc_id from documents)"
 
 
 def units(spark, d):
-    return fx(spark, d, "documents").where("doc_id % 3 > 0").selectExpr("source as collection", "cast(doc_id div 40 + 2 as int) as unit_no", "case when doc_id % 2 = 0 then 'a' else 'b' end as side")
+    return fx(spark, d, "documents").selectExpr("source as collection", "cast(doc_id div 40 + 2 as int) as unit_no", "case when doc_id % 2 = 0 then 'a' else 'b' end as side", "doc_id")
 
 
 @query("s12_parse_unit_ref", sql(f"select o_orderkey, coalesce(regexp_extract(ref, '^(?:(.*\\S)\\s+)?(\\d+)([ab])$', 1), '') as collection, cast(regexp_extract(ref, '^(?:(.*\\S)\\s+)?(\\d+)([ab])$', 2) as int) as unit_no, regexp_extract(ref, '^(?:(.*\\S)\\s+)?(\\d+)([ab])$', 3) as side from (select o_orderkey, {REF} as ref from orders) where regexp_matches(ref, '^(?:(.*\\S)\\s+)?(\\d+)([ab])$')"))
@@ -39,10 +39,10 @@ def c2(spark, d):
     return S.expected_spine(last)
 
 
-@query("c3_missing_units", sql(f"with {UNITS_SQL}, sp as (select collection, unnest(range(2, m + 1)) as unit_no from (select collection, max(unit_no) as m from units group by 1)), s2 as (select collection, cast(unit_no as int) as unit_no, unnest(['a', 'b']) as side from sp) select * from s2 where (collection, unit_no, side) not in (select (collection, unit_no, side) from units)"))
+@query("c3_missing_units", sql(f"with {UNITS_SQL}, sp as (select collection, unnest(range(2, m + 1)) as unit_no from (select collection, max(unit_no) as m from units group by 1)), s2 as (select collection, cast(unit_no as int) as unit_no, unnest(['a', 'b']) as side from sp) select * from s2 where (collection, unit_no, side) not in (select (collection, unit_no, side) from units where doc_id % 3 > 0)"))
 def c3(spark, d):
     u = units(spark, d)
-    return S.missing_units(S.expected_spine(u.groupBy("collection").agg(F.max("unit_no").alias("last_unit"))), u)
+    return S.missing_units(S.expected_spine(u.groupBy("collection").agg(F.max("unit_no").alias("last_unit"))), u.where("doc_id % 3 > 0"))
 
 
 @query("c4_windows_of", sql("select collection, window_no, unit_id, concat(min(unit_id) over w, '-', max(unit_id) over w) as label from fx_windows window w as (partition by collection, window_no)"))
@@ -69,7 +69,7 @@ def c7(spark, d):
     return S.filter_catalogue(fx(spark, d, "part"), "RE", ["p_name", "p_type"], "p_brand")
 
 
-@query("c8_availability", sql(f"with {UNITS_SQL}, s as (select distinct * from units) select collection, unit_no, string_agg(side, '' order by side) as sides from s group by 1, 2"))
+@query("c8_availability", sql(f"with {UNITS_SQL}, s as (select distinct collection, unit_no, side from units) select collection, unit_no, string_agg(side, '' order by side) as sides from s group by 1, 2"))
 def c8(spark, d):
     return S.availability(units(spark, d))
 
