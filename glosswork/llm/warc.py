@@ -22,6 +22,7 @@ DATE = b"2024-01-01T00:00:00Z"
 READ_BYTES = 1 << 20
 ARCHIVE_BYTES = 64 << 20
 SALTS = 32
+RECORDS_A_TASK = 2000
 
 _INDEX = "archive string, offset long, length long, record_type string, page_id long, refers_to long, payload_digest string"
 
@@ -182,7 +183,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
             for source in batch.column(0).to_pylist():
                 yield rewrite(source, store, root)
 
-    return archives.select("archive").repartition("archive").mapInArrow(run, _INDEX)
+    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(run, _INDEX)  # an archive a task
 
 
 def read_indexed(index: DataFrame, folder: str) -> DataFrame:
@@ -219,6 +220,7 @@ def read_indexed(index: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     records = index.where(F.col("record_type").isin("response", "revisit"))
+    records = records.repartition(1 + index.count() // RECORDS_A_TASK, "archive").sortWithinPartitions("archive", "offset")
     return records.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
