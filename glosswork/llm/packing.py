@@ -14,9 +14,11 @@ from tokenizers import Tokenizer
 
 from glosswork.llm.hashing import text_chunks
 from glosswork.llm.pretokens import split_words
-from glosswork.llm.ranking import ranked
+from glosswork.llm.ranking import numbered
 from glosswork.llm.storage import materialise
 
+Pattern = tuple[tuple[int, ...], int]  # the lengths in a sequence, and how many sequences have them
+
 END_ID = 2
 CAPACITY = 1024
 
@@ -83,18 +85,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     return thin.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Sequence patterns with their multiplicities for a histogram of lengths: [(lengths, times)].
+def _exact_fills(left: np.ndarray, capacity: int, terms: int, floor: int) -> list[Pattern]:
+    """Consume combinations that fill a sequence exactly from the availability counts ``left``.
 
-    Longest first, every length looks up its exact complement among single lengths, then pair sums, then triple
-    sums, and consumes as many fills as the availability counts allow; what is left over is packed best-fit
-    decreasing, also in bulk. The work depends on the number of distinct lengths (at most ``capacity``), not on the
-    number of pieces.
+    Longest first, every length above half the capacity looks up its complement among single lengths, then (up to
+    ``terms``) pair sums and triple sums of lengths from ``floor`` on, as often as the counts allow.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] += n
-    made: list[tuple[tuple[int, ...], int]] = []
+    made: list[Pattern] = []
 
     def use(*lengths: int) -> None:
         need: dict[int, int] = {}
@@ -107,28 +104,33 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             made.append((lengths, times))
 
     use(capacity)
-    for longest in range(capacity - 1, 0, -1):
+    for longest in range(capacity - 1, capacity // 2 - 1, -1):
         gap = capacity - longest
         if left[longest]:
             use(longest, gap)
-        if left[longest] and gap > 1:  # pairs a >= b of sum gap
-            b = np.arange(1, gap // 2 + 1)
-            for x in b[(left[b] > 0) & (left[gap - b] > 0)].tolist():
+        if left[longest] and terms > 1:  # pairs of sum gap, from equal ones on
+            b = np.arange(floor, gap // 2 + 1)
+            for x in b[(left[b] > 0) & (left[gap - b] > 0)][::-1].tolist():
                 use(longest, gap - x, x)
                 if not left[longest]:
                     break
-        if left[longest] and gap > 2:  # triples a >= b >= c of sum gap
-            for a in range(gap - 2, (gap + 2) // 3 - 1, -1):
+        if left[longest] and terms > 2:  # triples a >= b >= c of sum gap, from equal ones on
+            for a in range((gap + 2) // 3, gap - 2 * floor + 1):
                 if not left[longest]:
                     break
                 if not left[a]:
                     continue
                 rest = gap - a
-                c = np.arange(max(1, rest - a), rest // 2 + 1)
-                for x in c[(left[c] > 0) & (left[rest - c] > 0)].tolist():
+                c = np.arange(max(floor, rest - a), rest // 2 + 1)
+                for x in c[(left[c] > 0) & (left[rest - c] > 0)][::-1].tolist():
                     use(longest, a, rest - x, x)
                     if not left[longest] or not left[a]:
                         break
+    return made
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> list[Pattern]:
+    """Best-fit decreasing of what is left, in bulk: equal sequences are one group with a count."""
     open_gaps: list[int] = []  # sorted gaps that some open sequence has
     groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}
 
@@ -156,14 +158,32 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             put((length,) * each, n // each)
         if n % each:
             put((length,) * (n % each), 1)
-    return made + [x for gap in open_gaps for x in groups[gap]]
+    return [x for gap in open_gaps for x in groups[gap]]
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
+    """Sequence patterns with their multiplicities for a histogram of lengths: [(lengths, times)].
+
+    Exact complements are consumed first, then the residuals are packed best-fit. Consuming many short pieces early can
+    leave long ones without company, so the plan is made for single complements alone and for pairs and triples of all
+    or only of longer pieces, and the one with the fewest sequences is returned. The work depends on the number of
+    distinct lengths (at most ``capacity``), not on the number of pieces.
+    """
+    plans = []
+    for terms, floor in ((3, 1), (3, max(1, capacity * 15 // 100)), (3, max(1, capacity // 4)), (1, 1)):
+        left = np.zeros(capacity + 1, np.int64)
+        for length, n in counts.items():
+            left[length] += n
+        made = _exact_fills(left, capacity, terms, floor)
+        plans.append(made + _best_fit(left, capacity))
+    return min(plans, key=lambda p: sum(times for _, times in p))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to (id, piece, start, length, ids_crc32).
 
-    Only the histogram of lengths, at most ``capacity`` rows, reaches the driver. Every piece gets its rank among those
-    of its length by distributed ranking, and the plan maps ranges of ranks to sequences and offsets, so no task
+    Only the histogram of lengths, at most ``capacity`` rows, reaches the driver. Every piece gets its number among those
+    of its length without a shuffle, and the plan maps ranges of numbers to sequences and offsets, so no task
     sees more than its share. An empty table gives an empty table.
     """
     pieces = materialise(pieces, "pieces")
@@ -193,7 +213,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offset[rows] = at[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    order = [F.col("id").asc_nulls_first(), F.col("piece").asc(), F.col("ids_crc32").asc()]
-    placed = ranked(pieces, ["length"], order, "ranked-pieces")
+    placed = numbered(pieces, ["length"], "numbered-pieces")
     kind = dict(pieces.dtypes)["id"]
     return placed.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
