@@ -16,11 +16,23 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, rank
     partitions. Each partition numbers its own rows; the counts of whole partitions (one row per partition
     and group, so bounded by partitions plus groups) give the offsets. Ties get numbers in any order, each once.
     """
-    spark = df.sparkSession
     keys = [F.col(c).asc_nulls_first() for c in group] + list(order)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    placed = materialise(placed.withColumn("_at", F.monotonically_increasing_id()), name)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _counted(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys), group, name, rank)
+
+
+def numbered(df: DataFrame, group: list[str], name: str, rank: str = "rank", compression: str = "snappy") -> DataFrame:
+    """Add ``rank``: a number from 0 for every row of a group, each once, in no stated order.
+
+    As ``ranked``, but rows stay in their partitions, so nothing but the counts is shuffled.
+    """
+    return _counted(df.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in group]), group, name, rank, compression)
+
+
+def _counted(placed: DataFrame, group: list[str], name: str, rank: str, compression: str = "snappy") -> DataFrame:
+    """Ranks in partitions that are sorted by group, from a written table that fixes each row's place."""
+    columns = placed.columns
+    placed = materialise(placed.withColumn("_at", F.monotonically_increasing_id()), name, compression)
     placed = placed.withColumn("_part", F.shiftright("_at", _LOCAL_BITS)).withColumn(
         "_local", F.col("_at").bitwiseAND((1 << _LOCAL_BITS) - 1)
     )
@@ -36,4 +48,4 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, rank
     for i, c in enumerate(group):
         match = match & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     joined = placed.join(F.broadcast(offsets), match)  # at most partitions + groups rows
-    return joined.select(*df.columns, (F.col("_local") + F.col("_shift")).alias(rank))
+    return joined.select(*columns, (F.col("_local") + F.col("_shift")).alias(rank))

@@ -28,13 +28,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to a scratch table and return a DataFrame that reads it."""
-    return materialise_at(df, new_folder(df.sparkSession, name))
+    return materialise_at(df, new_folder(df.sparkSession, name), compression)
 
 
-def materialise_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def materialise_at(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
