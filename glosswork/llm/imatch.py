@@ -23,7 +23,7 @@ class IMatchParams:
 
     least_share: float = 0.001
     most_share: float = 0.05
-    bucket_bits: int = 20
+    bucket_bits: int = 18
     subsets: int = 32
     levels: int = 6
     enough: int = 24
@@ -35,11 +35,11 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(texts: DataFrame, params: IMatchParams = IMatchParams(), text_col: str = "text") -> list[int]:
-    """Which of the 2^bucket_bits term buckets lie in the band, as 64-bit masks.
+def lexicon(texts: DataFrame, params: IMatchParams = IMatchParams(), text_col: str = "text") -> DataFrame:
+    """One row (bits: array<long>): which of the 2^bucket_bits term buckets lie in the band, as 64-bit masks.
 
     Every distinct term of every text counts once in its bucket; counts are partially aggregated before the shuffle. The
-    result has 2^bucket_bits bits however large the corpus is, so it can become a literal of the plans that use it.
+    result has 2^bucket_bits bits however large the corpus is, so every task can hold it.
     """
     buckets = 1 << params.bucket_bits
     rows = texts.select(F.explode(F.array_distinct(F.transform(_terms(F.coalesce(F.col(text_col), F.lit(""))), lambda t: t.bitwiseAND(buckets - 1)))).alias("bucket"))
@@ -50,25 +50,26 @@ def lexicon(texts: DataFrame, params: IMatchParams = IMatchParams(), text_col: s
     bits = [0] * (buckets >> 6)
     for row in masks.collect():  # at most 2^bucket_bits / 64 rows
         bits[row["word"]] = row["mask"]
-    return bits
+    return materialise(texts.sparkSession.createDataFrame([(bits,)], "bits array<bigint>"), "imatch-lexicon")
 
 
-def with_parts(df: DataFrame, text_col: str, bits: list[int], out: str, params: IMatchParams = IMatchParams()) -> DataFrame:
+def with_parts(df: DataFrame, text_col: str, bits: DataFrame, out: str, params: IMatchParams = IMatchParams()) -> DataFrame:
     """Add ``out``: array<int>, for each level and subset a hash of the sorted distinct terms in it, 0 without terms.
 
     A text without a term in the band keeps all its terms; one without any term gets one more number, a hash of the text.
     """
     low = (1 << params.bucket_bits) - 1
-    in_band = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")  # folded to one literal array
+    in_band = bits.select("bits").scalar()  # one small array, read once for each query
     name = lambda step: f"_{out}_{step}"
     drawn = lambda t: F.shiftright(t, params.bucket_bits)
 
-    def known(t: Column) -> Column:
+    def known(t: Column, lexicon_bits: Column) -> Column:
         bucket = t.bitwiseAND(low)
-        return F.getbit(F.get(in_band, F.shiftright(bucket, 6).cast("int")), bucket.bitwiseAND(63).cast("int")) == 1
+        return F.getbit(F.get(lexicon_bits, F.shiftright(bucket, 6).cast("int")), bucket.bitwiseAND(63).cast("int")) == 1
 
-    df = df.withColumn(name("all"), _terms(F.col(text_col)))
-    df = df.withColumn(name("band"), F.filter(name("all"), known))
+    df = df.withColumn(name("all"), _terms(F.col(text_col))).withColumn(name("bits"), in_band)
+    pair = F.array(F.struct(F.col(name("all")).alias("terms"), F.col(name("bits")).alias("bits")))
+    df = df.withColumn(name("band"), F.transform(pair, lambda x: F.filter(x["terms"], lambda t: known(t, x["bits"])))[0])
     df = df.withColumn(name("terms"), F.array_sort(F.when(F.size(name("band")) > 0, F.col(name("band"))).otherwise(F.col(name("all")))))
     source = F.transform(F.sequence(F.lit(0), F.lit(params.subsets - 1)), lambda k: F.filter(F.col(name("terms")), lambda t: drawn(t).bitwiseAND(params.subsets - 1) == k))
     df = df.withColumn(name(0), source)
@@ -78,7 +79,7 @@ def with_parts(df: DataFrame, text_col: str, bits: list[int], out: str, params:
     hashed = [F.transform(name(level), lambda part: F.when(F.size(part) == 0, 0).otherwise((F.pmod(F.xxhash64(part), F.lit(65535)) + 1).cast("int"))) for level in range(params.levels)]
     whole = F.when(F.size(name("terms")) == 0, F.array(F.hash(F.col(text_col)))).otherwise(F.expr("cast(array() as array<int>)"))
     df = df.withColumn(out, F.concat(*hashed, whole))
-    return df.drop(name("all"), name("band"), name("terms"), *[name(level) for level in range(params.levels)])
+    return df.drop(name("all"), name("bits"), name("band"), name("terms"), *[name(level) for level in range(params.levels)])
 
 
 def _narrowed(parts: Column, wide: int, drawn) -> Column:
@@ -97,18 +98,19 @@ def likeness(a: Column, b: Column, params: IMatchParams = IMatchParams()) -> Col
     the level of the largest ones. Equal fingerprints give 1; texts without terms are like none but equal ones.
     """
 
-    def of(level: int) -> tuple[Column, Column]:
-        x, y = (F.slice(c, level * params.subsets + 1, params.subsets) for c in (a, b))
+    def level_sums(level: Column) -> Column:
+        x, y = (F.slice(c, level * params.subsets + 1, F.lit(params.subsets)) for c in (a, b))
         pairs = F.zip_with(x, y, lambda p, q: F.struct(((p != 0).cast("int") + (q != 0).cast("int")).alias("full"), F.when((p == q) & (p != 0), 2).otherwise(0).alias("same")))
-        sums = F.aggregate(pairs, F.struct(F.lit(0).alias("full"), F.lit(0).alias("same")), lambda s, p: F.struct((s["full"] + p["full"]).alias("full"), (s["same"] + p["same"]).alias("same")))
-        return sums["full"], sums["same"]
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("full"), F.lit(0).alias("same")), lambda s, p: F.struct((s["full"] + p["full"]).alias("full"), (s["same"] + p["same"]).alias("same")))
 
-    full, same = of(0)
-    result = F.when(full > 0, same / full).otherwise(0.0)
-    for level in range(1, params.levels):
-        full, same = of(level)
-        result = F.when(full >= params.enough, same / full).otherwise(result)
-    return F.when(a == b, 1.0).otherwise(result)
+    def choose(state: Column, x: Column) -> Column:
+        usable = (x["full"] >= params.enough) | ((state["level"] == 0) & (x["full"] > 0))
+        value = F.when(usable, x["same"] / x["full"]).otherwise(state["value"])
+        return F.struct((state["level"] + 1).alias("level"), value.alias("value"))
+
+    sums = F.transform(F.sequence(F.lit(0), F.lit(params.levels - 1)), level_sums)
+    chosen = F.aggregate(sums, F.struct(F.lit(0).alias("level"), F.lit(0.0).alias("value")), choose)["value"]
+    return F.when(a == b, 1.0).otherwise(chosen)
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
