@@ -237,6 +237,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     shared = rows.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = shared.select("sha1", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shared = materialise(shared, "warc-shared")  # its size is known then, and payloads are only shuffled if it is large
     refers = F.when(F.col("first") < F.col("page_id"), F.col("first"))
     return rows.join(shared, ["sha1", "salt"], "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
