@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from glosswork.llm.ranking import ranked
+from glosswork.llm.ranking import numbered
 from glosswork.llm.storage import new_folder
 
 Block = tuple[int, int]  # old shard, size class
@@ -103,20 +103,20 @@ def plan_moves(blocks: dict[Block, tuple[int, int]], shards: int) -> list[Move]:
     return moves
 
 
-def reshard(rows: DataFrame, shards: int, key: list[Column], folder: str | None = None) -> DataFrame:
+def reshard(rows: DataFrame, shards: int, folder: str | None = None, rows_per_file: int = 5_000) -> DataFrame:
     """Move rows of (old_shard: int, size: long, ...) to ``shards`` shards of equal row counts; adds shard and slot.
 
     A block is the rows of one old shard whose sizes have the same power of two, so there are at most old shards x 63.
-    Rows are laid out by block in a written table (the old files) and numbered there by distributed ranking; the flow
-    over the blocks' rows and bytes is solved on the driver; its moves, at most blocks + shards, map ranks to new
-    shards and gapless slots without another shuffle. Only shards that lose or gain rows are rewritten below
-    ``folder``; the others' rows are read where they are. ``key`` orders the rows of a block; ties fall either way.
-    Sizes must be positive. An empty table gives an empty one.
+    Rows are laid out by block in a written table (the old files) and numbered there by their place, without a shuffle;
+    the flow over the blocks' rows and bytes is solved on the driver; its moves, at most blocks + shards, map numbers to
+    new shards and gapless slots. Only shards that lose or gain rows are rewritten below ``folder``, in files of about
+    ``rows_per_file`` rows of mixed sizes; the others' rows are read where they are. Sizes must be positive. An empty
+    table gives an empty one.
     """
     spark = rows.sparkSession
     columns = [c for c in rows.columns if c not in ("shard", "slot", "size_class")]
     classed = rows.select(*columns, F.floor(F.log2("size")).cast("int").alias("size_class"))
-    old = ranked(classed, ["old_shard", "size_class"], key, "old-shards", rank="block_rank")
+    old = numbered(classed, ["old_shard", "size_class"], "old-shards", rank="block_rank", compression="zstd")
     sums = old.groupBy("old_shard", "size_class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
     moves = plan_moves({(r["old_shard"], r["size_class"]): (r["n"], r["bytes"]) for r in sums}, shards)
     filled, table = dict.fromkeys(range(shards), 0), []
@@ -130,7 +130,9 @@ def reshard(rows: DataFrame, shards: int, key: list[Column], folder: str | None
     placed = placed.select(*columns, "shard", (F.col("block_rank") + F.col("shift")).alias("slot"))
     changed = sorted({x for m in moves if m.shard != m.block[0] for x in (m.shard, m.block[0])} & set(range(shards)))
     folder = folder or new_folder(spark, "shards")
-    placed.where(F.col("shard").isin(changed)).write.partitionBy("shard").parquet(folder)
+    files = F.lit(1 + sum(filled.values()) // (shards * rows_per_file))
+    moving = placed.where(F.col("shard").isin(changed))
+    moving.repartition("shard", F.pmod("slot", files)).write.partitionBy("shard").parquet(folder, compression="zstd")
     rewritten = spark.read.schema(placed.schema).parquet(folder).select(placed.columns)
     return rewritten.union(placed.where(~F.col("shard").isin(changed)))
 
@@ -148,5 +150,4 @@ def document_shards(docs: DataFrame, old_shards: int = 16, shards: int = 24) ->
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.pmod(F.xxhash64("source"), F.lit(old_shards)).cast("int").alias("old_shard"),
     )
-    key = [F.col("size").asc(), F.col("doc_id").asc_nulls_first()]
-    return reshard(rows, shards, key).drop("old_shard")
+    return reshard(rows, shards).drop("old_shard")
