@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 class Kind:
     """How spans of one kind are found and scored.
 
-    ``pattern`` is possessive and anchored to the start of a run of its first characters (or to the end of the match
+    ``pattern`` is possessive (but for account numbers, whose repeats are bounded) and anchored to the start of a run of its first characters (or to the end of the match
     before), which finds the same leftmost matches as the plain form in linear time and constant stack.
     ``needs`` is a cheap test that a text without matches fails.
     """
@@ -27,13 +27,24 @@ class Kind:
     words: str
 
 
+# Characters of an account number by country, from the IBAN registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(x.replace(" ", "|") for x in IBAN_LENGTHS.values())
+_BY_COUNTRY = "|".join(rf"(?:{x.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, x in IBAN_LENGTHS.items())
+_OTHERS = rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20(?:{_LISTED})[0-9]{{2}})\x20?[A-Z0-9]){{11,30}}"
+
 # The patterns of the base kinds, their limits and their order.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", True, 0.8, "mail|contact|write|adresse|correo"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]\\.[0-9]", True, 0.6, "ip|host|server|address|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", True, 0.7, "card|visa|mastercard|credit|carte|tarjeta|karte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]", True, 0.6, "phone|tel|call|mobile|fax"),
-    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", False, 0.6, "iban|account|bank|konto|compte|cuenta"),
+    Kind("iban", rf"(?<![A-Z0-9])(?:{_BY_COUNTRY}|{_OTHERS})(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", False, 0.6, "iban|account|bank|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]", False, 0.35, "ssn|social security|tax id|insurance"),
 )
 CONTEXT_CHARS = 40
@@ -77,10 +88,25 @@ def _confirmed(kind: str, match: Column) -> Column:
     if kind == "phone":
         return F.length(F.regexp_replace(match, "[^0-9]", "")).between(10, 15)
     if kind == "iban":
-        code = F.regexp_replace(match, r"\x20", "")
+        return _iban_length(match) > 0
+    return F.lit(True)
+
+
+def _iban_length(match: Column) -> Column:
+    """How much of a match is an account number: all or nothing where the country's length is known, else up to the
+    last end of a word at which mod 97 holds; 0 if nowhere."""
+
+    def confirmed(n: Column) -> Column:
+        code = F.regexp_replace(F.substring(match, F.lit(1), n), r"\x20", "")
         right_size = F.length(code).between(15, 34)
         return F.when(right_size, _mod97(F.when(right_size, code).otherwise("GB00")) == 1).otherwise(False)
-    return F.lit(True)
+
+    whole = F.length(match)
+    listed = F.substring(match, 1, 2).isin(_LISTED.split("|"))
+    ends = F.when(listed, F.array(whole)).otherwise(
+        F.filter(F.sequence(F.lit(15), whole), lambda n: (n == whole) | (F.substring(match, n + 1, F.lit(1)) == " "))
+    )
+    return F.coalesce(F.array_max(F.filter(ends, confirmed)), F.lit(0))
 
 
 def _gaps(text: Column, kind: Kind) -> Column:
@@ -130,7 +156,8 @@ def _spans_of(kind: Kind, rank: int, text: Column, blocks: Column, shifts: Colum
 
     def placed(block: Column, shift: Column) -> Column:
         good = F.filter(block["out"], lambda x: _confirmed(kind.name, x["match"]))
-        return F.transform(good, lambda x: F.struct((x["start"] + shift).alias("start"), (x["stop"] + shift).alias("stop")))
+        stop = lambda x: x["start"] + _iban_length(x["match"]) if kind.name == "iban" else x["stop"]
+        return F.transform(good, lambda x: F.struct((x["start"] + shift).alias("start"), (stop(x) + shift).alias("stop")))
 
     spans = F.flatten(F.zip_with(blocks, shifts, placed))
     return F.filter(F.transform(spans, scored), lambda x: x["base"] | (x["score"] >= THRESHOLD))
@@ -140,7 +167,9 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add pii_spans: array<struct<start, rank, kind, stop, score, base>>, by start, then kind as listed.
 
     A regular expression proposes a kind's leftmost non-overlapping matches; a match that fails its limits or its
-    checksum (Luhn for cards, mod 97 for account numbers) is dropped without another try. The score is the
+    checksum (Luhn for cards, mod 97 for account numbers) is dropped without another try. An account number has its
+    country's length, so that it ends before a word or number that follows; of countries without a known length, mod 97
+    chooses the last word that belongs to it. The score is the
     kind's prior, more if a checksum confirmed it and if a context word stands within the 40 code points before;
     base kinds always stay, the others from a score of 0.5 on. Null and empty texts have no spans. Offsets are code
     points, stop exclusive. Other columns pass; one named pii_spans is replaced.

@@ -323,6 +323,30 @@ def test_checksums_and_context(spark):
     assert got == {0: "iban:5:32", 1: "", 2: "ssn:4:15", 3: "", 4: "", 5: ""}
 
 
+def test_account_numbers_end_before_what_follows(spark):
+    def check_digits(country, rest):
+        return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
+
+    german, long = "DE89370400440532013000", "XX" + check_digits("XX", "12345678ABCDEF") + "12345678ABCDEF"
+    spans = lambda *found: ",".join(f"iban:{a}:{b}" for a, b in found)
+    cases = {
+        f"IBAN {german} Please": spans((5, 27)),
+        "IBAN DE89 3704 0044 0532 0130 00 Bitte zahlen": spans((5, 32)),
+        f"IBAN {german} 2024": spans((5, 27)),
+        f"IBAN {german} EUR 5": spans((5, 27)),
+        f"IBAN {german} GB82 WEST 1234 5698 7654 32 Or": spans((5, 27), (28, 55)),
+        f"REF AB12 {german} A": spans((9, 31)),
+        f"IBAN {german}x": "",
+        f"IBAN {german[:-1]} Please": "",
+        f"IBAN {long} Please": spans((5, 23)),  # no known length: the checksum chooses the end
+        f"IBAN {long} 2024 EUR": spans((5, 23)),
+    }
+    got = {r["doc_id"]: r for r in pii.find_spans(documents(spark, list(cases))).select("doc_id", F.filter("pii_spans", lambda x: x["kind"] == "iban").alias("s")).collect()}
+    assert [spans(*((x["start"], x["stop"]) for x in got[i]["s"])) for i in range(len(cases))] == list(cases.values())
+    text = pii.redact(documents(spark, [f"IBAN {german} Please"])).first()["text"]
+    assert text == "IBAN <iban> Please"
+
+
 def test_redaction(spark):
     df = documents(spark, ["🙂 mail me@x.org now", "plain", None, "+1 (212) 555-0123"])
     got = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
