@@ -51,8 +51,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = imatch.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
-    thin = marked.select("id", F.length("text").cast("long").alias("n_chars"), digest, "parts", "edited_parts", "next_parts")
-    thin = materialise(thin, "imatch-parts")  # else a filter on what follows would be pushed into the hashing
+    thin = marked.select("id", "h", F.length("text").cast("long").alias("n_chars"), digest, "parts", "edited_parts", "next_id", "next_h")
+    thin = imatch.with_next_parts(materialise(thin, "imatch-parts"))
     return thin.select(
         F.col("id").alias("doc_id"),
         "n_chars",
