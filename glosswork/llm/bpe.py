@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from glosswork.llm.hashing import text_chunks
-from glosswork.llm.pretokens import split_words
+from glosswork.llm.pretokens import PieceMemory
 
 # Every token position is a row. A round joins each word's adjacent pairs with the merge table, finds the pair of
 # least rank (the leftmost of equals), puts the merged token in its first place and drops its second; words
@@ -47,12 +48,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class DuckBpe:
-    """The merge table and the vocabulary in an in-memory DuckDB, with what has been encoded so far.
-
-    The words that were encoded are remembered up to ``most_words``; then the memory starts afresh.
-    """
-
-    most_words = 500_000
+    """The merge table and the vocabulary in an in-memory DuckDB, with what has been encoded so far."""
 
     def __init__(self, path: str):
         ranks = read_ranks(path)
@@ -69,8 +65,7 @@ class DuckBpe:
         self.con.execute("SET memory_limit = '400MB'")
         self._load("merges", pa.table({"first": first, "second": second, "merged": merged}))
         self._load("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes_hex": [t.hex() for t in ranks]}))
-        self.ids_of: dict[str, bytes] = {}
-        self.bytes_of: dict[bytes, bytes] = {}
+        self.memory = PieceMemory(self.ids_and_bytes, ["<u4", "u1"])
 
     def _load(self, name: str, table: pa.Table) -> None:
         self.con.register("loading", table)
@@ -100,27 +95,17 @@ class DuckBpe:
             raise ValueError("an id is not in the vocabulary")
         return decoded["decoded"].to_pylist()
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode the words of these texts that are not remembered yet, and decode their ids again."""
-        new = set().union(*texts) - self.ids_of.keys()
-        if not new:
-            return
-        if len(self.ids_of) + len(new) > self.most_words:
-            self.ids_of, self.bytes_of = {}, {}
-            new = set().union(*texts)
-        words = sorted(new)
+    def ids_and_bytes(self, words: list[str]) -> list[list[bytes]]:
+        """The ids of each word as little-endian numbers, and the bytes that these ids decode to."""
+        ids, back = [], []
         for at in range(0, len(words), 100_000):
             part = words[at : at + 100_000]
             rows = self.encode([w.encode("utf-8", "surrogatepass") for w in part])
-            decoded = self.decode(rows)
+            back += self.decode(rows)
             packed = rows["tok"].to_numpy().astype("<u4").tobytes()
-            ends = 4 * np.cumsum(np.bincount(rows["w"].to_numpy(), minlength=len(part)))
-            start = 0
-            for word, end, back in zip(part, ends.tolist(), decoded, strict=True):
-                ids = packed[start:end]
-                self.ids_of[word] = ids
-                self.bytes_of[ids] = back
-                start = end
+            ends = [0, *(4 * np.cumsum(np.bincount(rows["w"].to_numpy(), minlength=len(part)))).tolist()]
+            ids += [packed[a:b] for a, b in pairwise(ends)]
+        return [ids, back]
 
 
 _ENGINES: dict[str, DuckBpe] = {}
@@ -137,7 +122,7 @@ def encode_documents(docs: DataFrame, rank_path: str, id_col: str = "doc_id", te
     """(id, ids, n_tokens, ids_sha256, decoded_sha256) of every row's whole text; ``ids`` is null without ``with_ids``.
 
     Each match of the public pattern is encoded on its own, without special tokens. A null text is empty: no ids and
-    the digests of nothing. Texts are handled in chunks of about a million characters; the distinct words of a
+    the digests of nothing. Texts are handled in chunks of about four million characters; the distinct words of a
     chunk that the worker has not met yet become one recursive query, and decoding joins the ids with the
     vocabulary again. Repeated rows stay; other columns are not read. ``rank_path`` must exist on every worker. A
     word of n bytes takes up to n rounds over n rows, so a single unbroken word of 100,000 bytes is slow.
@@ -149,16 +134,12 @@ def encode_documents(docs: DataFrame, rank_path: str, id_col: str = "doc_id", te
         bpe = engine(rank_path)
         for batch in batches:
             ids, n, encoded, decoded = [], [], [], []
-            for texts in text_chunks(batch.column(1)):
-                split = [split_words(t) for t in texts]
-                bpe.learn(split)
-                for words in split:
-                    parts = [bpe.ids_of[w] for w in words]
-                    packed = b"".join(parts)
+            for texts in text_chunks(batch.column(1), 1 << 22):
+                for packed, back in bpe.memory.join(texts):
                     n.append(len(packed) // 4)
                     ids.append(np.frombuffer(packed, "<u4").astype(np.int32) if with_ids else None)
                     encoded.append(hashlib.sha256(packed).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([bpe.bytes_of[p] for p in parts])).hexdigest())
+                    decoded.append(hashlib.sha256(back).hexdigest())
             columns = [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -21,14 +21,14 @@ def hash_unit(id_col: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def text_chunks(column: pa.Array) -> Iterator[list[str]]:
-    """The column's texts in order, null as empty, in lists of about ``CHUNK_CHARS`` characters (one text at least)."""
+def text_chunks(column: pa.Array, most_chars: int = CHUNK_CHARS) -> Iterator[list[str]]:
+    """The column's texts in order, null as empty, in lists of about ``most_chars`` characters (one text at least)."""
     chunk, size = [], 0
     for value in column:
         text = value.as_py() or ""
         chunk.append(text)
         size += len(text)
-        if size >= CHUNK_CHARS:
+        if size >= most_chars:
             yield chunk
             chunk, size = [], 0
     if chunk:

@@ -6,6 +6,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from glosswork.llm.hashing import text_chunks
-from glosswork.llm.pretokens import split_words
-from glosswork.llm.ranking import numbered
+from glosswork.llm.pretokens import PieceMemory
+from glosswork.llm.ranking import ranked
 from glosswork.llm.storage import materialise
 
 Pattern = tuple[tuple[int, ...], int]  # the lengths in a sequence, and how many sequences have them
@@ -23,37 +24,48 @@ END_ID = 2
 CAPACITY = 1024
 
 
-class WordIds:
-    """Ids of each word as little-endian bytes; forgets all once it holds ``most`` of them."""
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one from 256 on, in order."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(hidden)}
 
-    most = 600_000
+
+class TextIds:
+    """Ids of texts as little-endian bytes, by the tokenizer's ids of their words.
+
+    Words, which are split already, go to the tokenizer's model in its byte letters. A text that holds one of the
+    tokenizer's added tokens goes to the tokenizer as a whole, which gives that token its id.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.ids: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = byte_letters()
+        self.memory = PieceMemory(self._of_words, ["<u4"])
+
+    def _of_words(self, words: list[str]) -> list[list[bytes]]:
+        model, letters, ids, ends = self.tokenizer.model, self.letters, [], [0]
+        for word in words:
+            ids += [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]
+            ends.append(4 * len(ids))
+        packed = np.array(ids, "<u4").tobytes()
+        return [[packed[a:b] for a, b in pairwise(ends)]]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [split_words(t) for t in texts]
-        new = set().union(*split) - self.ids.keys()
-        if len(self.ids) + len(new) > self.most:
-            self.ids = {}
-            new = set().union(*split)
-        words = list(new)
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.ids[word] = np.array(found.ids, "<u4").tobytes()
-        for parts in split:
-            yield b"".join([self.ids[w] for w in parts])
+        whole = [any(a in t for a in self.added) for t in texts]
+        for text, w, (joined,) in zip(texts, whole, self.memory.join(["" if w else t for t, w in zip(texts, whole, strict=True)]), strict=True):
+            yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if w else joined
 
 
-_WORD_IDS: dict[str, WordIds] = {}
+_TEXT_IDS: dict[str, TextIds] = {}
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, ids_crc32): every row's whole text as pieces of at most ``capacity`` ids.
 
-    The ids are the tokenizer's without special tokens, then END_ID; null texts are empty and give END_ID alone. Only
+    The ids are those of the tokenizer's plain call without special tokens, then END_ID; null texts are empty and give END_ID alone. Only
     longer documents are cut: into pieces of ``capacity``, but for the first, which takes what is left over.
     """
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -61,13 +73,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORD_IDS.setdefault(tokenizer_path, None) or WordIds(tokenizer_path)
-        _WORD_IDS[tokenizer_path] = words
+        if tokenizer_path not in _TEXT_IDS:
+            _TEXT_IDS[tokenizer_path] = TextIds(tokenizer_path)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             at = 0
-            for texts in text_chunks(batch.column(1)):
-                for packed in words.encode(texts):
+            for texts in text_chunks(batch.column(1), 1 << 22):
+                for packed in _TEXT_IDS[tokenizer_path].encode(texts):
                     packed += end
                     total = len(packed) // 4
                     a, b, k = 0, (total - 1) % capacity + 1, 0
@@ -85,10 +97,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     return thin.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _exact_fills(left: np.ndarray, capacity: int, terms: int, floor: int) -> list[Pattern]:
+def _exact_fills(left: np.ndarray, capacity: int, terms: int, floor: int, shortest: int) -> list[Pattern]:
     """Consume combinations that fill a sequence exactly from the availability counts ``left``.
 
-    Longest first, every length above half the capacity looks up its complement among single lengths, then (up to
+    Longest first, every length from ``shortest`` on looks up its complement among single lengths, then (up to
     ``terms``) pair sums and triple sums of lengths from ``floor`` on, as often as the counts allow.
     """
     made: list[Pattern] = []
@@ -104,7 +116,7 @@ def _exact_fills(left: np.ndarray, capacity: int, terms: int, floor: int) -> lis
             made.append((lengths, times))
 
     use(capacity)
-    for longest in range(capacity - 1, capacity // 2 - 1, -1):
+    for longest in range(capacity - 1, max(shortest, 1) - 1, -1):
         gap = capacity - longest
         if left[longest]:
             use(longest, gap)
@@ -166,15 +178,17 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
 
     Exact complements are consumed first, then the residuals are packed best-fit. Consuming many short pieces early can
     leave long ones without company, so the plan is made for single complements alone and for pairs and triples of all
-    or only of longer pieces, and the one with the fewest sequences is returned. The work depends on the number of
+    or only of longer pieces, for lengths from half the capacity on and from a quarter on (four pieces that fill a
+    sequence have one so long), and the one with the fewest sequences is returned. The work depends on the number of
     distinct lengths (at most ``capacity``), not on the number of pieces.
     """
     plans = []
-    for terms, floor in ((3, 1), (3, max(1, capacity * 15 // 100)), (3, max(1, capacity // 4)), (1, 1)):
+    half, quarter = capacity // 2, -(-capacity // 4)
+    for terms, floor, shortest in ((3, 1, half), (3, max(1, capacity * 15 // 100), half), (3, max(1, capacity // 4), half), (1, 1, half), (3, 1, quarter)):
         left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             left[length] += n
-        made = _exact_fills(left, capacity, terms, floor)
+        made = _exact_fills(left, capacity, terms, floor, shortest)
         plans.append(made + _best_fit(left, capacity))
     return min(plans, key=lambda p: sum(times for _, times in p))
 
@@ -183,7 +197,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to (id, piece, start, length, ids_crc32).
 
     Only the histogram of lengths, at most ``capacity`` rows, reaches the driver. Every piece gets its number among those
-    of its length without a shuffle, and the plan maps ranges of numbers to sequences and offsets, so no task
+    of its length in range partitions of these narrow rows, and the plan maps ranges of numbers to sequences and offsets, so no task
     sees more than its share. An empty table gives an empty table.
     """
     pieces = materialise(pieces, "pieces")
@@ -213,6 +227,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offset[rows] = at[k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    placed = numbered(pieces, ["length"], "numbered-pieces")
+    placed = ranked(pieces, ["length"], [F.xxhash64("id", "piece", "start", "ids_crc32")], "ranked-pieces")
     kind = dict(pieces.dtypes)["id"]
     return placed.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

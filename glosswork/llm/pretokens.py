@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # What \p{L}, \p{N} and \s of the public pattern match among the first 256 code points.
@@ -20,6 +24,7 @@ _latin = re.compile(
     .replace(r"\s", f"[{LATIN_SPACES}]")
 )
 _any = regex.compile(public_tokenizers.PATTERN)
+_space_run = re.compile(r" \s")
 
 
 def split_words(text: str) -> list[str]:
@@ -29,3 +34,67 @@ def split_words(text: str) -> list[str]:
     except UnicodeEncodeError:
         return _any.findall(text)
     return _latin.findall(text)
+
+
+def _heads_and_rests(texts: list[str]) -> tuple[list[list[str]], list[str | None]]:
+    """The words of each text up to its first space, and what follows that space (None: nothing).
+
+    A match of the pattern always ends before a space, unless white space follows that space; so the words of the rest
+    are those of each of its pieces between spaces, with the space before it. A text with a space before white space is
+    all head.
+    """
+    heads, rests = [], []
+    for text in texts:
+        start, gap, rest = (text, "", None) if _space_run.search(text) else text.partition(" ")
+        heads.append(split_words(start))
+        rests.append(rest if gap else None)
+    return heads, rests
+
+
+class PieceMemory:
+    """Numbers made of words, put together text by text.
+
+    ``encode`` gives for a list of new words, for each of ``kinds`` (a numpy dtype), their numbers as bytes. What was made
+    of words and of pieces between spaces is remembered, and forgotten once there are more than ``most``, so memory is
+    bounded; results do not depend on it.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[bytes]]], kinds: list[str], most: int = 600_000):
+        self.encode, self.kinds, self.most = encode, kinds, most
+        self.of_word: dict[str, tuple[bytes, ...]] = {}
+        self.of_piece: dict[str, tuple[bytes, ...]] = {}
+
+    def _known(self, heads: list[list[str]], pieces: list[str]) -> list[tuple[bytes, ...]]:
+        """What each piece became, after the words of these heads and pieces have been learned."""
+        if len(self.of_piece) > self.most or len(self.of_word) > self.most:
+            self.of_word, self.of_piece = {}, {}
+        known = [self.of_piece.get(p) for p in pieces]
+        new = [i for i, k in enumerate(known) if k is None]
+        inside = [[" " + p] if p.isascii() and p.isalpha() else split_words(" " + p) for p in (pieces[i] for i in new)]
+        words = [w for w in set().union(*heads, *inside) if w not in self.of_word]
+        if words:
+            self.of_word.update(zip(words, zip(*self.encode(words), strict=True), strict=True))
+        for i, parts in zip(new, inside, strict=True):
+            found = [self.of_word[w] for w in parts]
+            known[i] = self.of_piece[pieces[i]] = found[0] if len(found) == 1 else tuple(map(b"".join, zip(*found, strict=True)))
+        return known
+
+    def join(self, texts: list[str]) -> Iterator[tuple[bytes, ...]]:
+        """For each text, the numbers of all its words in order, of each kind."""
+        heads, rests = _heads_and_rests(texts)
+        lists = pc.split_pattern(pa.array(rests, pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        known, codes = self._known(heads, coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+        made = []
+        for kind, dtype in enumerate(self.kinds):
+            size = np.dtype(dtype).itemsize
+            lengths = np.fromiter((len(k[kind]) // size for k in known), np.int64, len(known))
+            flat = np.frombuffer(b"".join([k[kind] for k in known]), dtype)
+            each = lengths[codes]
+            ends = np.concatenate(([0], np.cumsum(each)))
+            at = np.arange(ends[-1]) + np.repeat((np.cumsum(lengths) - lengths)[codes] - ends[:-1], each)
+            made.append((flat[at], ends[bounds].tolist()))
+        for i, head in enumerate(heads):
+            words = [self.of_word[w] for w in head]
+            yield tuple(b"".join([w[k] for w in words]) + data[ends[i] : ends[i + 1]].tobytes() for k, (data, ends) in enumerate(made))

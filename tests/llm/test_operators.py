@@ -210,14 +210,14 @@ def test_bpe_encodes_and_decodes(spark, reference_encoder):
 
 def test_packing_of_documents(spark):
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
-    df = documents(spark, TEXTS * 4, length=F.lit("clash"), piece=F.lit(0))
+    texts = [*TEXTS * 4, "tail <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>é " * 700]
+    df = documents(spark, texts, length=F.lit("clash"), piece=F.lit(0))
     rows = packing.pack(packing.token_pieces(df, TOKENIZER)).collect()
     pieces, sequences = {}, {}
     for r in rows:
         pieces.setdefault(r["id"], []).append(r)
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for i, text in enumerate(TEXTS * 4):
+    for i, text in enumerate(texts):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
         at = 0
         for k, p in enumerate(sorted(pieces[i], key=lambda r: r["piece"])):
@@ -249,6 +249,7 @@ def test_plans_use_every_piece_once():
             assert used == counts
     exact = packing.plan({1000: 5, 24: 5, 600: 3, 400: 3, 12: 6}, 1024)
     assert sum(t for _, t in exact) == 8
+    assert sum(t for _, t in packing.plan({256: 40, 300: 6, 400: 3, 24: 3})) == 13  # complements of lengths below half
 
 
 # --- 3: WARC
