@@ -47,7 +47,8 @@ def coverage_ratio(source: Column, generated: Column, lookahead: int) -> Column:
 
     def step(state: Column, token: Column) -> Column:
         place = F.array_position(F.slice(generated, state["at"], F.lit(lookahead)), token).cast("int")
-        return F.when(place > 0, F.struct((state["at"] + place).alias("at"), (state["hits"] + 1).alias("hits"))).otherwise(state)
+        moved = lambda p: F.struct((state["at"] + p).alias("at"), (state["hits"] + F.least(p, F.lit(1))).alias("hits"))
+        return F.transform(F.array(place), moved)[0]  # so that the place, 0 if there is none, is searched once
 
     hits = F.aggregate(source, start, step)["hits"]
     return F.when(F.size(source) == 0, 1.0).otherwise(hits / F.size(source))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glosswork.functions import text as T
 
+# The marks that end phrases, the limits of their words, and what stands for a missing translation.
 HARD, SOFT = "׃.!?", ",;:—–-"
 MOST_WORDS, CHUNK_WORDS, LEAST_WORDS = 8, 6, 3
 UNAVAILABLE = "[translation unavailable]"
@@ -49,15 +50,22 @@ def padded_slice(steps: DataFrame, units: DataFrame, head: int = 80, least_pad:
     characters, padded on both sides by its own length, ``least_pad`` words at least; not found gives the whole.
     """
     squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
-    j = steps.select("unit_id", "step_no", squeeze("text").alias("s")).join(units.select("unit_id", squeeze("src").alias("u"), T.words("translation").alias("tr")), "unit_id")
-    j = j.withColumn("at", F.expr(f"instr(u, substr(s, 1, {head}))"))
-    at = F.col("at")
-    i0 = F.floor((at - 1) / F.length("u") * F.size("tr")).cast("int")
-    i1 = F.floor(F.least((at - 1 + F.length("s")) / F.length("u"), F.lit(1.0)) * F.size("tr")).cast("int")
-    pad = F.greatest(F.lit(least_pad), i1 - i0)
-    lo, hi = F.greatest(F.lit(0), i0 - pad), F.least(F.size("tr"), i1 + pad)
-    part = F.array_join(F.slice("tr", lo + 1, F.greatest(hi - lo, F.lit(0))), " ")
-    return j.select("unit_id", "step_no", F.when((at > 0) & (F.length("s") > 0), part).otherwise(F.array_join("tr", " ")).alias("translation"))
+    asked = steps.groupBy("unit_id").agg(F.collect_list(F.struct("step_no", squeeze("text").alias("s"))).alias("asked"))
+    j = asked.join(units.select("unit_id", squeeze("src").alias("u"), T.words("translation").alias("tr")), "unit_id")
+
+    def part(x: Column) -> Column:
+        at = x["at"]
+        i0 = F.floor((at - 1) / F.length("u") * F.size("tr")).cast("int")
+        i1 = F.floor(F.least((at - 1 + F.length(x["s"])) / F.length("u"), F.lit(1.0)) * F.size("tr")).cast("int")
+        pad = F.greatest(F.lit(least_pad), i1 - i0)
+        lo, hi = F.greatest(F.lit(0), i0 - pad), F.least(F.size("tr"), i1 + pad)
+        found = F.array_join(F.slice("tr", lo + 1, F.greatest(hi - lo, F.lit(0))), " ")
+        whole = F.array_join("tr", " ")
+        return F.struct(x["step_no"].alias("step_no"), F.when((at > 0) & (F.length(x["s"]) > 0), found).otherwise(whole).alias("translation"))
+
+    # one row a unit, so that its texts are not copied to each of its steps
+    placed = F.transform("asked", lambda x: F.struct(x["step_no"].alias("step_no"), x["s"].alias("s"), F.instr(F.col("u"), F.substring(x["s"], 1, head)).alias("at")))
+    return j.withColumn("placed", placed).select("unit_id", F.inline(F.transform("placed", part)))
 
 
 def phrase_pieces(text: Column) -> Column:
@@ -95,15 +103,17 @@ def merge_runts(pieces: list[str]) -> list[str]:
 
 def split_phrases(rows: DataFrame) -> DataFrame:
     """(unit_id, line_no, phrase_no, phrase) of (unit_id, line_no, text). Only the joining of short pieces, an iterated
-    rewrite within one row, runs in Python, in Arrow batches.
+    rewrite within one row, runs in Python, in Arrow batches; lines without a short piece stay in the JVM.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(pieces=[merge_runts(p) for p in f["pieces"]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = [merge_runts(p) for p in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(merged, batch.schema.field(2).type)], names=batch.schema.names)
 
     cut = rows.select("unit_id", "line_no", phrase_pieces(F.coalesce("text", F.lit(""))).alias("pieces"))
-    merged = cut.mapInPandas(run, cut.schema)
+    short = (F.size("pieces") > 1) & F.exists("pieces", lambda x: F.size(T.words(x)) < LEAST_WORDS)
+    merged = cut.where(short).mapInArrow(run, cut.schema).union(cut.where(~short))
     return merged.select("unit_id", "line_no", F.posexplode("pieces").alias("p", "phrase")).select("unit_id", "line_no", (F.col("p") + 1).alias("phrase_no"), "phrase")
 
 

@@ -11,25 +11,35 @@ from glosswork.functions.text import snippet
 KEYS = ["unit_id", "step_no"]
 
 
-def _matches(steps: DataFrame, rules: DataFrame, sources: list[str]) -> DataFrame:
-    """Every rule that matches one of a step's texts, with the places of the text and the rule; rules are a small table."""
-    texts = F.posexplode(F.array(*[F.struct(F.lower(c).alias("t")) for c in sources])).alias("source_ix", "s")
-    long = steps.select(*KEYS, "label", texts).where("s.t is not null")
-    return long.join(F.broadcast(rules), F.rlike(F.col("s.t"), F.col("pattern")))  # tens of rules, written by people
+def _first_match(rules: DataFrame, sources: list[str], wanted) -> Column:
+    """struct(expected, rule_ix) of the first rule, by text then rule, that matches a text and is ``wanted``; else null.
+
+    Rules (rule_ix, pattern, expected) are tens of rows written by people. Each becomes one branch with a literal pattern,
+    which is compiled once, and a step's texts are searched only as far as the first hit.
+    """
+    listed = rules.orderBy("rule_ix").collect()
+    if len(listed) > 1000:
+        raise ValueError("more than 1000 rules")
+    chains = []
+    for source in sources:
+        text, chain = F.lower(source), F.when(F.lit(False), None)
+        for r in listed:
+            found = F.struct(F.lit(r["expected"]).cast("string").alias("expected"), F.lit(r["rule_ix"]).alias("rule_ix"))
+            chain = chain.when(wanted(r["expected"]) & text.rlike(r["pattern"]), found)
+        chains.append(chain)
+    return F.coalesce(*chains)
 
 
 def source_rule_override(steps: DataFrame, rules: DataFrame, sources: list[str]) -> DataFrame:
     """New labels by rules (rule_ix, pattern, expected): the first rule, by text then rule, that matches and disagrees wins."""
-    w = Window.partitionBy(*KEYS).orderBy("source_ix", "rule_ix")
-    hits = _matches(steps, rules, sources).where("expected is not null and expected <> label")
-    first = hits.withColumn("k", F.row_number().over(w)).where("k = 1").select(*KEYS, "expected", "rule_ix")
-    return steps.select(*KEYS, "label").join(first, KEYS, "left").select(*KEYS, F.col("label").alias("old_label"), F.coalesce("expected", "label").alias("label"), "rule_ix")
+    disagrees = lambda expected: F.lit(False) if expected is None else F.col("label") != expected
+    hit = steps.select(*KEYS, "label", _first_match(rules, sources, disagrees).alias("hit"))
+    return hit.select(*KEYS, F.col("label").alias("old_label"), F.coalesce("hit.expected", "label").alias("label"), "hit.rule_ix")
 
 
 def pattern_audit(steps: DataFrame, rules: DataFrame, sources: list[str]) -> DataFrame:
     """Findings by the first rule that matches at all: REVIEW if it expects no label, MISMATCH if it expects another."""
-    w = Window.partitionBy(*KEYS).orderBy("source_ix", "rule_ix")
-    first = _matches(steps, rules, sources).withColumn("k", F.row_number().over(w)).where("k = 1")
+    first = steps.select(*KEYS, "label", _first_match(rules, sources, lambda _: F.lit(True)).alias("hit")).where("hit is not null").select(*KEYS, "label", "hit.expected")
     finding = F.when(F.col("expected").isNull(), "REVIEW").when(F.col("expected") != F.col("label"), "MISMATCH")
     return first.select(*KEYS, "label", "expected", finding.alias("finding")).where("finding is not null")
 

@@ -163,16 +163,24 @@ def locate_start_lines(steps: DataFrame, lines: DataFrame, head: int = 60, short
     squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
     w = by_unit().orderBy("line_no")
     flat = lines.select("unit_id", "line_no", squeeze("text").alias("t"))
-    starts = flat.withColumn("pos", (F.coalesce(F.sum(F.length("t")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).cast("int"))
+    starts = flat.withColumn("pos", F.coalesce(F.sum(F.length("t")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
     whole = flat.groupBy("unit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]), "").alias("whole"))
-    needle = steps.select("unit_id", "step_no", squeeze("text").alias("n"))
-    j = needle.join(whole, "unit_id", "left")
-    found = F.instr(F.col("whole"), F.substring("n", 1, head))
-    short = F.instr(F.col("whole"), F.substring("n", 1, short_head))
-    at = F.when(F.length("n") < least, None).when(found > 0, found).when(short > 0, short)
-    asked = j.select("unit_id", "step_no", at.alias("at"))
-    hit = asked.join(starts.select("unit_id", "line_no", "pos"), "unit_id").where("pos <= at").groupBy("unit_id", "step_no").agg(F.max("line_no").cast("int").alias("line_no"))
-    return asked.select("unit_id", "step_no").join(hit, ["unit_id", "step_no"], "left")
+    needle = F.struct("step_no", F.length("n").alias("size"), F.substring("n", 1, head).alias("long"), F.substring("n", 1, short_head).alias("short"))
+    needles = steps.select("unit_id", "step_no", squeeze("text").alias("n")).groupBy("unit_id").agg(F.collect_list(needle).alias("needles"))
+
+    def place(x: Column) -> Column:
+        found, short = F.instr(F.col("whole"), x["long"]), F.instr(F.col("whole"), x["short"])
+        at = F.when(x["size"] < least, None).when(found > 0, found).when(short > 0, short)
+        return F.struct(x["step_no"].alias("step_no"), at.alias("at"))
+
+    # one row a unit, so that its text is not copied to each of its steps
+    asked = needles.join(whole, "unit_id", "left").select("unit_id", F.inline(F.transform("needles", place)))
+    none = lambda kind: F.lit(None).cast(kind)
+    marks = starts.select("unit_id", F.col("pos").cast("long").alias("at"), F.lit(0).alias("asks"), F.col("line_no").cast("int").alias("line_no"), none(dict(steps.dtypes)["step_no"]).alias("step_no"))
+    questions = asked.select("unit_id", F.col("at").cast("long").alias("at"), F.lit(1).alias("asks"), none("int").alias("line_no"), "step_no")
+    order = by_unit().orderBy("at", "asks", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.when(F.col("at").isNotNull(), F.max("line_no").over(order))
+    return marks.union(questions).withColumn("found", last).where("asks = 1").select("unit_id", "step_no", F.col("found").alias("line_no"))
 
 
 def proportional_bounds(spans: DataFrame, step_counts: DataFrame) -> DataFrame:

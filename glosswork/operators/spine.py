@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from glosswork.operators.ordering import numbered, running
+
 SIDES = ("a", "b")
 
 
@@ -42,10 +44,10 @@ def missing_units(spine: DataFrame, done: DataFrame) -> DataFrame:
 
 def windows_of(units: DataFrame, k: int = 5) -> DataFrame:
     """Consecutive groups of k units of each collection, and the first and last unit of each group."""
-    w = Window.partitionBy("collection").orderBy("unit_id")
-    numbered = units.select("collection", "unit_id", F.floor((F.row_number().over(w) - 1) / k).cast("int").alias("window_no"))
+    placed = numbered(units.select("collection", "unit_id"), ["collection"], ["unit_id"], "place")
+    placed = placed.withColumn("window_no", F.floor((F.col("place") - 1) / k).cast("int"))
     whole = Window.partitionBy("collection", "window_no")
-    return numbered.select("collection", "window_no", "unit_id", F.concat_ws("-", F.min("unit_id").over(whole), F.max("unit_id").over(whole)).alias("label"))
+    return placed.select("collection", "window_no", "unit_id", F.concat_ws("-", F.min("unit_id").over(whole), F.max("unit_id").over(whole)).alias("label"))
 
 
 def windows_pending(windows: DataFrame, done: DataFrame, redo: bool = False) -> DataFrame:
@@ -77,9 +79,11 @@ def availability(units: DataFrame) -> DataFrame:
 
 def neighbours(entries: DataFrame) -> DataFrame:
     """The entry before and after each one of its collection; demonstration entries are passed over."""
-    w = Window.partitionBy("collection").orderBy("doc_id")
-    real = entries.where(~F.contains("file", F.lit(".demo.")))
-    return real.select("collection", "doc_id", F.lag("file").over(w).alias("previous"), F.lead("file").over(w).alias("following"))
+    real = entries.where(~F.contains("file", F.lit(".demo."))).select("collection", "doc_id", "file")
+    placed = numbered(real, ["collection"], ["doc_id"], "place")
+    beside = lambda by, name: placed.select("collection", (F.col("place") + by).alias("place"), F.col("file").alias(name))
+    keys = ["collection", "place"]
+    return placed.join(beside(1, "previous"), keys, "left").join(beside(-1, "following"), keys, "left").select("collection", "doc_id", "previous", "following")
 
 
 def usage_by_pass(usage: DataFrame) -> DataFrame:
@@ -107,11 +111,9 @@ def last_model_per_pass(usage: DataFrame) -> DataFrame:
 
 def run_eta(runs: DataFrame, planned: int) -> DataFrame:
     """After every run of a collection: elapsed, mean and remaining minutes, with and without the skipped runs in the mean."""
-    w = Window.partitionBy("collection").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    i = F.row_number().over(Window.partitionBy("collection").orderBy("at", "seq"))
-    elapsed, worked = F.sum("minutes").over(w), F.sum(F.when(~F.col("skipped"), F.col("minutes"))).over(w)
-    real = F.count(F.when(~F.col("skipped"), 1)).over(w)
-    e = runs.select("collection", "seq", i.alias("i"), elapsed.alias("elapsed"), worked.alias("worked"), real.alias("real"))
+    built = ~F.col("skipped")
+    sums = {"i": F.lit(1).cast("long"), "elapsed": F.col("minutes"), "worked": F.when(built, F.col("minutes")), "real": F.when(built, 1).cast("long")}
+    e = running(runs.select("collection", "seq", "at", "minutes", "skipped"), ["collection"], ["at", "seq"], sums)
     left = F.lit(planned) - F.col("i")
     return e.select("collection", "seq", "elapsed", (F.col("elapsed") / F.col("i")).alias("mean_all"), F.when(F.col("real") > 0, F.col("worked") / F.col("real")).alias("mean_built"), F.floor(F.col("elapsed") / F.col("i") * left).alias("eta_all"))
 

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from glosswork.operators.ordering import numbered
 
 TABLES = ("documents", "conversations", "events", "lineitem", "orders", "part", "customer", "pages", "benchmark", "labels")
 
@@ -76,6 +78,10 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view, or a table, as a DataFrame."""
     if name in TABLES:
         return table(spark, sf_dir, name)
+    if name == "fx_windows":  # as its SQL, but a collection's units are numbered by many tasks
+        docs = table(spark, sf_dir, "documents").select(F.col("source").alias("collection"), F.col("doc_id").alias("unit_id"))
+        units = numbered(docs.join(spark_view(spark, sf_dir, "fx_units"), "unit_id"), ["collection"], ["unit_id"], "rn")
+        return units.selectExpr("collection", "cast(substr(collection, 4) as int) as coll_no", "unit_id", "n_lines", "cast(floor((rn - 1) / 5) as int) as window_no")
     sql = _VIEWS[name][0]
     inputs = {n: spark_view(spark, sf_dir, n) for n in _used(sql, (*TABLES, *_VIEWS)) if n != name}
     for n in inputs:

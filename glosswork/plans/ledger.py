@@ -136,7 +136,8 @@ def u9(spark, d):
 from (select *, row_number() over (partition by run_key order by seq desc) k from fx_runs) where k = 1"""))
 def s5(spark, d):
     last = fx(spark, d, "fx_runs").groupBy("run_key").agg(F.max_by(F.struct("status", "skipped", F.concat(F.lit("took "), F.round("minutes", 0).cast("int")).alias("message")), "seq").alias("r"))
-    bags = last.groupBy(F.pmod(F.hash("run_key"), F.lit(7)).alias("bag")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("run_key", "r")))).alias("json"))
+    # a manifest of some 500 windows each
+    bags = last.groupBy(F.pmod(F.hash("run_key"), F.lit(1 + last.count() // 500)).alias("bag")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("run_key", "r")))).alias("json"))
     manifests = bags.select(F.from_json("json", "map<string, struct<status: string, skipped: boolean, message: string>>").alias("results"))
     return S.explode_manifest(manifests)
 
@@ -147,9 +148,9 @@ def s15(spark, d):
     return S.parse_pass_progress(fx(spark, d, "fx_progress"))
 
 
-@query("r4_progress_tail", sql("select run_id, seq, msg, cast(k as int) as k from (select *, row_number() over (partition by run_id order by ts desc, seq desc) k from fx_progress) where k <= 20"))
+@query("r4_progress_tail", sql("select run_id, seq, msg, cast(k as int) as k from (select *, row_number() over (partition by run_id order by ts desc, seq desc) k from fx_progress) where k <= 200"))
 def r4(spark, d):
-    return S.progress_tail(fx(spark, d, "fx_progress"), 20)
+    return S.progress_tail(fx(spark, d, "fx_progress"), 200)
 
 
 @query("r5_stale_runs", sql("""with g as (select run_id, max(ts) as last_ts, max_by(msg, seq) as m0 from fx_progress group by 1), l as (select p.run_id, p.msg as last_msg, p.ts from (select *, row_number() over (partition by run_id order by ts desc, seq desc) k from fx_progress) p where k = 1),

@@ -63,7 +63,25 @@ def t2(spark, d):
     return A.padded_slice(steps, units)
 
 
-@query("t3_split_phrases")
+def split_after(text: str, marks: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_replace({text}, '([{marks}])', '\\1' || chr(1), 'g'), chr(1)), lambda y: trim(y)), lambda y: y <> '')"
+
+
+def count_words(text: str) -> str:
+    return f"len({words(text).replace('lambda x: x', 'lambda z: z')})"
+
+
+@query("t3_split_phrases", sql(f"""with recursive hard as (select unit_id, line_no, {split_after('text', A.HARD)} as a from fx_lines),
+soft as (select unit_id, line_no, flatten(list_transform(a, lambda x: case when {count_words('x')} > {A.MOST_WORDS} then {split_after('x', A.SOFT)} else [x] end)) as a from hard),
+cut as (select unit_id, line_no, flatten(list_transform(a, lambda x: case when {count_words('x')} > {A.MOST_WORDS} then
+  list_transform(range(0, ({count_words('x')} + {A.CHUNK_WORDS} - 1) // {A.CHUNK_WORDS}), lambda k: array_to_string(list_slice({words('x').replace('lambda x: x', 'lambda z: z')}, k * {A.CHUNK_WORDS} + 1, (k + 1) * {A.CHUNK_WORDS}), ' ')) else [x] end)) as p from soft),
+rounds as (select unit_id, line_no, p, list_transform(p, lambda x: {count_words('x')}) as s, false as done from cut
+  union all
+  (with f as (select *, list_filter(range(1, len(p) + 1), lambda i: s[i] < {A.LEAST_WORDS} and ((i > 1 and s[i - 1] + s[i] <= {A.MOST_WORDS}) or (i < len(p) and s[i + 1] + s[i] <= {A.MOST_WORDS})))[1] as i from rounds where not done),
+   g as (select *, case when i > 1 and s[i - 1] + s[i] <= {A.MOST_WORDS} and not (i < len(p) and s[i + 1] + s[i] <= {A.MOST_WORDS} and s[i + 1] < s[i - 1]) then i - 1 else i end as lo from f)
+   select unit_id, line_no, case when i is null then p else list_concat(list_concat(list_slice(p, 1, lo - 1), [concat(p[lo], ' ', p[lo + 1])]), list_slice(p, lo + 2, len(p))) end,
+     case when i is null then s else list_concat(list_concat(list_slice(s, 1, lo - 1), [s[lo] + s[lo + 1]]), list_slice(s, lo + 2, len(s))) end, i is null from g))
+select unit_id, line_no, cast(generate_subscripts(p, 1) as int) as phrase_no, unnest(p) as phrase from rounds where done"""))
 def t3(spark, d):
     return A.split_phrases(fx(spark, d, "fx_lines"))
 
