@@ -36,6 +36,34 @@ WITH RECURSIVE steps AS (
 )
 SELECT w, pos, tok FROM steps WHERE done ORDER BY w, pos
 """
+# As above, for long pieces: a round takes every place of the least rank from left to right, overlaps aside (every other
+# place of a run), which are the places of the next rounds anyway. A merge after which a pair of lesser rank may arise
+# beside it (alone) is taken once a round.
+_ENCODE_LONG = """
+WITH RECURSIVE steps AS (
+  SELECT w, pos, tok, false AS done FROM start_rows
+  UNION ALL
+  (WITH neighbours AS (
+     SELECT w, pos, tok, lead(tok) OVER word AS next_tok, row_number() OVER word AS place
+     FROM steps WHERE NOT done WINDOW word AS (PARTITION BY w ORDER BY pos)),
+   pairs AS (
+     SELECT n.w, n.pos, n.tok, n.place, m.merged, m.alone
+     FROM neighbours n LEFT JOIN merges m ON m.first = n.tok AND m.second = n.next_tok),
+   best AS (SELECT w, min(merged) AS least FROM pairs GROUP BY w),
+   hits AS (
+     SELECT p.w, p.pos, p.place, p.alone, row_number() OVER (PARTITION BY p.w ORDER BY p.place) AS nth
+     FROM pairs p JOIN best b ON p.w = b.w AND p.merged = b.least),
+   taken AS (
+     SELECT w, place FROM (SELECT *, row_number() OVER (PARTITION BY w, place - nth ORDER BY place) AS in_run FROM hits)
+     WHERE CASE WHEN alone THEN nth = 1 ELSE in_run % 2 = 1 END)
+   SELECT p.w, p.pos, CASE WHEN t.place IS NULL THEN p.tok ELSE b.least END AS tok, b.least IS NULL AS done
+   FROM pairs p JOIN best b ON p.w = b.w LEFT JOIN taken t ON t.w = p.w AND t.place = p.place
+     LEFT JOIN taken before ON before.w = p.w AND before.place + 1 = p.place
+   WHERE before.place IS NULL)
+)
+SELECT w, pos, tok FROM steps WHERE done ORDER BY w, pos
+"""
+_LONG = 64
 _DECODE = """
 SELECT t.w, unhex(string_agg(v.bytes_hex, '' ORDER BY t.pos)) AS decoded
 FROM id_rows t JOIN vocabulary v ON v.id = t.tok GROUP BY t.w ORDER BY t.w
@@ -47,6 +75,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def _hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of n bytes."""
+    found = np.zeros(len(data) - n + 1, np.uint64)
+    for k in range(n):
+        found = found * np.uint64(0x100000001B3) + data[k : len(data) - n + 1 + k] + np.uint64(1)
+    return found
+
+
 class DuckBpe:
     """The merge table and the vocabulary in an in-memory DuckDB, with what has been encoded so far."""
 
@@ -59,11 +95,16 @@ class DuckBpe:
             for i in range(1, len(token))
             if (first := ranks.get(token[:i])) is not None and (second := ranks.get(token[i:])) is not None
         ]
-        first, second, merged = (pa.array(x, pa.int32()) for x in zip(*splits, strict=True))
+        first, second, merged = (np.array(x, np.int32) for x in zip(*splits, strict=True))
+        alone = np.isin(merged, np.concatenate((first[merged < first], second[merged < second])))
+        by_length: dict[int, list[bytes]] = {}
+        for token in ranks:
+            by_length.setdefault(len(token), []).append(token)
+        self.token_hashes = {n: np.sort(_hashes(np.frombuffer(b"".join(t), np.uint8), n)[::n]) for n, t in by_length.items() if n > 1}
         self.con = duckdb.connect()
         self.con.execute("SET threads = 1")
         self.con.execute("SET memory_limit = '400MB'")
-        self._load("merges", pa.table({"first": first, "second": second, "merged": merged}))
+        self._load("merges", pa.table({"first": first, "second": second, "merged": merged, "alone": alone}))
         self._load("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes_hex": [t.hex() for t in ranks]}))
         self.memory = PieceMemory(self.ids_and_bytes, ["<u4", "u1"])
 
@@ -78,13 +119,49 @@ class DuckBpe:
         self.con.unregister(name)
         return result
 
+    def _cut(self, piece: bytes) -> list[int]:
+        """Where no occurrence of a token reaches across: merges on one side of such a place never meet the other side.
+
+        A clash of hashes only leaves a place out.
+        """
+        data = np.frombuffer(piece, np.uint8)
+        spans = np.zeros(len(data) + 1, np.int64)
+        for n, known in self.token_hashes.items():
+            if n <= len(data):
+                at = np.flatnonzero(np.isin(_hashes(data, n), known))
+                spans[at + 1] += 1
+                np.subtract.at(spans, at + n, 1)
+        return [0, *(np.flatnonzero(np.cumsum(spans)[1:-1] == 0) + 1).tolist(), len(data)]
+
     def encode(self, pieces: list[bytes]) -> pa.Table:
-        """(w, pos, tok): the tokens of each non-empty piece, whose number is w, in order."""
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        tok = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        """(w, pos, tok): the tokens of each non-empty piece, whose number is w, in order.
+
+        Pieces of more than ``_LONG`` bytes are cut where no token reaches across.
+        """
+        parts, owner, shift = [], [], []
+        for w, piece in enumerate(pieces):
+            for a, b in pairwise(self._cut(piece) if len(piece) > _LONG else [0, len(piece)]):
+                parts.append(piece[a:b])
+                owner.append(w)
+                shift.append(a)
+        owner, shift = np.array(owner, np.int32), np.array(shift, np.int64)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        tok = self.byte_ids[np.frombuffer(b"".join(parts), np.uint8)]
         pos = np.arange(len(tok)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        rows = pa.table({"w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "pos": pos, "tok": tok})
-        return self._query("start_rows", rows, _ENCODE)
+        part = np.repeat(np.arange(len(parts), dtype=np.int32), lengths)
+        found = []
+        for long, sql in ((False, _ENCODE), (True, _ENCODE_LONG)):
+            rows = (lengths > _LONG)[part] == long
+            if rows.any():
+                found.append(self._query("start_rows", pa.table({"w": part[rows], "pos": pos[rows], "tok": tok[rows]}), sql))
+        if not found:
+            return pa.table({"w": pa.array([], pa.int32()), "pos": pa.array([], pa.int64()), "tok": pa.array([], pa.int32())})
+        rows = pa.concat_tables(found)
+        part, pos, tok = (rows[c].to_numpy() for c in ("w", "pos", "tok"))
+        if len(found) > 1:
+            order = np.argsort(part, kind="stable")
+            part, pos, tok = part[order], pos[order], tok[order]
+        return pa.table({"w": owner[part], "pos": pos + shift[part], "tok": tok})
 
     def decode(self, rows: pa.Table) -> list[bytes]:
         """The bytes of each run w of (w, pos, tok), in order of w; an unknown id raises ValueError."""
@@ -125,7 +202,8 @@ def encode_documents(docs: DataFrame, rank_path: str, id_col: str = "doc_id", te
     the digests of nothing. Texts are handled in chunks of about four million characters; the distinct words of a
     chunk that the worker has not met yet become one recursive query, and decoding joins the ids with the
     vocabulary again. Repeated rows stay; other columns are not read. ``rank_path`` must exist on every worker. A
-    word of n bytes takes up to n rounds over n rows, so a single unbroken word of 100,000 bytes is slow.
+    short word of n bytes takes up to n rounds over n rows. A long one is cut where no token reaches across, and a round
+    takes all places of its least rank, so that it takes as many rounds as it has distinct merges.
     """
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(thin.dtypes)["id"]

@@ -133,15 +133,17 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return placed.select("_id", "_h", "rank").join(before, "rank").drop("rank")
 
 
-def fingerprint_with_edits(docs: DataFrame, params: IMatchParams = IMatchParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, edited, parts, edited_parts, next_id, next_h, h) of every row; ``with_next_parts`` adds the next document's parts.
+def fingerprint_with_edits(docs: DataFrame, params: IMatchParams = IMatchParams(), id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """(id, text, edited, parts, edited_parts, next_parts) of every row; columns ``carry`` of text and edited may stand in for these two.
 
     ``edited`` has the last quarter of the code points (rounded down) replaced by the first as many, or all, of the next
     document in ascending id; the first follows the last, and a single document follows itself. Null texts are
     empty; null ids come first. Rows of one id are ordered by a hash of their texts, and rows equal in both count
     as one document in that order, so repeated rows get equal results. Texts are shuffled once: every row sends
-    its predecessor the few characters that it needs. Each text is hashed once and its edited form once.
+    its predecessor the few characters that it needs. Each text is hashed once and its edited form once; the next
+    document's parts come from a join of the finished table with itself.
     """
+    carry = carry or {"text": F.col("text"), "edited": F.col("edited")}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_id"), text.alias("_text")).withColumn("_h", F.xxhash64("_text"))
     known = lexicon(rows, params, "_text")
@@ -154,11 +156,8 @@ def fingerprint_with_edits(docs: DataFrame, params: IMatchParams = IMatchParams(
     kept = F.length("_text") - F.floor(F.length("_text") / 4).cast("int")
     met = met.withColumn("edited", F.concat(F.substring(F.col("_text"), F.lit(1), kept), "head"))
     met = with_parts(with_parts(met, "_text", known, "parts", params), "edited", known, "edited_parts", params)
-    return met.select(F.col("_id").alias("id"), F.col("_h").alias("h"), F.col("_text").alias("text"), "edited", "parts", "edited_parts", "next_id", "next_h")
-
-
-def with_next_parts(marked: DataFrame) -> DataFrame:
-    """Add next_parts, the parts of the next document, to rows (id, h, parts, next_id, next_h, ...) of ``fingerprint_with_edits``; ids become null again."""
-    of_next = marked.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("parts").alias("next_parts")).dropDuplicates(["next_id", "next_h"])
-    met = marked.join(of_next, ["next_id", "next_h"])
-    return met.withColumn("id", F.when(F.col("id") != _NULL_ID, F.col("id"))).drop("h", "next_id", "next_h")
+    met = met.withColumnRenamed("_text", "text").select("_id", "_h", "next_id", "next_h", "parts", "edited_parts", *[c.alias(n) for n, c in carry.items()])
+    met = materialise(met, "imatch-parts")
+    following = met.select(F.col("_id").alias("next_id"), F.col("_h").alias("next_h"), F.col("parts").alias("next_parts")).dropDuplicates(["next_id", "next_h"])
+    named = F.when(F.col("_id") != _NULL_ID, F.col("_id")).alias("id")
+    return met.join(following, ["next_id", "next_h"]).select(named, *carry, "parts", "edited_parts", "next_parts")

@@ -21,10 +21,12 @@ LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass(frozen=True)
 class LangIdParams:
-    """``rows_per_language`` bounds the training sample (in expectation), ``languages`` the values learned."""
+    """``rows_per_language`` bounds the training sample (in expectation). All languages are learned; a column of more than
+    ``most_languages`` values is taken for a mistake.
+    """
 
     rows_per_language: int = 500
-    languages: int = 200
+    most_languages: int = 10_000
     buckets: int = 1 << 16
     dims: int = 16
     epochs: int = 4
@@ -143,17 +145,21 @@ def _logits(texts: list[str], model: LangIdModel) -> np.ndarray:
 def train(docs: DataFrame, learn: Column, params: LangIdParams = LangIdParams(), id_col: str = "doc_id") -> LangIdModel:
     """Fit on a bounded sample of the rows where ``learn`` holds and lang and text are not null.
 
-    The sample takes each language's rows by a hash of the id, ``rows_per_language`` of each in expectation, for
-    the ``languages`` most frequent ones, and one task fits it by stochastic gradient descent; nothing but the
+    The sample takes each language's rows by a hash of the id, ``rows_per_language`` of each in expectation, and one task
+    fits it by stochastic gradient descent; nothing but the
     weights (buckets x languages) reaches the driver. Part of the sample is kept aside to fit the softmax
     temperature and the rejection threshold: the ``rejected_share`` quantile of the confidence of right answers,
-    never above ``most_strict``. No usable rows raise ValueError.
+    never above ``most_strict``. Without usable rows the model knows no language and calls every text ``und``; more
+    than ``most_languages`` values of lang raise ValueError.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(params.languages)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(params.most_languages + 1)
     shares = {r["lang"]: params.rows_per_language / r["n"] for r in counts.collect()}
+    if len(shares) > params.most_languages:
+        raise ValueError(f"lang has more than {params.most_languages} values")
+    unknowing = LangIdModel((), np.zeros((params.buckets, 0)), np.zeros(0), 1.0, 0.0)
     if not shares:
-        raise ValueError("no row with a language to learn from")
+        return unknowing
     share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
     sample = rows.where(hash_unit(id_col, params.seed) < share).select(F.col(id_col).alias("id"), "lang", "text")
     sample = sample.repartition(1).sortWithinPartitions("id", "lang", "text")
@@ -166,7 +172,7 @@ def train(docs: DataFrame, learn: Column, params: LangIdParams = LangIdParams(),
     schema = "languages array<string>, shape array<int>, weights binary, bias array<double>, temperature double, threshold double"
     r = materialise(sample.mapInPandas(fit, schema), "langid-model").first()
     if not r or not r["languages"]:
-        raise ValueError("no row with a language to learn from")
+        return unknowing
     table = np.frombuffer(bytes(r["weights"])).reshape(r["shape"])
     return LangIdModel(tuple(r["languages"]), table, np.array(r["bias"]), r["temperature"], r["threshold"])
 
@@ -174,7 +180,8 @@ def train(docs: DataFrame, learn: Column, params: LangIdParams = LangIdParams(),
 def predict(docs: DataFrame, model: LangIdModel, text_col: str = "text") -> DataFrame:
     """Add lang_pred, lang_score and lang_accepted to every row, reading its whole text and nothing else.
 
-    A text that is null or has no letter is ``und`` with score 0 and is rejected. Others get the likeliest learned
+    A text that is null or has no letter is ``und`` with score 0 and is rejected, and so is every text under a model
+    without languages. Others get the likeliest learned
     language, its calibrated probability, and are rejected when that is below the model's threshold. Columns of
     the same names are replaced. Empty tables give empty tables.
     """
@@ -188,6 +195,10 @@ def predict(docs: DataFrame, model: LangIdModel, text_col: str = "text") -> Data
         for batch in batches:
             names, scores = [], []
             for texts in text_chunks(batch.column(at)):
+                if not m.languages:
+                    names += [UNDETERMINED] * len(texts)
+                    scores += [0.0] * len(texts)
+                    continue
                 sure = _softmax(_logits(texts, m) / m.temperature)
                 best = sure.argmax(axis=1)
                 known = [LETTER.search(t) is not None for t in texts]

@@ -110,31 +110,50 @@ def _iban_length(match: Column) -> Column:
 
 
 def _gaps(text: Column, kind: Kind) -> Column:
-    """array<struct<gap, match>>: each match in order with the number of code points since the one before.
+    """array<struct<gap, near, match>>: each match in order with the number of code points since the one before, and the
+    last ``CONTEXT_CHARS`` of these.
 
     Splitting by the pattern gives the pieces between the matches; texts that fail the kind's cheap test are not
     searched.
     """
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, kind.pattern, -1), matches, lambda piece, m: F.struct(F.length(piece).cast("long").alias("gap"), m.alias("match")))
-    none = F.expr("cast(array() as array<struct<gap: bigint, match: string>>)")
+
+    def paired(piece: Column, match: Column) -> Column:
+        return F.struct(F.length(piece).cast("long").alias("gap"), _last(piece).alias("near"), match.alias("match"))
+
+    none = F.expr("cast(array() as array<struct<gap: bigint, near: string, match: string>>)")
+    pairs = F.zip_with(F.split(text, kind.pattern, -1), matches, paired)
     return F.when(text.rlike(kind.needs), F.filter(pairs, lambda x: x["match"].isNotNull())).otherwise(none)
 
 
+def _last(text: Column) -> Column:
+    return F.right(text, F.lit(CONTEXT_CHARS))
+
+
 def _blocks(gaps: Column) -> Column:
-    """The matches with running positions in blocks of bounded size: array<struct<pos, out>>, pos the block's length.
+    """The matches with running positions in blocks of bounded size: array<struct<pos, before, out>>, pos the block's length.
 
-    A text with very many matches would otherwise copy one growing array for each of them.
+    ``before`` holds the code points before the current place, as many as a context has. A text with very many matches
+    would otherwise copy one growing array, or look through the whole text, for each of them.
     """
-    start = F.expr("struct(0L as pos, cast(array() as array<struct<start: bigint, stop: bigint, match: string>>) as out)")
 
     def add(state: Column, x: Column) -> Column:
         begin = state["pos"] + x["gap"]
         stop = begin + F.length(x["match"])
-        return F.struct(stop.alias("pos"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), stop.alias("stop"), x["match"].alias("match")))).alias("out"))
+        before = _last(F.concat(state["before"], x["near"]))
+        item = F.struct(begin.alias("start"), stop.alias("stop"), x["match"].alias("match"), before.alias("before"))
+        return F.struct(stop.alias("pos"), _last(F.concat(before, x["match"])).alias("before"), F.concat(state["out"], F.array(item)).alias("out"))
+
+    def block(k: Column) -> Column:
+        first = k * _BLOCK
+        width = F.least(first, F.lit(CONTEXT_CHARS))  # a match has a character at least, so these fill a context
+        ahead = F.slice(gaps, F.greatest(first - width, F.lit(0)) + 1, width)
+        before = _last(F.array_join(F.transform(ahead, lambda x: F.concat(x["near"], x["match"])), ""))
+        none = F.expr("cast(array() as array<struct<start: bigint, stop: bigint, match: string, before: string>>)")
+        return F.aggregate(F.slice(gaps, first + 1, F.lit(_BLOCK)), F.struct(F.lit(0).cast("long").alias("pos"), before.alias("before"), none.alias("out")), add)
 
     last = F.greatest(F.floor((F.size(gaps) - 1) / _BLOCK).cast("int"), F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(gaps, k * _BLOCK + 1, F.lit(_BLOCK)), start, add))
+    return F.transform(F.sequence(F.lit(0), last), block)
 
 
 def _shifts(blocks: Column) -> Column:
@@ -143,24 +162,20 @@ def _shifts(blocks: Column) -> Column:
     return F.aggregate(blocks, start, lambda s, b: F.struct((s["pos"] + b["pos"]).alias("pos"), F.concat(s["out"], F.array(s["pos"])).alias("out")))["out"]
 
 
-def _spans_of(kind: Kind, rank: int, text: Column, blocks: Column, shifts: Column) -> Column:
+def _spans_of(kind: Kind, rank: int, blocks: Column, shifts: Column) -> Column:
     """The confirmed, scored spans of one kind."""
     prior = kind.prior + (CHECKSUM_BONUS if kind.name in ("card", "iban") else 0.0)
 
-    def scored(x: Column) -> Column:
-        width = F.least(x["start"], F.lit(CONTEXT_CHARS).cast("long")).cast("int")
-        before = F.substring(text, (x["start"] + 1 - width).cast("int"), width)
-        near = F.when(F.lower(before).rlike(rf"\b(?:{kind.words})\b"), CONTEXT_BONUS).otherwise(0.0)
+    def scored(x: Column, shift: Column) -> Column:
+        stop = x["start"] + _iban_length(x["match"]) if kind.name == "iban" else x["stop"]
+        near = F.when(F.lower(x["before"]).rlike(rf"\b(?:{kind.words})\b"), CONTEXT_BONUS).otherwise(0.0)
         score = F.round(F.lit(prior) + near, 2)
-        return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), x["stop"].alias("stop"), score.alias("score"), F.lit(kind.base).alias("base"))
+        return F.struct((x["start"] + shift).alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (stop + shift).alias("stop"), score.alias("score"), F.lit(kind.base).alias("base"))
 
     def placed(block: Column, shift: Column) -> Column:
-        good = F.filter(block["out"], lambda x: _confirmed(kind.name, x["match"]))
-        stop = lambda x: x["start"] + _iban_length(x["match"]) if kind.name == "iban" else x["stop"]
-        return F.transform(good, lambda x: F.struct((x["start"] + shift).alias("start"), (stop(x) + shift).alias("stop")))
+        return F.transform(F.filter(block["out"], lambda x: _confirmed(kind.name, x["match"])), lambda x: scored(x, shift))
 
-    spans = F.flatten(F.zip_with(blocks, shifts, placed))
-    return F.filter(F.transform(spans, scored), lambda x: x["base"] | (x["score"] >= THRESHOLD))
+    return F.filter(F.flatten(F.zip_with(blocks, shifts, placed)), lambda x: x["base"] | (x["score"] >= THRESHOLD))
 
 
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -181,7 +196,7 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     staged = staged.withColumns({name("gaps", k): _gaps(text, k) for k in KINDS})
     staged = staged.withColumns({name("blocks", k): _blocks(F.col(name("gaps", k))) for k in KINDS})
     staged = staged.withColumns({name("shifts", k): _shifts(F.col(name("blocks", k))) for k in KINDS})
-    found = [_spans_of(k, i, text, F.col(name("blocks", k)), F.col(name("shifts", k))) for i, k in enumerate(KINDS)]
+    found = [_spans_of(k, i, F.col(name("blocks", k)), F.col(name("shifts", k))) for i, k in enumerate(KINDS)]
     staged = staged.withColumn("pii_spans", F.array_sort(F.concat(*found)))
     return staged.select(*[c for c in docs.columns if c != "pii_spans"], "pii_spans")
 
@@ -192,18 +207,39 @@ def joined_spans(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in angle brackets; overlapping spans fall to the first."""
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
+    """The text with every span replaced by its kind in angle brackets; overlapping spans fall to the first.
 
-    def add(state: Column, x: Column) -> Column:
-        between = F.substring(text, (state["pos"] + 1).cast("int"), (x["start"] - state["pos"]).cast("int"))
-        grown = F.concat(state["out"], between, F.lit("<"), x["kind"], F.lit(">"))
-        fresh = x["start"] >= state["pos"]
-        return F.struct(F.greatest(state["pos"], x["stop"]).alias("pos"), F.when(fresh, grown).otherwise(state["out"]).alias("out"))
-
-    done = F.aggregate(spans, start, add)
-    rest = F.concat(done["out"], F.substring(text, (done["pos"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    Spans are taken in blocks of bounded size, each of which is written from its own part of the text, so that the work
+    for a long text of many spans does not grow with their product.
+    """
+    last = F.floor((F.size(spans) - 1) / _BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(spans, k * _BLOCK + 1, F.lit(_BLOCK)))
+    reach = lambda blocks: F.transform(blocks, lambda b: F.array_max(F.transform(b, lambda x: x["stop"])))
+
+    def part(block: Column, since: Column, body: Column) -> Column:
+        def add(state: Column, x: Column) -> Column:
+            between = F.substring(body, (state["pos"] - since + 1).cast("int"), (x["start"] - state["pos"]).cast("int"))
+            grown = F.concat(state["out"], between, F.lit("<"), x["kind"], F.lit(">"))
+            fresh = x["start"] >= state["pos"]
+            return F.struct(F.greatest(state["pos"], x["stop"]).alias("pos"), F.when(fresh, grown).otherwise(state["out"]).alias("out"))
+
+        done = F.aggregate(block, F.struct(since.alias("pos"), F.lit("").alias("out")), add)
+        rest = lambda d: F.concat(d["out"], F.substring(body, (d["pos"] - since + 1).cast("int"), F.length(body)))
+        return F.transform(F.array(done), rest)[0]
+
+    def whole(pair: Column) -> Column:
+        blocks, tops = pair["blocks"], pair["tops"]
+        since = lambda k: F.coalesce(F.array_max(F.slice(tops, 1, k)), F.lit(0).cast("long"))
+
+        def of(block: Column, k: Column) -> Column:
+            until = F.when(k == F.size(blocks) - 1, F.length(text).cast("long")).otherwise(since(k + 1))
+            cut = F.struct(since(k).alias("since"), F.substring(text, (since(k) + 1).cast("int"), (until - since(k)).cast("int")).alias("body"))
+            return F.transform(F.array(cut), lambda c: part(block, c["since"], c["body"]))[0]
+
+        return F.array_join(F.transform(blocks, of), "")
+
+    made = F.transform(F.array(F.struct(blocks.alias("blocks"), reach(blocks).alias("tops"))), whole)[0]
+    return F.when(F.size(spans) > 0, made).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

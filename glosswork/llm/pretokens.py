@@ -51,40 +51,62 @@ def _heads_and_rests(texts: list[str]) -> tuple[list[list[str]], list[str | None
     return heads, rests
 
 
+class _Recent:
+    """Values of keys, of which the older half is forgotten whenever the newer half holds ``most``."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.new: dict[str, tuple[bytes, ...]] = {}
+        self.old: dict[str, tuple[bytes, ...]] = {}
+
+    def find(self, keys: list[str]) -> list[tuple[bytes, ...] | None]:
+        """The values of the keys, None for unknown ones; what is found in the older half moves to the newer one."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        found = list(map(self.new.get, keys))
+        for i, value in enumerate(found):
+            if value is None and (value := self.old.get(keys[i])) is not None:
+                found[i] = self.new[keys[i]] = value
+        return found
+
+
 class PieceMemory:
     """Numbers made of words, put together text by text.
 
     ``encode`` gives for a list of new words, for each of ``kinds`` (a numpy dtype), their numbers as bytes. What was made
-    of words and of pieces between spaces is remembered, and forgotten once there are more than ``most``, so memory is
-    bounded; results do not depend on it.
+    of recent words and of recent pieces between spaces is remembered, twice ``most`` of each and those of one call; results
+    do not depend on it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[bytes]]], kinds: list[str], most: int = 600_000):
-        self.encode, self.kinds, self.most = encode, kinds, most
-        self.of_word: dict[str, tuple[bytes, ...]] = {}
-        self.of_piece: dict[str, tuple[bytes, ...]] = {}
+    def __init__(self, encode: Callable[[list[str]], list[list[bytes]]], kinds: list[str], most: int = 350_000):
+        self.encode, self.kinds = encode, kinds
+        self.words, self.pieces = _Recent(most), _Recent(most)
+
+    def _of_words(self, words: list[str]) -> dict[str, tuple[bytes, ...]]:
+        found = self.words.find(words)
+        new = [w for w, value in zip(words, found, strict=True) if value is None]
+        made = dict(zip(new, zip(*self.encode(new), strict=True), strict=True)) if new else {}
+        self.words.new.update(made)
+        return {w: made[w] if value is None else value for w, value in zip(words, found, strict=True)}
 
-    def _known(self, heads: list[list[str]], pieces: list[str]) -> list[tuple[bytes, ...]]:
-        """What each piece became, after the words of these heads and pieces have been learned."""
-        if len(self.of_piece) > self.most or len(self.of_word) > self.most:
-            self.of_word, self.of_piece = {}, {}
-        known = [self.of_piece.get(p) for p in pieces]
+    def _known(self, heads: list[list[str]], pieces: list[str]) -> tuple[dict[str, tuple[bytes, ...]], list[tuple[bytes, ...]]]:
+        """What the words of the heads and each piece became."""
+        known = self.pieces.find(pieces)
         new = [i for i, k in enumerate(known) if k is None]
         inside = [[" " + p] if p.isascii() and p.isalpha() else split_words(" " + p) for p in (pieces[i] for i in new)]
-        words = [w for w in set().union(*heads, *inside) if w not in self.of_word]
-        if words:
-            self.of_word.update(zip(words, zip(*self.encode(words), strict=True), strict=True))
+        of_word = self._of_words(list(set().union(*heads, *inside)))
         for i, parts in zip(new, inside, strict=True):
-            found = [self.of_word[w] for w in parts]
-            known[i] = self.of_piece[pieces[i]] = found[0] if len(found) == 1 else tuple(map(b"".join, zip(*found, strict=True)))
-        return known
+            found = [of_word[w] for w in parts]
+            known[i] = self.pieces.new[pieces[i]] = found[0] if len(found) == 1 else tuple(map(b"".join, zip(*found, strict=True)))
+        return of_word, known
 
     def join(self, texts: list[str]) -> Iterator[tuple[bytes, ...]]:
         """For each text, the numbers of all its words in order, of each kind."""
         heads, rests = _heads_and_rests(texts)
         lists = pc.split_pattern(pa.array(rests, pa.string()), " ")
         coded = lists.flatten().dictionary_encode()
-        known, codes = self._known(heads, coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        of_word, known = self._known(heads, coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy()
         bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
         made = []
         for kind, dtype in enumerate(self.kinds):
@@ -96,5 +118,5 @@ class PieceMemory:
             at = np.arange(ends[-1]) + np.repeat((np.cumsum(lengths) - lengths)[codes] - ends[:-1], each)
             made.append((flat[at], ends[bounds].tolist()))
         for i, head in enumerate(heads):
-            words = [self.of_word[w] for w in head]
+            words = [of_word[w] for w in head]
             yield tuple(b"".join([w[k] for w in words]) + data[ends[i] : ends[i + 1]].tobytes() for k, (data, ends) in enumerate(made))

@@ -45,14 +45,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[of(k.name) for k in pii.KINDS if k.base],
         F.sha2(pii.joined_spans(base).cast("binary"), 256).alias("base_sha256"),
         pii.joined_spans(F.col("pii_spans")).alias("spans"),
+        F.array_join(F.transform("pii_spans", lambda x: x["score"].cast("string")), ",").alias("scores"),
     )
 
 
 def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = imatch.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
-    digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
-    thin = marked.select("id", "h", F.length("text").cast("long").alias("n_chars"), digest, "parts", "edited_parts", "next_id", "next_h")
-    thin = imatch.with_next_parts(materialise(thin, "imatch-parts"))
+    digest = F.sha2(F.col("edited").cast("binary"), 256)
+    thin = imatch.fingerprint_with_edits(_table(spark, sf_dir, "documents"), carry={"n_chars": F.length("text").cast("long"), "edited_sha256": digest})
     return thin.select(
         F.col("id").alias("doc_id"),
         "n_chars",

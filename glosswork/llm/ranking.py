@@ -24,12 +24,26 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, rank
 def numbered(df: DataFrame, group: list[str], name: str, rank: str = "rank", compression: str = "snappy") -> DataFrame:
     """Add ``rank``: a number from 0 for every row of a group, each once, in no stated order.
 
-    As ``ranked``, but rows stay in their partitions, so nothing but the counts is shuffled.
+    As ``ranked``, but rows stay in their partitions. Here every partition may hold every group, so the counts are a table
+    of partitions times groups: Spark broadcasts it only while its written size is below the session's threshold, and
+    else joins it by shuffle.
     """
-    return _counted(df.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in group]), group, name, rank, compression)
+    return _counted(df.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in group]), group, name, rank, compression, few=False)
 
 
-def _counted(placed: DataFrame, group: list[str], name: str, rank: str, compression: str = "snappy") -> DataFrame:
+def join_counted(rows: DataFrame, named: DataFrame, key: str, count: str, columns: list[str]) -> DataFrame:
+    """``columns`` of the inner join of rows with ``named``, which has one row a key and the key's number of rows in ``count``.
+
+    A key of a thousandth of the rows or more is hot. There are a thousand of them at most, so these are broadcast and
+    the rows of a hot key stay where they are; the others meet by shuffle, and no task gets more than a thousandth by one key.
+    """
+    total = rows.count()
+    hot = F.col(count) * 1000 >= total
+    rare = rows.join(F.broadcast(named.where(hot).select(key)), key, "left_anti")
+    return rows.join(F.broadcast(named.where(hot)), key).select(columns).union(rare.join(named.where(~hot), key).select(columns))
+
+
+def _counted(placed: DataFrame, group: list[str], name: str, rank: str, compression: str = "snappy", few: bool = True) -> DataFrame:
     """Ranks in partitions that are sorted by group, from a written table that fixes each row's place."""
     columns = placed.columns
     placed = materialise(placed.withColumn("_at", F.monotonically_increasing_id()), name, compression)
@@ -47,5 +61,7 @@ def _counted(placed: DataFrame, group: list[str], name: str, rank: str, compress
     match = F.col("_part") == F.col("_op")
     for i, c in enumerate(group):
         match = match & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    joined = placed.join(F.broadcast(offsets), match)  # at most partitions + groups rows
+    # dealt by range, a partition shares groups with its neighbours only: at most partitions + groups rows
+    offsets = F.broadcast(offsets) if few else materialise(offsets, f"{name}-offsets")
+    joined = placed.join(offsets, match)
     return joined.select(*columns, (F.col("_local") + F.col("_shift")).alias(rank))

@@ -103,14 +103,14 @@ def plan_moves(blocks: dict[Block, tuple[int, int]], shards: int) -> list[Move]:
     return moves
 
 
-def reshard(rows: DataFrame, shards: int, folder: str | None = None, rows_per_file: int = 5_000) -> DataFrame:
+def reshard(rows: DataFrame, shards: int, folder: str | None = None, bytes_per_file: int = 1 << 26) -> DataFrame:
     """Move rows of (old_shard: int, size: long, ...) to ``shards`` shards of equal row counts; adds shard and slot.
 
     A block is the rows of one old shard whose sizes have the same power of two, so there are at most old shards x 63.
     Rows are laid out by block in a written table (the old files) and numbered there by their place, without a shuffle;
     the flow over the blocks' rows and bytes is solved on the driver; its moves, at most blocks + shards, map numbers to
     new shards and gapless slots. Only shards that lose or gain rows are rewritten below ``folder``, in files of about
-    ``rows_per_file`` rows of mixed sizes; the others' rows are read where they are. Sizes must be positive. An empty
+    ``bytes_per_file`` of rows of mixed sizes, as many tasks as files; the others' rows are read where they are. Sizes must be positive. An empty
     table gives an empty one.
     """
     spark = rows.sparkSession
@@ -130,9 +130,9 @@ def reshard(rows: DataFrame, shards: int, folder: str | None = None, rows_per_fi
     placed = placed.select(*columns, "shard", (F.col("block_rank") + F.col("shift")).alias("slot"))
     changed = sorted({x for m in moves if m.shard != m.block[0] for x in (m.shard, m.block[0])} & set(range(shards)))
     folder = folder or new_folder(spark, "shards")
-    files = F.lit(1 + sum(filled.values()) // (shards * rows_per_file))
+    files = 1 + sum(r["bytes"] for r in sums) // (shards * bytes_per_file)
     moving = placed.where(F.col("shard").isin(changed))
-    moving.repartition("shard", F.pmod("slot", files)).write.partitionBy("shard").parquet(folder, compression="zstd")
+    moving.repartition(shards * files, "shard", F.pmod("slot", F.lit(files))).write.partitionBy("shard").parquet(folder, compression="zstd")
     rewritten = spark.read.schema(placed.schema).parquet(folder).select(placed.columns)
     return rewritten.union(placed.where(~F.col("shard").isin(changed)))
 

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from glosswork.llm.components import connected_components
+from glosswork.llm.ranking import join_counted
 from glosswork.llm.storage import materialise
 
 SEED = 42
@@ -85,12 +86,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     exact for every pair within two bits.
     """
     thin = materialise(fingerprints(docs, id_col, text_col), "simhash-fp")
-    nodes = materialise(thin.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
+    nodes = materialise(thin.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     labels = connected_components(fingerprint_links(nodes.select("fp")), "simhash-edges")
     labelled = nodes.join(labels, nodes.fp == labels.node, "left").select(
-        "fp", "least", F.coalesce("label", "fp").alias("label")
+        "fp", "n", "least", F.coalesce("label", "fp").alias("label")
     )
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "label").select("fp", "component_id")
-    # a fingerprint may hold a third of the rows; the rows are 16 bytes wide and adaptive execution splits the hot side
-    return thin.join(named, "fp").select("id", "fp", "component_id")
+    named = materialise(labelled.join(least, "label").select("fp", "n", "component_id"), "simhash-named")
+    return join_counted(thin, named, "fp", "n", ["id", "fp", "component_id"])

@@ -6,21 +6,15 @@ lost executor costs a re-read, never a recomputation from the start.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_ROOTS: dict[str, str] = {}
-
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of this application; a folder of our own only where the session names none."""
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _OWN_ROOTS.setdefault(app, "file://" + tempfile.mkdtemp(prefix="glosswork-"))
-    return f"{root.rstrip('/')}/glosswork-{app}"
+    """The folder of this application below ``spark.checkpoint.dir``; below the warehouse, which is shared too, where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/glosswork-{spark.sparkContext.applicationId}"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

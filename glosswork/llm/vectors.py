@@ -70,11 +70,10 @@ def _cells(batch_ids: np.ndarray, salt: np.ndarray, blocks: np.ndarray, p: Pigeo
             yield pa.RecordBatch.from_arrays(columns, names=["cell", "block", "probe", "rep", *[f"x{i}" for i in range(p.block_dims)]])
 
 
-def usable_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(id, label, vector: array<double>) of the rows that can link: label and vector given, finite and not zero."""
-    thin = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return thin.where("id is not null and label is not null and size(vector) > 0").where(finite).where(F.exists("vector", lambda x: x != 0))
+def usable_vectors(rows: DataFrame, vector_col: str = "vector", label_col: str = "label") -> DataFrame:
+    """The rows that can link: label and vector (array<double>) given, finite and not zero."""
+    finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return rows.where(F.col(label_col).isNotNull() & (F.size(vector_col) > 0)).where(finite).where(F.exists(vector_col, lambda x: x != 0))
 
 
 def candidate_pairs(classes: DataFrame, params: PigeonholeParams = PigeonholeParams()) -> DataFrame:
@@ -140,31 +139,32 @@ def verified_links(candidates: DataFrame, classes: DataFrame, least_cosine: floa
 
 
 def near_duplicate_vectors(rows: DataFrame, params: PigeonholeParams = PigeonholeParams(), id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(id, n_links, component_id, kept): one row per distinct id of ``rows``.
+    """(id, n_links, component_id, kept): one row per row of ``rows``.
 
     Vectors of one label link when their cosine is at least ``least_cosine``; vectors that are null, zero or hold null or
     non-finite parts, and rows without a label, link with nothing; vectors of different lengths are never compared.
     Equal vectors collapse to one class before the join, so a group of copies costs one vector; every link between
-    different vectors is found and verified exactly. n_links counts the other vectors linked directly, copies included.
-    Rows that repeat an id count once, by the smallest label and vector; rows without an id are left out.
+    different vectors is found and verified exactly. n_links counts the other rows linked directly, copies included.
+    Every row is a vector of its own, also one that repeats an id or has none; a null id never names a component
+    (one of null ids only has a null component_id) and is not kept.
     """
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows = rows.where("id is not null").groupBy("id").agg(F.min(F.struct("label", "vector")).alias("v")).select("id", "v.label", "v.vector")
-    rows = materialise(rows, "vectors")
-    usable = usable_vectors(rows, "id", "vector", "label").withColumn("h", F.xxhash64("vector"))
-    classes = usable.groupBy("label", "h", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    usable = usable_vectors(rows).withColumn("h", F.xxhash64("vector"))
+    classes = usable.groupBy("label", "h", "vector").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes, "vector-classes")
     links = materialise(verified_links(candidate_pairs(classes, params), classes, params.least_cosine), "vector-links")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sizes = classes.select(F.col("rep").alias("b"), "copies")
     others = both.join(sizes, "b").groupBy("a").agg(F.sum("copies").alias("others"))
     labels = connected_components(links, "vector-edges").select(F.col("node").alias("rep"), F.col("label").alias("component"))
-    named = classes.join(others, classes.rep == others.a, "left").join(labels, "rep", "left").select(
-        F.col("label").alias("l"), "h", F.col("vector").alias("v"),
-        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+    grouped = classes.select("rep", "least").join(labels, "rep", "left").select("rep", "least", F.coalesce("component", "rep").alias("component"))
+    named = grouped.join(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("rep", "component_id")
+    known = classes.join(others, classes.rep == others.a, "left").join(named, "rep").select(
+        F.col("label").alias("l"), F.col("h").alias("k"), F.col("vector").alias("v"),
+        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id",
     )
-    joined = usable.join(named, (usable.h == named.h) & (usable.label == named.l) & (usable.vector == named.v)).select("id", "n_links", "component_id")
-    alone = rows.join(joined.select("id"), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    result = joined.select("id", F.col("n_links").cast("long").alias("n_links"), "component_id").union(alone)
-    return result.withColumn("kept", F.col("id") == F.col("component_id"))
+    joined = usable.join(known, (F.col("h") == F.col("k")) & (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v"))).select("row", "id", "n_links", "component_id")
+    alone = rows.join(joined.select("row"), "row", "left_anti").select("row", "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    result = joined.select("row", "id", F.col("n_links").cast("long").alias("n_links"), "component_id").union(alone)
+    return result.select("id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -145,8 +145,14 @@ def test_language_model_learns_and_rejects(spark):
     assert got[1004]["lang_pred"] == "xx"
     assert got[1003]["lang_pred"] in model.languages
     assert langid.predict(docs.where("false"), model).count() == 0
+    unknowing = langid.train(docs.where("false"), F.lit(True))
+    assert unknowing.languages == ()
+    blank = langid.predict(docs, unknowing).collect()
+    assert len(blank) == 302 and all((r["lang_pred"], r["lang_score"], r["lang_accepted"]) == ("und", 0, False) for r in blank)
+    many = docs.sparkSession.range(5).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.col("id").cast("string").alias("lang"))
+    assert langid.train(many, F.lit(True)).languages == tuple("01234")
     with pytest.raises(ValueError):
-        langid.train(docs.where("false"), F.lit(True))
+        langid.train(many, F.lit(True), langid.LangIdParams(most_languages=4))
 
 
 def test_quality_model_learns_from_good_labels(spark):
@@ -435,13 +441,20 @@ def test_vectors_link_exactly(spark):
         rows.append((i, (c * rng.uniform(0.1, 9)).astype(np.float32).tolist(), int(i % 12 // 4)))
     rows += [(1000, rows[0][1], None), (1001, None, 0), (1002, [0.0] * 20, 0), (1003, [float("nan")] * 20, 0), (1004, [None] + [1.0] * 19, 0), (1005, rows[0][1][:7], 0), (1006, rows[0][1][:7], 0), (1007, [], 0), (1008, [float("inf")] * 20, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit("clash"))
-    got = {r["id"]: r for r in vectors.near_duplicate_vectors(df.union(df.where("vec_id = 3"))).collect()}
-    assert len(got) == len(rows)
-    good = [(i, np.array(v, float), x) for i, v, x in rows if x is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    nameless = df.where("vec_id in (0, 1001)").withColumn("vec_id", F.lit(None).cast("long"))
+    found = vectors.near_duplicate_vectors(df.union(df.where("vec_id = 3")).union(nameless)).collect()
+    places = [*rows, rows[3], (None, *rows[0][1:]), (None, None, 0)]  # a repeated row, one without an id, one with neither
+    good = [(k, np.array(v, float), x) for k, (_, v, x) in enumerate(places) if x is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
     links = [(a, b) for a, v, x in good for b, w, y in good if a < b and x == y and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.98]
     degree = Counter(x for e in links for x in e)
-    roots = same_components(links, [r[0] for r in rows])
+    roots = same_components(links, list(range(len(places))))
+    least = {}
+    for k, (i, *_) in enumerate(places):
+        least.setdefault(roots[k], []).extend([] if i is None else [i])
+    want = Counter()
+    for k, (i, *_) in enumerate(places):
+        root = min(least[roots[k]], default=None)
+        want[i, degree[k], root, i is not None and i == root] += 1
     assert len(links) > 300
-    for i, *_ in rows:
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (degree[i], roots[i], roots[i] == i)
+    assert Counter((r["id"], r["n_links"], r["component_id"], r["kept"]) for r in found) == want
     assert vectors.near_duplicate_vectors(df.where("false")).count() == 0
