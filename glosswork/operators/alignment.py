@@ -158,8 +158,14 @@ def apply_replacements(terms: DataFrame, replacements: DataFrame) -> DataFrame:
     return terms.join(new, keys, "left").select(*keys, F.coalesce("_new", "term").alias("term"))
 
 
-def normalise_enum(value: Column, allowed: list[str], synonyms: dict[str, str], default: str | None = None) -> Column:
-    """The value if allowed, else its snake-cased form if that is, else the synonym's value, else the default."""
+def normalise_enum(value: Column, allowed: list[str], synonyms: dict[str, str], default: str | None = None, prefixes: dict[str, str] | None = None) -> Column:
+    """The value if allowed, else its snake-cased form if that is, else the synonym's value, else that of the first listed
+    prefix that the snake-cased form has, else the default.
+    """
     snake = F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), r"[\s-]+", "_"), r"[^a-z0-9_]", "")
     known = F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair])
-    return F.when(value.isin(allowed), value).when(snake.isin(allowed), snake).otherwise(F.coalesce(F.element_at(known, snake), F.lit(default)))
+    begins = F.when(F.lit(False), F.lit(default))
+    for prefix, meant in (prefixes or {}).items():
+        begins = begins.when(snake.startswith(prefix), meant)
+    known = F.element_at(known, snake) if synonyms else F.lit(None)
+    return F.when(value.isin(allowed), value).when(snake.isin(allowed), snake).otherwise(F.coalesce(known, begins, F.lit(default)))

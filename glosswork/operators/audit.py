@@ -128,8 +128,29 @@ def schema_check(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return rows.select(*KEYS, F.explode(broken).alias("message"))
 
 
+def first_messages(rows: DataFrame, rules: dict[str, Column], most: int = 3) -> DataFrame:
+    """Per unit the first messages of its broken rules, by step and then in the order of the rules, and how many there are."""
+    broken = F.array(*[F.when(F.coalesce(bad, F.lit(True)), message) for message, bad in rules.items()])
+    long = rows.select(*KEYS, F.posexplode(broken).alias("rule", "message")).where("message is not null")
+    w = Window.partitionBy("unit_id").orderBy("step_no", "rule")
+    first = long.withColumn("k", F.row_number().over(w))
+    listed = F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.struct("k", F.concat_ws(": ", "step_no", "message").alias("m")))))
+    return first.groupBy("unit_id").agg(F.array_join(F.transform(listed, lambda x: x["m"]), "; ").alias("messages"), F.count(F.lit(1)).alias("broken"))
+
+
+def _units_without(units: DataFrame, parts: DataFrame, fault: str) -> DataFrame:
+    return units.select("unit_id").join(parts.select("unit_id"), "unit_id", "left_anti").select("unit_id", F.lit(fault).alias("fault"))
+
+
+def content_checks(units: DataFrame, steps: DataFrame, spans: DataFrame, phrases: DataFrame, terms: DataFrame, points: str) -> DataFrame:
+    """Faults of a unit's content: no spans, steps without phrases, terms without any of the points."""
+    bare_steps = steps.select(*KEYS).join(phrases.select(*KEYS), KEYS, "left_anti").select("unit_id", F.lit("no_phrases").alias("fault"))
+    bare_terms = terms.where(~F.col("term").rlike(points)).select("unit_id", F.lit("terms_without_points").alias("fault"))
+    return _units_without(units, spans, "no_spans").union(bare_steps.union(bare_terms).distinct())
+
+
 def structure_checks(units: DataFrame, steps: DataFrame) -> DataFrame:
-    """Faults of a unit: no steps, a short topic, a short overview, steps with short titles."""
+    """Faults of a unit's structure: no steps, a short topic, a short overview, steps with short titles."""
     g = steps.groupBy("unit_id").agg(F.count(F.lit(1)).alias("steps"), F.count(F.when(F.length("title") < 3, 1)).alias("short_titles"))
     j = units.join(g, "unit_id", "left")
     faults = [

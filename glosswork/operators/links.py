@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def filter_links(links: DataFrame, titles: list[str], categories: list[str]) -> DataFrame:
-    """Links of wanted categories and titles."""
-    return links.where(F.col("category").isin(categories) & F.col("title").isin(titles))
+    """Links of wanted categories and titles; of a list comp_date its first element is the year, null without one."""
+    kept = links.where(F.col("category").isin(categories) & F.col("title").isin(titles))
+    return kept.withColumn("year", F.get("comp_date", 0)).drop("comp_date") if "comp_date" in links.columns else kept
 
 
 def bucket_of(title: Column, buckets: dict[str, str], default: str = "other") -> Column:
@@ -76,6 +77,14 @@ def pivot_buckets(comments: DataFrame, buckets: list[str]) -> DataFrame:
     return g.withColumn("full_buckets", full)
 
 
+def bucket_arrays(comments: DataFrame, buckets: list[str], value: str = "source_ref") -> DataFrame:
+    """Per step (unit_id, line_no) an array of each bucket's values in order of pos, and the number of buckets that have any."""
+    gathered = [F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.struct("pos", value)))).alias(b) for b in buckets]
+    g = comments.groupBy("unit_id", "line_no").agg(*gathered)
+    full = sum((F.size(b) > 0).cast("int") for b in buckets)
+    return g.select("unit_id", "line_no", *[F.transform(b, lambda x: x[value]).alias(b) for b in buckets], full.alias("full_buckets"))
+
+
 def term_redundancy(terms: DataFrame, norm: Column) -> DataFrame:
     """Per unit: terms, different ones, and those that occurred before."""
     g = terms.withColumn("_norm", norm).groupBy("unit_id").agg(F.count(F.lit(1)).alias("total"), F.count_distinct("_norm").alias("distinct_terms"))

@@ -63,6 +63,14 @@ def build_catalogue(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("source", F.lit("Other")).alias("collection"), topic.alias("main_topic"), F.concat("source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".json")).alias("file")).orderBy("collection", "doc_id")
 
 
+def catalogue_of_analyses(units: DataFrame) -> DataFrame:
+    """The seven fields of a catalogue for read analyses (with their file), missing ones blank, number 0 and side a, in order
+    of collection, number and side.
+    """
+    blank = {"ref": "", "collection": "", "unitNo": 0, "side": "a", "mainTopic": "", "generatedAt": "", "file": ""}
+    return units.select(*[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in blank.items()]).orderBy("collection", "unitNo", "side")
+
+
 def filter_catalogue(entries: DataFrame, needle: str, fields: list[str], collection: str) -> DataFrame:
     """Entries that contain the needle in any field, case-insensitive, counted by collection beside all."""
     hit = F.lit(False)
@@ -87,22 +95,25 @@ def neighbours(entries: DataFrame) -> DataFrame:
 
 
 def usage_by_pass(usage: DataFrame) -> DataFrame:
-    """Seconds and tokens per pass and over all (pass null); usage without a pass is unknown."""
+    """Seconds, tokens and (of priced usage) dollars per pass and over all (pass null); usage without a pass is unknown."""
     p = usage.withColumn("pass", F.coalesce("pass", F.lit("unknown")))
-    return p.rollup("pass").agg(F.round(F.sum("seconds"), 4).alias("seconds"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count(F.lit(1)).alias("calls"))
+    usd = [F.round(F.sum("usd"), 6).alias("usd")] if "usd" in usage.columns else []
+    return p.rollup("pass").agg(F.round(F.sum("seconds"), 4).alias("seconds"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count(F.lit(1)).alias("calls"), *usd)
 
 
-def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
+def price_usage(usage: DataFrame, prices: DataFrame, free_providers: tuple[str, ...] = ("local",)) -> DataFrame:
     """Adds usd by prices (price_model, input, output) a million tokens: the exact model, else the longest listed prefix, else 0.
 
-    Models are few next to calls, so each model is priced once.
+    Calls whose ``provider``, where usage has one, is a free one cost 0. Models are few next to calls, so each model is
+    priced once.
     """
     models = usage.select("model").distinct()
     hit = models.join(F.broadcast(prices), F.col("model").startswith(F.col("price_model")))  # a price list written by people
     best = hit.groupBy("model").agg(F.max_by(F.struct("input", "output"), F.length("price_model")).alias("p"))
     j = usage.join(best, "model", "left")
     usd = (F.col("input_tokens") * F.col("p.input") + F.col("output_tokens") * F.col("p.output")) / 1e6
-    return j.select(*usage.columns, F.coalesce(usd, F.lit(0.0)).alias("usd"))
+    free = F.coalesce(F.col("provider").isin(*free_providers), F.lit(False)) if "provider" in usage.columns else F.lit(False)
+    return j.select(*usage.columns, F.when(free, 0.0).otherwise(F.coalesce(usd, F.lit(0.0))).alias("usd"))
 
 
 def last_model_per_pass(usage: DataFrame) -> DataFrame:
@@ -156,11 +167,16 @@ def effort_correlation(effort: DataFrame, size: str, minutes: str) -> DataFrame:
 
 
 def parse_pass_progress(log: DataFrame) -> DataFrame:
-    """Per run the last pass that its log names, how many passes there are, and how many it has named."""
+    """Per run the last pass that its log names, with its message, how many passes there are, how many it has named, and for
+    each pass in order whether it is done, that is, before the last one.
+    """
     n = F.regexp_extract("msg", r"^Pass (\d+)/(\d+): (.*)$", 1).try_cast("int")
     of = F.regexp_extract("msg", r"^Pass (\d+)/(\d+): (.*)$", 2).try_cast("int")
-    named = log.select("run_id", "ts", "seq", n.alias("n"), of.alias("of")).where("n is not null")
-    return named.groupBy("run_id").agg(F.max_by("n", F.struct("ts", "seq")).alias("last_pass"), F.max("of").alias("passes"), F.count_distinct("n").alias("passes_seen"))
+    said = F.regexp_extract("msg", r"^Pass (\d+)/(\d+): (.*)$", 3)
+    named = log.select("run_id", "ts", "seq", n.alias("n"), of.alias("of"), said.alias("said")).where("n is not null")
+    g = named.groupBy("run_id").agg(F.max_by(F.struct("n", "said"), F.struct("ts", "seq")).alias("last"), F.max("of").alias("passes"), F.count_distinct("n").alias("passes_seen"))
+    done = F.transform(F.sequence(F.lit(1), F.greatest("passes", F.lit(1))), lambda k: k < F.col("last.n"))
+    return g.select("run_id", F.col("last.n").alias("last_pass"), F.col("last.said").alias("last_message"), "passes", "passes_seen", done.alias("done"))
 
 
 def progress_tail(log: DataFrame, keep: int = 200) -> DataFrame:

@@ -116,6 +116,26 @@ def a10(spark, d):
     })
 
 
+@query("a10_first_messages", sql("""with b as (select unit_id, step_no, 0 as rule, 'label is not listed' as message from fx_steps where label not in ('statement', 'challenge', 'proof', 'question') union all select unit_id, step_no, 1, 'text is too short' from fx_steps where length(text) < 200 union all select unit_id, step_no, 2, 'role is not listed' from fx_steps where role not in ('user', 'assistant')),
+k as (select *, row_number() over (partition by unit_id order by step_no, rule) k from b) select unit_id, string_agg(concat(step_no, ': ', message), '; ' order by k) filter (k <= 3) as messages, count(*) as broken from k group by 1"""))
+def a10b(spark, d):
+    return A.first_messages(fx(spark, d, "fx_steps"), {
+        "label is not listed": ~F.col("label").isin("statement", "challenge", "proof", "question"),
+        "text is too short": F.length("text") < 200,
+        "role is not listed": ~F.col("role").isin("user", "assistant"),
+    })
+
+
+@query("a11_content_checks", sql("""select distinct conv_id as unit_id, 'no_spans' as fault from conversations where conv_id % 6 = 0 union all select distinct unit_id, 'no_phrases' from fx_steps where (unit_id + step_no) % 11 = 0
+union all select distinct unit_id, 'terms_without_points' from fx_terms where term_pos <= 2 and not regexp_matches(term, '[éèaeiou]')"""))
+def a11b(spark, d):
+    steps = fx(spark, d, "fx_steps")
+    units = steps.select("unit_id").distinct()
+    spans = units.where("unit_id % 6 > 0")
+    phrases = steps.where("(unit_id + step_no) % 11 > 0")
+    return A.content_checks(units, steps, spans, phrases, fx(spark, d, "fx_terms").where("term_pos <= 2"), "[éèaeiou]")
+
+
 TITLES = "t as (select conv_id as unit_id, case when conv_id % 5 = 0 and turn = 0 then 'x' else role end as title, turn from conversations)"
 
 

@@ -11,53 +11,115 @@ from glosswork.sources.scratch import scratch_folder
 from glosswork.streaming import corrections as C
 
 
+# what the tables of analyses are derived from: steps with three terms, one to two comments, and spans of four steps
+UNITS = "a as (select *, concat('Unit ', unit_id) as ref from fx_steps)"
+
+
+def tables(spark, d):
+    """The flat tables of one analysis a conversation."""
+    steps = fx(spark, d, "fx_steps").withColumn("ref", F.concat(F.lit("Unit "), F.col("unit_id").cast("string")))
+    steps = steps.withColumnsRenamed({"step_no": "stepNumber", "branch_role": "branchRole", "role": "title"})
+    deps = fx(spark, d, "fx_deps").where("dep_step > 0").selectExpr("concat('Unit ', unit_id) as ref", "step_no as stepNumber", "dep_step as dependsOn")
+    terms = fx(spark, d, "fx_terms").where("term_pos <= 3").selectExpr("concat('Unit ', unit_id) as ref", "step_no as stepNumber", "term_pos - 1 as pos", "term", "concat('of ', reverse(term)) as meaning")
+    comments = steps.selectExpr("ref", "stepNumber", f"element_at(array({', '.join(repr(b) for b in R.BUCKETS)}), stepNumber % 4 + 1) as bucket", "explode(sequence(0, cast(unit_id % 2 as int))) as pos", "title", "label", "unit_id")
+    comments = comments.selectExpr("ref", "stepNumber", "bucket", "pos", "concat('source ', pos) as source", "concat('c ', unit_id, ':', stepNumber) as commentRef", "title as takeaway", "label")
+    return {
+        "units": steps.groupBy("ref").agg(F.min_by("text", "stepNumber").alias("mainTopic"), F.first("unit_id").cast("int").alias("unitNo")),
+        "spans": steps.groupBy("ref", F.floor((F.col("stepNumber") - 1) / 4).cast("int").alias("k")).agg(F.min("stepNumber").alias("startLine"), F.max("stepNumber").alias("endLine")).selectExpr("ref", "k + 1 as spanNumber", "startLine", "endLine", "concat('topic ', k) as topic"),
+        "steps": steps.selectExpr("ref", "stepNumber", "label", "title", "branchRole", "substr(text, 1, 40) as what", "case when stepNumber % 3 = 0 then 'Low' else 'High' end as confidence"),
+        "phrases": steps.select("ref", "stepNumber", F.posexplode(F.split("text", "\n")).alias("p", "source")).select("ref", "stepNumber", (F.col("p") + 1).alias("phraseNumber"), "source", F.reverse("source").alias("translation")),
+        "terms": terms,
+        "comments": comments.drop("label"),
+        "comment_phrases": comments.selectExpr("ref", "stepNumber", "bucket", "pos", "1 as phraseNumber", "label as source"),
+        "dependencies": deps,
+    }
+
+
 def assembled(spark, d):
-    steps = fx(spark, d, "fx_steps").select(F.concat(F.lit("Unit "), F.col("unit_id").cast("string")).alias("ref"), F.col("step_no").alias("stepNumber"), "label", F.col("role").alias("title"), F.col("branch_role").alias("branchRole"), "text")
-    phrases = steps.select("ref", "stepNumber", F.posexplode(F.split("text", "\n")).alias("p", "source")).select("ref", "stepNumber", (F.col("p") + 1).alias("phraseNumber"), "source")
-    units = steps.groupBy("ref").agg(F.min_by("text", "stepNumber").alias("mainTopic"))
-    return R.assemble_analyses(units, steps.drop("text"), phrases)
+    return R.assemble_analyses(tables(spark, d))
 
 
 def written(spark, d):
-    """Assembled analyses as JSON lines, with a malformed and a ref-less line for every tenth unit."""
+    """Assembled analyses as JSON lines in the published form, with a malformed and a ref-less line for every tenth unit, and
+    one without spans for every seventh.
+    """
     path = scratch_folder(spark, "analyses")
-    a = assembled(spark, d)
-    lines = a.select("ref", F.to_json(F.struct(*a.columns)).alias("value"))
-    tenth = lines.where("cast(substr(ref, 6) as int) % 10 = 0")
+    lines = R.as_documents(assembled(spark, d))
+    unit = F.get_json_object("value", "$.daf").cast("int")
+    tenth = lines.where(unit % 10 == 0)
     broken = tenth.select(F.substring("value", F.lit(1), F.length("value") - 5).alias("value"))
-    lines.select("value").union(broken).union(tenth.select(F.lit('{"mainTopic": "no ref"}'))).write.text(path)
+    bare = lines.where(unit % 7 == 0).select(F.lit('{"ref": "Unit x", "steps": []}'))
+    lines.union(broken).union(tenth.select(F.lit('{"mainTopic": "no ref"}'))).union(bare).write.text(path)
     return R.read_analyses(spark, path, file_pattern=None, multi_line=False)
 
 
+def flat(spark, d, name):
+    return R.explode_analyses(written(spark, d)[0])[name]
+
+
 @query("s1_read_analyses", sql("select concat('Unit ', conv_id) as ref, min_by(text, turn) as main_topic, count(*) as steps from conversations group by conv_id"))
 def s1(spark, d):
     good, _ = written(spark, d)
     return good.select("ref", F.col("mainTopic").alias("main_topic"), F.size("steps").cast("bigint").alias("steps"))
 
 
-@query("s1_quarantine", sql("select kind, count(distinct conv_id) as documents from conversations, (select unnest(['malformed', 'no ref']) as kind) where conv_id % 10 = 0 group by 1"))
+@query("s1_quarantine", sql("select kind, count(distinct conv_id) as documents from conversations, (select unnest(['malformed', 'no ref', 'no spans']) as kind) where conv_id % (case kind when 'no spans' then 7 else 10 end) = 0 group by 1"))
 def s1b(spark, d):
     _, bad = written(spark, d)
-    kind = F.when(F.col("_corrupt").isNotNull(), "malformed").otherwise("no ref")
-    return bad.select(kind.alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("documents"))
+    return bad.groupBy(F.col("reason").alias("kind")).agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query("s2_explode_steps", sql("select concat('Unit ', unit_id) as ref, step_no as stepNumber, label, role as title, cast(null as varchar) as summary, branch_role as branchRole from fx_steps"))
+@query("s2_explode_steps", sql("select concat('Unit ', unit_id) as ref, step_no as stepNumber, label, role as title, cast(null as varchar) as summary, branch_role as branchRole, substr(text, 1, 40) as what, case when step_no % 3 = 0 then 'Low' else 'High' end as confidence from fx_steps"))
 def s2(spark, d):
-    return R.explode_analyses(written(spark, d)[0])["steps"]
+    return flat(spark, d, "steps").select("ref", "stepNumber", "label", "title", "summary", "branchRole", "what", "confidence")
 
 
-@query("s2_explode_phrases", sql("with p as (select conv_id, turn, string_split(text, chr(10)) as a from conversations) select concat('Unit ', conv_id) as ref, cast(turn + 1 as int) as step_no, cast(generate_subscripts(a, 1) as int) as phrase_no, unnest(a) as source from p"))
+@query("s2_explode_phrases", sql("with p as (select conv_id, turn, string_split(text, chr(10)) as a from conversations), q as (select concat('Unit ', conv_id) as ref, cast(turn + 1 as int) as step_no, cast(generate_subscripts(a, 1) as int) as phrase_no, unnest(a) as source from p) select *, reverse(source) as translation from q"))
 def s2b(spark, d):
-    p = R.explode_analyses(written(spark, d)[0])["phrases"]
-    return p.select("ref", F.col("stepNumber").alias("step_no"), F.col("phraseNumber").alias("phrase_no"), "source")
+    return flat(spark, d, "phrases").select("ref", F.col("stepNumber").alias("step_no"), F.col("phraseNumber").alias("phrase_no"), "source", "translation")
+
+
+@query("s2_explode_spans", sql(f"with {UNITS} select ref, cast((step_no - 1) // 4 + 1 as int) as span_no, min(step_no) as start_line, max(step_no) as end_line, concat('topic ', (step_no - 1) // 4) as topic from a group by 1, 2, (step_no - 1) // 4"))
+def s2c(spark, d):
+    return flat(spark, d, "spans").selectExpr("ref", "spanNumber as span_no", "startLine as start_line", "endLine as end_line", "topic")
+
+
+@query("s2_explode_terms", sql("select concat('Unit ', unit_id) as ref, step_no, cast(term_pos - 1 as int) as pos, term, concat('of ', reverse(term)) as meaning from fx_terms where term_pos <= 3"))
+def s2d(spark, d):
+    return flat(spark, d, "terms").withColumnRenamed("stepNumber", "step_no")
 
 
-@query("s3_assemble_analysis", sql("select concat('Unit ', unit_id) as ref, string_agg(concat(step_no, ':', label), ',' order by step_no) as outline, cast(sum(len(string_split(text, chr(10)))) as bigint) as phrases from fx_steps group by unit_id"))
+COMMENTED = f"""{UNITS}, k as (select *, list_extract(['first', 'second', 'third', 'other'], cast(step_no % 4 + 1 as int)) as bucket, cast(unnest(range(0, cast(unit_id % 2 as int) + 1)) as int) as pos from a)"""
+
+
+@query("s2_explode_comments", sql(f"with {COMMENTED} select ref, step_no, bucket, pos, concat('source ', pos) as source, concat('c ', unit_id, ':', step_no) as comment_ref, role as takeaway from k"))
+def s2e(spark, d):
+    return flat(spark, d, "comments").selectExpr("ref", "stepNumber as step_no", "bucket", "pos", "source", "commentRef as comment_ref", "takeaway")
+
+
+@query("s2_explode_comment_phrases", sql(f"with {COMMENTED} select ref, step_no, bucket, pos, 1 as phrase_no, label as source from k"))
+def s2f(spark, d):
+    return flat(spark, d, "comment_phrases").selectExpr("ref", "stepNumber as step_no", "bucket", "pos", "phraseNumber as phrase_no", "source")
+
+
+@query("s2_explode_dependencies", sql("select concat('Unit ', unit_id) as ref, step_no, dep_step from fx_deps where dep_step > 0"))
+def s2g(spark, d):
+    return flat(spark, d, "dependencies").selectExpr("ref", "stepNumber as step_no", "dependsOn as dep_step")
+
+
+@query("s3_assemble_analysis", sql(f"""with {COMMENTED}, t as (select unit_id, string_agg(term, ',' order by step_no, term_pos) as terms from fx_terms where term_pos <= 3 group by 1), c as (select unit_id, count(*) as comments from k group by 1), p as (select unit_id, count(*) as dependencies from fx_deps where dep_step > 0 group by 1)
+select ref, string_agg(concat(step_no, ':', label), ',' order by step_no) as outline, cast(sum(len(string_split(text, chr(10)))) as bigint) as phrases, cast(max(step_no - 1) // 4 + 1 as bigint) as spans, any_value(t.terms) as terms, any_value(c.comments) as comments, coalesce(any_value(p.dependencies), 0) as dependencies
+from a left join t using (unit_id) left join c using (unit_id) left join p using (unit_id) group by unit_id, ref"""))
 def s3(spark, d):
     a = assembled(spark, d)
+    total = lambda of: F.aggregate("steps", F.lit(0).cast("bigint"), lambda n, s: n + of(s))
+    sized = lambda x: F.when(x.isNull(), 0).otherwise(F.size(x))
     outline = F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s["stepNumber"], s["label"])), ",")
-    return a.select("ref", outline.alias("outline"), F.aggregate("steps", F.lit(0).cast("bigint"), lambda n, s: n + F.size(s["phrases"])).alias("phrases"))
+    terms = F.array_join(F.flatten(F.transform("steps", lambda s: F.transform(F.coalesce(s["keyTerms"], F.array().cast(f"array<{R.TERM}>")), lambda t: t["term"]))), ",")
+    return a.select(
+        "ref", outline.alias("outline"), total(lambda s: sized(s["phrases"])).alias("phrases"), F.size("spans").cast("bigint").alias("spans"), terms.alias("terms"),
+        total(lambda s: sum((sized(s["comments"][b]) for b in R.BUCKETS), F.lit(0))).alias("comments"), total(lambda s: sized(s["dependsOn"])).alias("dependencies"),
+    )
 
 
 @query("s4_feedback_log", sql("select field, count(*) as records, max(ts) as last_ts from (select case event_id % 3 when 0 then 'title' when 1 then 'label' else 'notes' end as field, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts from events) group by 1"))

@@ -64,6 +64,13 @@ def c6(spark, d):
     return S.build_catalogue(fx(spark, d, "documents"))
 
 
+@query("c6_catalogue_of_analyses", sql("select concat('Unit ', conv_id) as ref, coalesce(case when conv_id % 4 > 0 then concat('c', conv_id % 3) end, '') as collection, cast(case when conv_id % 5 = 0 then 0 else conv_id end as int) as \"unitNo\", case when conv_id % 2 = 0 then 'b' else 'a' end as side, coalesce(case when conv_id % 6 > 0 then min_by(text, turn) end, '') as \"mainTopic\", '' as \"generatedAt\", concat('u_', conv_id, '.json') as file from conversations group by conv_id"))
+def c6b(spark, d):
+    c = fx(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
+    units = c.selectExpr("concat('Unit ', conv_id) as ref", "case when conv_id % 4 > 0 then concat('c', conv_id % 3) end as collection", "case when conv_id % 5 > 0 then cast(conv_id as int) end as unitNo", "case when conv_id % 2 = 0 then 'b' end as side", "case when conv_id % 6 > 0 then first end as mainTopic", "cast(null as string) as generatedAt", "concat('u_', conv_id, '.json') as file")
+    return S.catalogue_of_analyses(units)
+
+
 @query("c7_filter_catalogue", sql("with g as (select coalesce(p_brand, 'Other') as collection, count(*) filter (contains(lower(p_name), 're') or contains(lower(p_type), 're')) as shown, count(*) as total from part group by 1) select * from g where shown > 0"))
 def c7(spark, d):
     return S.filter_catalogue(fx(spark, d, "part"), "RE", ["p_name", "p_type"], "p_brand")
@@ -80,16 +87,23 @@ def c10(spark, d):
     return S.neighbours(entries.withColumn("file", F.expr("case when doc_id % 10 = 3 then replace(file, '.json', '.demo.json') else file end")))
 
 
-@query("u1_usage_by_pass", sql("with p as (select coalesce(nullif(pass, 'view'), 'unknown') as pass, seconds, input_tokens, output_tokens from fx_usage) select pass, round(sum(seconds), 4) as seconds, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, count(*) as calls from p group by rollup (pass)"))
+PRICED = f"""prices(price_model, input, output) as (values {', '.join(str(p) for p in PRICES)}), priced as (select * from (select u.*, case when seq % 7 = 0 then 0 else coalesce((input_tokens * input + output_tokens * output) / 1e6, 0) end as usd, row_number() over (partition by u.seq order by length(price_model) desc nulls last) k from fx_usage u left join prices p on starts_with(u.model, p.price_model)) where k = 1)"""
+
+
+def priced(spark, d):
+    """Usage with dollars; every seventh call is one of a local provider."""
+    usage = fx(spark, d, "fx_usage").withColumn("provider", F.expr("case when seq % 7 = 0 then 'local' when seq % 7 < 5 then 'hosted' end"))
+    return S.price_usage(usage, spark.createDataFrame(PRICES, "price_model string, input double, output double"))
+
+
+@query("u1_usage_by_pass", sql(f"with {PRICED}, p as (select *, coalesce(nullif(pass, 'view'), 'unknown') as named from priced) select named as pass, round(sum(seconds), 4) as seconds, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, count(*) as calls, round(sum(usd), 6)::double as usd from p group by rollup (named)"))
 def u1(spark, d):
-    return S.usage_by_pass(fx(spark, d, "fx_usage").withColumn("pass", F.expr("nullif(pass, 'view')")))
+    return S.usage_by_pass(priced(spark, d).withColumn("pass", F.expr("nullif(pass, 'view')")))
 
 
-@query("u2_price_usage", sql(f"""with prices(price_model, input, output) as (values {', '.join(str(p) for p in PRICES)}), m as (select u.*, p.input, p.output, row_number() over (partition by u.seq order by length(price_model) desc nulls last) k from fx_usage u left join prices p on starts_with(u.model, p.price_model))
-select seq, model, round(coalesce((input_tokens * input + output_tokens * output) / 1e6, 0), 9)::double as usd from m where k = 1"""))
+@query("u2_price_usage", sql(f"with {PRICED} select seq, model, round(usd, 9)::double as usd from priced"))
 def u2(spark, d):
-    prices = spark.createDataFrame(PRICES, "price_model string, input double, output double")
-    return S.price_usage(fx(spark, d, "fx_usage"), prices).select("seq", "model", F.round("usd", 9).alias("usd"))
+    return priced(spark, d).select("seq", "model", F.round("usd", 9).alias("usd"))
 
 
 @query("u3_last_model_per_pass", sql("select pass, max_by(model, seq) as model from fx_usage group by 1"))
@@ -142,10 +156,12 @@ def s5(spark, d):
     return S.explode_manifest(manifests)
 
 
-@query("s15_parse_pass_progress", sql(r"""with p as (select run_id, ts, seq, cast(nullif(regexp_extract(msg, '^Pass (\d+)/(\d+): (.*)$', 1), '') as int) as n, cast(nullif(regexp_extract(msg, '^Pass (\d+)/(\d+): (.*)$', 2), '') as int) as tot from fx_progress), q as (select * from p where n is not null)
-select run_id, (select n from q b where b.run_id = q.run_id order by ts desc, seq desc limit 1) as last_pass, max(tot) as passes, count(distinct n) as passes_seen from q group by run_id"""))
+@query("s15_parse_pass_progress", sql(r"""with p as (select run_id, ts, seq, cast(nullif(regexp_extract(msg, '^Pass (\d+)/(\d+): (.*)$', 1), '') as int) as n, cast(nullif(regexp_extract(msg, '^Pass (\d+)/(\d+): (.*)$', 2), '') as int) as tot, regexp_extract(msg, '^Pass (\d+)/(\d+): (.*)$', 3) as said from fx_progress), q as (select * from p where n is not null),
+l as (select * from (select *, row_number() over (partition by run_id order by ts desc, seq desc) k from q) where k = 1), g as (select run_id, max(tot) as passes, count(distinct n) as passes_seen from q group by 1)
+select run_id, n as last_pass, said as last_message, passes, passes_seen, array_to_string(list_transform(range(1, passes + 1), lambda i: case when i < n then 'x' else '.' end), '') as done from g join l using (run_id)"""))
 def s15(spark, d):
-    return S.parse_pass_progress(fx(spark, d, "fx_progress"))
+    progress = S.parse_pass_progress(fx(spark, d, "fx_progress"))
+    return progress.withColumn("done", F.array_join(F.transform("done", lambda x: F.when(x, "x").otherwise(".")), ""))
 
 
 @query("r4_progress_tail", sql("select run_id, seq, msg, cast(k as int) as k from (select *, row_number() over (partition by run_id order by ts desc, seq desc) k from fx_progress) where k <= 200"))

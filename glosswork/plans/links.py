@@ -19,9 +19,10 @@ def comments(spark, d):
     return fx(spark, d, "fx_links").withColumn("bucket", L.bucket_of(F.col("title"), BUCKETS))
 
 
-@query("s9_filter_links", sql("select * from fx_links where category = 'Commentary' and title in ('NO', 'AF')"))
+@query("s9_filter_links", sql("select *, case pos % 3 when 0 then 1000 + pos % 900 when 1 then 1500 end as year from fx_links where category = 'Commentary' and title in ('NO', 'AF')"))
 def s9(spark, d):
-    return L.filter_links(fx(spark, d, "fx_links"), ["NO", "AF"], ["Commentary"])
+    dates = F.expr("case pos % 3 when 0 then array(1000 + pos % 900, 1990L) when 1 then array(1500L) else cast(array() as array<bigint>) end")
+    return L.filter_links(fx(spark, d, "fx_links").withColumn("comp_date", dates), ["NO", "AF"], ["Commentary"])
 
 
 @query("s10_bucket_links", sql(f"select unit_id, {BUCKET_SQL} as bucket, count(*) as links from fx_links group by 1, 2"))
@@ -71,6 +72,13 @@ def l5(spark, d):
     return L.pivot_buckets(comments(spark, d), ["first", "second", "third", "other"])
 
 
+@query("l5_bucket_arrays", sql(f"""with c as (select *, {BUCKET_SQL} as bucket from fx_links), g as (select unit_id, line_no, {', '.join(f"coalesce(string_agg(source_ref, '|' order by pos, source_ref) filter (bucket = '{b}'), '') as {b}" for b in ('first', 'second', 'third', 'other'))} from c group by 1, 2)
+select *, cast((first <> '')::int + (second <> '')::int + (third <> '')::int + (other <> '')::int as int) as full_buckets from g"""))
+def l5b(spark, d):
+    arrays = L.bucket_arrays(comments(spark, d), ["first", "second", "third", "other"])
+    return arrays.select("unit_id", "line_no", *[F.array_join(b, "|").alias(b) for b in ("first", "second", "third", "other")], "full_buckets")
+
+
 @query("l6_term_redundancy", sql("select unit_id, count(*) as total, count(distinct lower(term)) as distinct_terms, count(*) - count(distinct lower(term)) as redundant from fx_terms group by 1"))
 def l6(spark, d):
     return L.term_redundancy(fx(spark, d, "fx_terms"), F.lower("term"))

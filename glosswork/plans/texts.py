@@ -200,3 +200,14 @@ def t17(spark, d):
 def t18(spark, d):
     value = A.normalise_enum(F.col("o_orderpriority"), ["3_medium", "5_low"], {"1_urgent": "high", "2_high": "high"}, "unknown")
     return fx(spark, d, "orders").select("o_orderkey", value.alias("priority"))
+
+
+SEVERITIES = ("critical", "warning", "nit")
+RAW_SEVERITY = "case {n} % 6 when 0 then 'Critically bad' when 1 then ' NIT-pick ' when 2 then 'low' when 3 then 'warning' when 4 then null else 'odd' end"
+
+
+@query("t18_severity", sql(f"select o_orderkey, case o_orderkey % 6 when 0 then 'critical' when 1 then 'nit' when 2 then 'nit' else 'warning' end as severity from orders"))
+def t18b(spark, d):
+    raw = F.expr(RAW_SEVERITY.format(n="o_orderkey"))
+    value = A.normalise_enum(raw, list(SEVERITIES), {"low": "nit", "minor": "nit"}, "warning", {"crit": "critical", "nit": "nit"})
+    return fx(spark, d, "orders").select("o_orderkey", value.alias("severity"))

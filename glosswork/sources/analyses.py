@@ -3,62 +3,147 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 PHRASE = "struct<phraseNumber: int, source: string, translation: string, notes: string>"
 TERM = "struct<term: string, meaning: string>"
 COMMENT = f"struct<source: string, ref: string, text: string, translation: string, takeaway: string, phrases: array<{PHRASE}>>"
 BUCKETS = ("first", "second", "third", "other")
-COMMENTS = "struct<" + ", ".join(f"{b}: array<{COMMENT}>" for b in BUCKETS) + ">"
-STEP = f"struct<stepNumber: int, label: string, title: string, summary: string, branchRole: string, dependsOn: array<int>, keyTerms: array<{TERM}>, phrases: array<{PHRASE}>, comments: {COMMENTS}>"
-SPAN = "struct<spanNumber: int, startLine: int, endLine: int, topic: string, gist: string>"
-ANALYSIS = f"ref string, collection string, unitNo int, side string, mainTopic string, overview string, spans array<{SPAN}>, steps array<{STEP}>, generatedAt string"
+COMMENTS = "struct<" + ", ".join(f"{b}: array<{COMMENT}>" for b in BUCKETS) + ", together: string>"
+SPAN = "struct<spanNumber: int, startLine: int, endLine: int, topic: string, gist: string, opening: string, firstStep: int, lastStep: int>"
+STEP_TEXTS = ("label", "title", "summary", "plain", "what", "deeper", "remember", "alert", "matters", "confidence", "otherLabel", "trigger", "phase", "branchRole", "scope", "relation")
+# The keys of published documents, where they are not the names of the columns here ("within.column").
+PUBLISHED = {
+    ".collection": "masechet", ".unitNo": "daf", ".side": "amud", ".spans": "sugyaBoundaries", ".version": "pipelineVersion", ".models": "modelsUsed",
+    "spans.spanNumber": "sugyaNumber", "spans.opening": "openingFormula", "spans.firstStep": "firstStepNumber", "spans.lastStep": "lastStepNumber",
+    "steps.label": "hebrewStepName", "steps.summary": "stepSummary", "steps.plain": "simpleTranslation", "steps.what": "whatsHappening",
+    "steps.deeper": "deeperAnalysis", "steps.remember": "whatToRemember", "steps.alert": "confusionAlert", "steps.matters": "whyThisMatters",
+    "steps.confidence": "classificationConfidence", "steps.otherLabel": "alternativePossibleLabel", "steps.trigger": "triggerLanguage",
+    "steps.phase": "macroPhase", "steps.dependsOn": "dependsOnStepNumbers", "steps.scope": "scopeOfStep", "steps.relation": "relationToPreviousStep",
+    "steps.comments": "meforshim", "phrases.source": "aramaic", "phrases.translation": "english",
+    "comments.first": "rashi", "comments.second": "tosafot", "comments.third": "rishonim", "comments.other": "acharonim", "comments.together": "interplaySummary",
+    **{f"{b}.text": "hebrew" for b in BUCKETS}, **{f"{b}.translation": "english" for b in BUCKETS},
+}
+# Keys of what only steps of one label tell, under their own names here too.
+LOGIC = (
+    "kashyaTarget", "kashyaAttackLogic", "terutzResolutionType", "terutzHavaAmina", "terutzMaskana", "sheelahInformationSought",
+    "teshuvahAnswerProvided", "raayaObject", "raayaSupportSource", "dechiyaRejectionScope", "dechiyaFlawIdentified", "mimraCoreRuling",
+    "maskanaFinalTakeaway",
+)
+STEP = "struct<stepNumber: int, " + ", ".join(f"{t}: string" for t in (*STEP_TEXTS, *LOGIC)) + f", dependsOn: array<int>, keyTerms: array<{TERM}>, phrases: array<{PHRASE}>, comments: {COMMENTS}>"
+COST = "struct<totalUSD: double, totalInputTokens: bigint, totalOutputTokens: bigint, byPass: map<string, double>>"
+ANALYSIS = f"ref string, collection string, unitNo int, side string, mainTopic string, overview string, spans array<{SPAN}>, steps array<{STEP}>, version string, generatedAt string, models map<string, string>, cost {COST}"
 UNIT_FILE = r"^[A-Za-z_]+_\d+[ab]\.json$"
 
 
-def read_analyses(spark: SparkSession, path: str, file_pattern: str | None = UNIT_FILE, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+def keyed(kind: DataType, keys: dict[str, str], within: str = "") -> DataType:
+    """The same type with the documents' keys in place of the columns' names; arrays and structs are within their column."""
+    if isinstance(kind, ArrayType):
+        return ArrayType(keyed(kind.elementType, keys, within))
+    if isinstance(kind, StructType):
+        return StructType([StructField(keys.get(f"{within}.{f.name}", f.name), keyed(f.dataType, keys, f.name)) for f in kind])
+    return kind
+
+
+def read_analyses(spark: SparkSession, path: str, file_pattern: str | None = UNIT_FILE, multi_line: bool = True, keys: dict[str, str] = PUBLISHED) -> tuple[DataFrame, DataFrame]:
     """(good, quarantined) analyses of the JSON files whose names match: one document a file, or a line if not multi_line.
 
-    Quarantined are malformed documents, with their text, and those without a ref. Other files are not parsed.
+    ``keys`` tells the documents' keys where they differ from the columns' names; the default reads published documents.
+    Quarantined, with a reason, are malformed documents, with their text, and those without a ref, spans or steps (an
+    empty list is one). Other files are not parsed.
     """
-    schema = StructType.fromDDL(ANALYSIS + ", _corrupt string")
+    own = StructType.fromDDL(ANALYSIS)
+    schema = keyed(own, keys).add("_corrupt", "string")
     reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     rows = reader.option("multiLine", multi_line).json(path).withColumn("file", F.col("_metadata.file_name"))
     if file_pattern:
         rows = rows.where(F.col("file").rlike(file_pattern))
-    bad = F.col("_corrupt").isNotNull() | F.col("ref").isNull()
-    return rows.where(~bad).drop("_corrupt"), rows.where(bad).select("file", "_corrupt")
+    named = [F.col(k.name).cast(f.dataType).alias(f.name) for k, f in zip(schema, own, strict=False)]
+    rows = rows.select(*named, "_corrupt", "file")
+    reason = F.when(F.col("_corrupt").isNotNull(), "malformed")
+    for name in ("ref", "spans", "steps"):
+        reason = reason.when(F.col(name).isNull(), f"no {name}")
+    rows = rows.withColumn("reason", reason)
+    return rows.where("reason is null").drop("_corrupt", "reason"), rows.where("reason is not null").select("file", "reason", "_corrupt")
 
 
 def explode_analyses(analyses: DataFrame) -> dict[str, DataFrame]:
-    """The tables spans, steps, phrases, terms, comments, comment_phrases and dependencies, keyed by ref."""
+    """The tables units, spans, steps, phrases, terms, comments, comment_phrases and dependencies, keyed by ref."""
     steps = analyses.select("ref", F.explode("steps").alias("s"))
+    of_step = [F.col("ref"), F.col("s.stepNumber").alias("stepNumber")]
     long = None
     for b in BUCKETS:
-        part = steps.select("ref", F.col("s.stepNumber").alias("step_no"), F.lit(b).alias("bucket"), F.posexplode(f"s.comments.{b}").alias("pos", "c"))
+        part = steps.select(*of_step, F.lit(b).alias("bucket"), F.posexplode(f"s.comments.{b}").alias("pos", "c"))
         long = part if long is None else long.union(part)
+    of_comment = ["ref", "stepNumber", "bucket", "pos"]
     return {
-        "spans": analyses.select("ref", F.explode("spans").alias("x")).select("ref", "x.*"),
-        "steps": steps.select("ref", "s.stepNumber", "s.label", "s.title", "s.summary", "s.branchRole"),
-        "phrases": steps.select("ref", "s.stepNumber", F.explode("s.phrases").alias("x")).select("ref", "stepNumber", "x.*"),
-        "terms": steps.select("ref", "s.stepNumber", F.posexplode("s.keyTerms").alias("pos", "x")).select("ref", "stepNumber", "pos", "x.*"),
-        "comments": long.select("ref", "step_no", "bucket", "pos", "c.source", "c.ref"),
-        "comment_phrases": long.select("ref", "step_no", "bucket", "pos", F.explode("c.phrases").alias("x")).select("ref", "step_no", "bucket", "pos", "x.*"),
-        "dependencies": steps.select("ref", "s.stepNumber", F.explode("s.dependsOn").alias("dependsOn")),
+        "units": analyses.drop("spans", "steps"),
+        "spans": analyses.select("ref", F.inline("spans")),
+        "steps": steps.select(*of_step, *[F.col(f"s.{t}") for t in (*STEP_TEXTS, *LOGIC)], F.col("s.comments.together").alias("together")),
+        "phrases": steps.select(*of_step, F.inline("s.phrases")),
+        "terms": steps.select(*of_step, F.posexplode("s.keyTerms").alias("pos", "x")).select("ref", "stepNumber", "pos", "x.*"),
+        "comments": long.select(*of_comment, "c.source", F.col("c.ref").alias("commentRef"), "c.text", "c.translation", "c.takeaway"),
+        "comment_phrases": long.select(*of_comment, F.inline("c.phrases")),
+        "dependencies": steps.select(*of_step, F.explode("s.dependsOn").alias("dependsOn")),
     }
 
 
-def assemble_analyses(units: DataFrame, steps: DataFrame, phrases: DataFrame) -> DataFrame:
-    """The nested documents of flat tables keyed by ref; arrays are in order of their numbers, nulls are left out of JSON."""
-    p = phrases.groupBy("ref", "stepNumber").agg(F.array_sort(F.collect_list(F.struct("phraseNumber", "source"))).alias("phrases"))
-    s = steps.join(p, ["ref", "stepNumber"], "left")
-    s = s.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("stepNumber", "label", "title", "branchRole", "phrases"))).alias("steps"))
-    return units.join(s, "ref", "left")
+def assemble_analyses(tables: dict[str, DataFrame]) -> DataFrame:
+    """The nested documents of the tables that ``explode_analyses`` makes; arrays are in order of their numbers or places.
 
-
-def write_analyses(analyses: DataFrame, path: str) -> None:
+    Tables other than units, and columns that are missing, count as empty; a unit without rows of a table has an empty
+    array of spans or steps and null below.
+    """
+    own = {f.name: f.dataType for f in StructType.fromDDL(ANALYSIS)}
+    step, span = own["steps"].elementType, own["spans"].elementType
+    comment = step["comments"].dataType["first"].dataType.elementType
+
+    def struct_of(df: DataFrame, kind: StructType, renamed: dict[str, str] | None = None) -> Column:
+        source = lambda f: (renamed or {}).get(f.name, f.name)
+        has = lambda f: F.col(source(f)) if source(f) in df.columns else F.lit(None)
+        return F.struct(*[has(f).cast(f.dataType).alias(f.name) for f in kind])
+
+    def nested(df: DataFrame, by: list[str], order: str, value: Column, name: str) -> DataFrame:
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), value.alias("value"))), lambda a, b: a["_order"] - b["_order"])
+        return df.groupBy(*by).agg(F.transform(pairs, lambda x: x["value"]).alias(name))
+
+    keys = ["ref", "stepNumber"]
+    steps = tables["steps"]
+    if "phrases" in tables:
+        steps = steps.join(nested(tables["phrases"], keys, "phraseNumber", struct_of(tables["phrases"], step["phrases"].dataType.elementType), "phrases"), keys, "left")
+    if "terms" in tables:
+        steps = steps.join(nested(tables["terms"], keys, "pos", struct_of(tables["terms"], step["keyTerms"].dataType.elementType), "keyTerms"), keys, "left")
+    if "dependencies" in tables:
+        steps = steps.join(tables["dependencies"].groupBy(*keys).agg(F.array_sort(F.collect_list("dependsOn")).alias("dependsOn")), keys, "left")
+    if "comments" in tables:
+        c = tables["comments"]
+        if "comment_phrases" in tables:
+            p, by = tables["comment_phrases"], [*keys, "bucket", "pos"]
+            c = c.join(nested(p, by, "phraseNumber", struct_of(p, comment["phrases"].dataType.elementType), "phrases"), by, "left")
+        c = c.withColumn("_value", struct_of(c, comment, {"ref": "commentRef"}))
+        of_bucket = [F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.struct("pos", "_value"))), lambda x, y: x["pos"] - y["pos"]).alias(b) for b in BUCKETS]
+        c = c.groupBy(*keys).agg(*of_bucket).select(*keys, *[F.transform(b, lambda x: x["_value"]).alias(b) for b in BUCKETS])
+        together = F.col("together") if "together" in steps.columns else F.lit(None).cast("string")
+        present = F.col("first").isNotNull() | together.isNotNull()
+        steps = steps.join(c, keys, "left").withColumn("comments", F.when(present, F.struct(*BUCKETS, together.alias("together"))))
+    none = lambda name: F.array().cast(own[name])
+    units = tables["units"].join(nested(steps, ["ref"], "stepNumber", struct_of(steps, step), "steps"), "ref", "left")
+    if "spans" in tables:
+        units = units.join(nested(tables["spans"], ["ref"], "spanNumber", struct_of(tables["spans"], span), "spans"), "ref", "left")
+    made = units.withColumns({n: F.coalesce(F.col(n), none(n)) if n in units.columns else none(n) for n in ("steps", "spans")})
+    return made.select(*[c for c in own if c in made.columns])
+
+
+def as_documents(analyses: DataFrame, keys: dict[str, str] = PUBLISHED) -> DataFrame:
+    """(value: string): each analysis as a JSON document with the documents' keys; nulls are left out."""
+    kinds = keyed(analyses.schema, keys)
+    columns = [F.col(c).cast(k.dataType).alias(k.name) for c, k in zip(analyses.columns, kinds, strict=True)]
+    return analyses.select(F.to_json(F.struct(*columns)).alias("value"))
+
+
+def write_analyses(analyses: DataFrame, path: str, keys: dict[str, str] = PUBLISHED) -> None:
     """One JSON document a line."""
-    analyses.select(F.to_json(F.struct(*analyses.columns)).alias("value")).write.text(path)
+    as_documents(analyses, keys).write.text(path)
 
 
 FEEDBACK = "ts string, ref string, stepNumber int, field string, oldValue string, newValue string, userNote string, applied boolean, message string"
