@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glosswork.functions.text import snippet
+from glosswork.functions.text import HEBREW_POINTS, coverage_ratio, normalise_tokens, snippet
 
 KEYS = ["unit_id", "step_no"]
 
@@ -184,6 +184,46 @@ def unit_metrics(steps: DataFrame) -> DataFrame:
     return g.join(histogram, "unit_id")
 
 
+def analysis_metrics(tables: dict[str, DataFrame], sources: DataFrame, points: str = HEBREW_POINTS, sure: str = "High", lookahead: int = 20) -> DataFrame:
+    """The seventeen metrics of every unit (ref) of exploded analyses, and its label histogram as a map.
+
+    ``sources`` (ref, text) are the units' whole texts, for the share of their tokens that the phrases cover in order. A
+    unit without steps has zeros; means are over the steps, one at least. Null confidences count as sure.
+    """
+    keys = ["ref", "stepNumber"]
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    chars = lambda c: F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(f"{c}_chars")
+    steps = tables["steps"].groupBy("ref").agg(F.count(F.lit(1)).alias("steps"), chars("what"), chars("deeper"), n(F.col("confidence") != sure, "unsure_steps"))
+    labels = tables["steps"].groupBy("ref", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("ref").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("labels"))
+    phrases = tables["phrases"].groupBy("ref").agg(F.count(F.lit(1)).alias("phrases"), F.sum(F.length("source") + 1).alias("phrase_chars"), F.array_sort(F.collect_list(F.struct(*keys[1:], "phraseNumber", "source"))).alias("said"))
+    bare = F.trim(F.regexp_replace("term", points, ""))
+    terms = tables["terms"].groupBy("ref").agg(F.count(F.lit(1)).alias("terms"), F.count_distinct(bare).alias("unique_terms"), n(F.col("term").rlike(points), "terms_with_points"))
+    comments = tables["comments"].groupBy("ref").agg(F.count(F.lit(1)).alias("comments"), F.count_distinct("stepNumber").alias("steps_with_comments"))
+    spans = tables["spans"].select("ref").distinct().withColumn("has_spans", F.lit(True))
+    j = sources.select("ref", "text")
+    for part in (steps, labels, phrases, terms, comments, spans):
+        j = j.join(part, "ref", "left")
+    counted = ["steps", "what_chars", "deeper_chars", "unsure_steps", "phrases", "phrase_chars", "terms", "unique_terms", "terms_with_points", "comments", "steps_with_comments"]
+    j = j.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in counted})
+    j = j.withColumn("_source", normalise_tokens(F.col("text"), dropped="^$", points=points))
+    said = F.array_join(F.transform("said", lambda x: x["source"]), " ")
+    j = j.withColumn("_generated", F.coalesce(normalise_tokens(said, dropped="^$", points=points), F.array().cast("array<string>")))
+    a_step = lambda c: F.round(F.col(c) / F.greatest("steps", F.lit(1)), 6)
+    return j.select(
+        "ref", "steps", "labels", "phrases", a_step("phrases").alias("phrases_per_step"), "terms", "unique_terms", (F.col("terms") - F.col("unique_terms")).alias("redundant_terms"),
+        "terms_with_points", (F.col("terms") - F.col("terms_with_points")).alias("terms_without_points"), a_step("what_chars").alias("what_chars_per_step"),
+        a_step("deeper_chars").alias("deeper_chars_per_step"), "phrase_chars", F.round(coverage_ratio(F.col("_source"), F.col("_generated"), lookahead), 9).alias("coverage"),
+        "steps_with_comments", "comments", F.coalesce("has_spans", F.lit(False)).alias("has_spans"), "unsure_steps",
+    )
+
+
+def compare_labels(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(label, count_a, count_b, delta) over the union of the labels of two step tables; a missing label counts 0."""
+    count = lambda df, name: df.groupBy("label").agg(F.count(F.lit(1)).alias(name))
+    j = count(a, "count_a").join(count(b, "count_b"), "label", "full").na.fill(0, ["count_a", "count_b"])
+    return j.withColumn("delta", F.col("count_b") - F.col("count_a"))
+
+
 def compare_runs(a: DataFrame, b: DataFrame, higher_is_better: list[str]) -> DataFrame:
     """(metric, value_a, value_b, delta, improved) of two metric tables (metric, value); a missing metric counts 0."""
     j = a.withColumnRenamed("value", "value_a").join(b.withColumnRenamed("value", "value_b"), "metric", "full")
@@ -222,6 +262,48 @@ def search(fields: DataFrame, needle: str, k: int = 50, context: int = 50) -> Da
     return top.select("doc_id", "field", "ordinal", "weight", snippet(F.col("text"), needle, context).alias("snippet"))
 
 
+# The weights of the fields that a search looks through.
+FIELD_WEIGHTS = {"mainTopic": 10, "title": 8, "summary": 5, "what": 5, "deeper": 5, "term": 7, "source phrase": 6, "translated phrase": 4, "takeaway": 6}
+
+
+def search_fields(tables: dict[str, DataFrame]) -> DataFrame:
+    """The nine searched fields of exploded analyses, one row each: (ref, step_no, kind, pos, field, weight, loose, exact,
+    lead, whole).
+
+    ``loose`` is searched whatever the case, ``exact`` as it is; a snippet has ``lead`` in front or, if ``whole``, is all of
+    exact and loose. step_no, kind and pos give the order within a document.
+    """
+    rows = []
+
+    def add(name: str, kind: int, df: DataFrame, loose: str | None, exact: str | None = None, lead: Column | None = None, whole: bool = False, pos: str = "0", step: str = "stepNumber") -> None:
+        text = lambda c: F.lit(None).cast("string") if c is None else F.col(c)
+        front = F.lit("") if lead is None else lead
+        head = [F.col("ref"), F.expr(step).cast("int").alias("step_no"), F.lit(kind).alias("kind"), F.expr(pos).cast("int").alias("pos")]
+        rows.append(df.select(*head, F.lit(name).alias("field"), F.lit(FIELD_WEIGHTS[name]).alias("weight"), text(loose).alias("loose"), text(exact).alias("exact"), front.alias("lead"), F.lit(whole).alias("whole")))
+
+    add("mainTopic", 0, tables["units"], "mainTopic", step="0")
+    for kind, name in enumerate(("title", "summary", "what", "deeper"), 1):
+        add(name, kind, tables["steps"], name)
+    add("term", 5, tables["terms"], "meaning", "term", whole=True, pos="pos")
+    add("source phrase", 6, tables["phrases"], None, "source", pos="2 * phraseNumber")
+    add("translated phrase", 6, tables["phrases"], "translation", pos="2 * phraseNumber + 1")
+    buckets = F.array_position(F.array(*[F.lit(b) for b in ("first", "second", "third", "other")]), F.col("bucket"))
+    placed = tables["comments"].withColumn("_pos", buckets * 1_000_000 + F.col("pos"))
+    add("takeaway", 7, placed, "takeaway", lead=F.concat("source", F.lit(": ")), pos="_pos")
+    return reduce(DataFrame.union, rows)
+
+
+def search_analyses(fields: DataFrame, needle: str, k: int = 50, context: int = 50) -> DataFrame:
+    """The k best hits of ``search_fields``: by weight, then document, step and place in it. A blank needle has none."""
+    needle = needle.strip()
+    found = F.contains(F.lower("loose"), F.lit(needle.lower()))
+    hit = F.coalesce(found, F.lit(False)) | F.coalesce(F.contains("exact", F.lit(needle)), F.lit(False))
+    top = fields.where(hit & F.lit(bool(needle))).orderBy(F.desc("weight"), "ref", "step_no", "kind", "pos").limit(k)
+    around = F.concat("lead", snippet(F.coalesce("loose", "exact"), needle or " ", context))
+    shown = F.when(F.col("whole"), F.concat_ws(" — ", "exact", "loose")).otherwise(around)
+    return top.select("ref", "step_no", "kind", "pos", "field", "weight", shown.alias("snippet"))
+
+
 def logic_facets(steps: DataFrame, facets: dict[str, Column]) -> DataFrame:
     """(unit_id, step_no, facet, value) of the facets that are not null."""
     pairs = F.array(*[F.struct(F.lit(name).alias("facet"), value.cast("string").alias("value")) for name, value in facets.items()])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glosswork.operators import audit as A
 from glosswork.plans.fixtures import LABELS, spark_view as fx, sql_views as sql
+from glosswork.plans.ingest import tables as analysis_tables
 from glosswork.plans.registry import query
 
 RULES = [(1, r"^\s*(the|and)(\s|$)", "challenge"), (2, r"^\s*(la|le|les)(\s|$)", "resolution"), (3, r"^\s*(der|die|das)(\s|$)", "statement"), (4, r"^\s*(el|los)(\s|$)", None)]
@@ -213,3 +214,56 @@ NAMES = [(x, x.capitalize()) for x in LABELS if x != "proof"]
 def f6(spark, d):
     names = spark.createDataFrame(NAMES, "label string, name string")
     return fx(spark, d, "fx_steps").join(F.broadcast(names), "label", "left").select("unit_id", "step_no", "label", F.coalesce("name", "label").alias("name"))  # one row a label
+
+
+def parts_of(spark, d):
+    """Exploded analyses of the conversations, as the flat tables that they are made of."""
+    tables = analysis_tables(spark, d)
+    blank = {"summary": F.concat(F.lit("In short: "), "title"), "deeper": F.concat_ws(" ", "label", "branchRole", "what")}
+    return tables | {"steps": tables["steps"].withColumns(blank).where("stepNumber % 13 > 0")}
+
+
+STEPS = "st as (select *, concat('Unit ', unit_id) as ref, substr(text, 1, 40) as what, case when step_no % 3 = 0 then 'Low' else 'High' end as confidence from fx_steps where step_no % 13 > 0)"
+WHOLE = "ph as (select unit_id, step_no, cast(generate_subscripts(a, 1) as int) as phrase_no, unnest(a) as source from (select unit_id, step_no, string_split(text, chr(10)) as a from fx_steps))"
+CLEAN = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda z: z <> '')"
+
+
+@query("a13_analysis_metrics", sql(f"""with {STEPS}, {WHOLE}, u as (select unit_id, string_agg(text, ' ' order by step_no desc) as text from fx_steps group by 1),
+s as (select unit_id, count(*) as steps, sum(length(what)) as wc, sum(length(concat_ws(' ', label, branch_role, what))) as dc, count(*) filter (confidence <> 'High') as unsure from st group by 1),
+h as (select unit_id, string_agg(concat(label, '=', n), ',' order by label) as labels from (select unit_id, label, count(*) as n from st group by 1, 2) group by 1),
+p as (select unit_id, count(*) as phrases, sum(length(source) + 1) as pc, string_agg(source, ' ' order by step_no, phrase_no) as said from ph group by 1),
+t as (select unit_id, count(*) as terms, count(distinct trim(replace(term, 'é', ''))) as uniq, count(*) filter (contains(term, 'é')) as pointed from fx_terms where term_pos <= 3 group by 1),
+c as (select unit_id, sum(1 + unit_id % 2) as comments, count(*) as commented from fx_steps group by 1),
+cov as (select unit_id, list_reduce(list_prepend({{'gi': 0, 'm': 0, 't': ''}}, list_transform(src, lambda x: {{'gi': 0, 'm': 0, 't': x}})),
+  lambda a, b: case when list_position(list_slice(gen, a.gi + 1, a.gi + 20), b.t) > 0 then {{'gi': cast(a.gi + list_position(list_slice(gen, a.gi + 1, a.gi + 20), b.t) as int), 'm': a.m + 1, 't': ''}} else {{'gi': a.gi, 'm': a.m, 't': ''}} end).m as m, len(src) as n
+  from (select unit_id, {CLEAN.format("regexp_replace(text, 'é', '', 'g')")} as src, {CLEAN.format("regexp_replace(said, 'é', '', 'g')")} as gen from u join p using (unit_id)))
+select concat('Unit ', unit_id) as ref, steps, labels, phrases, round(phrases::double / steps, 6) as phrases_per_step, terms, t.uniq as unique_terms, terms - t.uniq as redundant_terms, pointed as terms_with_points, terms - pointed as terms_without_points,
+  round(wc::double / steps, 6) as what_chars_per_step, round(dc::double / steps, 6) as deeper_chars_per_step, cast(pc as bigint) as phrase_chars, round(case when n = 0 then 1 else m::double / n end, 9) as coverage, commented as steps_with_comments, cast(comments as bigint) as comments, true as has_spans, unsure as unsure_steps
+from s join h using (unit_id) join p using (unit_id) join t using (unit_id) join c using (unit_id) join cov using (unit_id)"""))
+def a13b(spark, d):
+    text = F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("step_no", "text")))), lambda x: x["text"]), " ")
+    sources = fx(spark, d, "fx_steps").groupBy(F.concat(F.lit("Unit "), F.col("unit_id").cast("string")).alias("ref")).agg(text.alias("text"))
+    metrics = A.analysis_metrics(parts_of(spark, d), sources, points="[é]")
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
+    return metrics.withColumn("labels", listed)
+
+
+@query("a14_compare_labels", sql("""with a as (select label, count(*) n from fx_steps where unit_id % 2 = 0 and label <> 'proof' group by 1), b as (select label, count(*) n from fx_steps where unit_id % 2 = 1 and label <> 'question' group by 1)
+select label, coalesce(a.n, 0) as count_a, coalesce(b.n, 0) as count_b, coalesce(b.n, 0) - coalesce(a.n, 0) as delta from a full join b using (label)"""))
+def a14b(spark, d):
+    steps = fx(spark, d, "fx_steps")
+    return A.compare_labels(steps.where("unit_id % 2 = 0 and label <> 'proof'"), steps.where("unit_id % 2 = 1 and label <> 'question'"))
+
+
+@query("f3_search_analyses", sql(f"""with {STEPS}, {WHOLE}, k as (select *, list_extract([1, 2, 3, 4], cast(step_no % 4 + 1 as int)) as bucket, unnest(range(0, cast(unit_id % 2 as int) + 1)) as pos from fx_steps),
+f as (select concat('Unit ', unit_id) as ref, 0 as step_no, 0 as kind, 0 as pos, 'mainTopic' as field, 10 as weight, min_by(text, step_no) as loose, null::varchar as exact, '' as lead, false as whole from fx_steps group by unit_id
+ union all select ref, step_no, 1, 0, 'title', 8, role, null, '', false from st union all select ref, step_no, 2, 0, 'summary', 5, concat('In short: ', role), null, '', false from st
+ union all select ref, step_no, 3, 0, 'what', 5, what, null, '', false from st union all select ref, step_no, 4, 0, 'deeper', 5, concat_ws(' ', label, branch_role, what), null, '', false from st
+ union all select concat('Unit ', unit_id), step_no, 5, term_pos - 1, 'term', 7, concat('of ', reverse(term)), term, '', true from fx_terms where term_pos <= 3
+ union all select concat('Unit ', unit_id), step_no, 6, 2 * phrase_no, 'source phrase', 6, null, source, '', false from ph union all select concat('Unit ', unit_id), step_no, 6, 2 * phrase_no + 1, 'translated phrase', 4, reverse(source), null, '', false from ph
+ union all select concat('Unit ', unit_id), step_no, 7, bucket * 1000000 + pos, 'takeaway', 6, role, null, concat('source ', pos, ': '), false from k),
+h as (select *, coalesce(loose, exact) as t from f where contains(lower(loose), 'er') or contains(exact, 'ER') order by weight desc, ref, step_no, kind, pos limit 4000),
+s as (select *, instr(lower(t), 'er') as a from h), w as (select *, greatest(a - 50, 1) as b, least(a + 52, length(t) + 1) as e from s)
+select ref, cast(step_no as int) as step_no, kind, cast(pos as int) as pos, field, weight, case when whole then concat_ws(' — ', exact, loose) when a > 0 then concat(lead, case when b > 1 then '…' else '' end, substr(t, b, e - b), case when e <= length(t) then '…' else '' end) else concat(lead, substr(t, 1, 120)) end as snippet from w"""))
+def f3b(spark, d):
+    return A.search_analyses(A.search_fields(parts_of(spark, d)), " ER ", 4000)
