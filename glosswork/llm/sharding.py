@@ -103,7 +103,7 @@ def plan_moves(blocks: dict[Block, tuple[int, int]], shards: int) -> list[Move]:
     return moves
 
 
-def reshard(rows: DataFrame, shards: int, folder: str | None = None, bytes_per_file: int = 1 << 26) -> DataFrame:
+def reshard(rows: DataFrame, shards: int, folder: str | None = None, bytes_per_file: int = 1 << 25) -> DataFrame:
     """Move rows of (old_shard: int, size: long, ...) to ``shards`` shards of equal row counts; adds shard and slot.
 
     A block is the rows of one old shard whose sizes have the same power of two, so there are at most old shards x 63.
@@ -132,7 +132,8 @@ def reshard(rows: DataFrame, shards: int, folder: str | None = None, bytes_per_f
     folder = folder or new_folder(spark, "shards")
     files = 1 + sum(r["bytes"] for r in sums) // (shards * bytes_per_file)
     moving = placed.where(F.col("shard").isin(changed))
-    moving.repartition(shards * files, "shard", F.pmod("slot", F.lit(files))).write.partitionBy("shard").parquet(folder, compression="zstd")
+    file = F.col("shard") * files + F.pmod("slot", F.lit(files))  # a task each, none with two by a clash of hashes
+    moving.repartitionById(shards * files, file.cast("int")).write.partitionBy("shard").parquet(folder, compression="zstd")
     rewritten = spark.read.schema(placed.schema).parquet(folder).select(placed.columns)
     return rewritten.union(placed.where(~F.col("shard").isin(changed)))
 
