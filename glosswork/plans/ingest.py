@@ -203,14 +203,14 @@ def r2(spark, d):
 @query("r3_periodic_refresh", sql("select source as collection, count(*) as entries, max(doc_id) as last_doc, cast(sum(length(text)) as bigint) as chars from documents group by 1"))
 def r3(spark, d):
     folder = scratch_folder(spark, "refresh")
-    docs = fx(spark, d, "documents").select("doc_id", "source", "text")
+    docs = fx(spark, d, "documents").select("doc_id", F.col("source").alias("collection"), "text")
 
-    def refresh(all_docs):
-        return all_docs.groupBy(F.col("source").alias("collection")).agg(F.count(F.lit(1)).alias("entries"), F.max("doc_id").alias("last_doc"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+    def refresh(rows):
+        return rows.groupBy("collection").agg(F.count(F.lit(1)).alias("entries"), F.max("doc_id").alias("last_doc"), F.sum(F.length("text")).cast("bigint").alias("chars"))
 
-    for part in (0, 1):  # the second call takes up only what has arrived since the first
-        docs.where(F.col("doc_id") % 2 == part).write.mode("append").json(f"{folder}/in")
-        table = C.refreshed_table(spark, f"{folder}/in", "doc_id bigint, source string, text string", refresh, f"{folder}/out", f"{folder}/checkpoint")
+    for part in (0, 1, 2):  # each call takes up only what has arrived since the one before
+        docs.where(F.col("doc_id") % 3 == part).write.mode("append").json(f"{folder}/in")
+        table = C.refreshed_table(spark, f"{folder}/in", "doc_id bigint, collection string, text string", "collection", refresh, f"{folder}/out", f"{folder}/checkpoint")
     return table
 
 

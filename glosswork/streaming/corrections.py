@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 RECORD = "seq long, ts string, unit_id long, step_no int, field string, new_value string"
 FIELDS = ("title", "label")
@@ -63,18 +64,47 @@ def recent_corrections(log: DataFrame, n: int = 10) -> DataFrame:
     return log.orderBy(F.desc("ts"), F.desc("seq")).limit(n).withColumn("total", total)
 
 
-def refreshed_table(spark: SparkSession, source: str, schema: str, refresh: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> DataFrame:
-    """Bring a derived table up to date with the files below ``source``: whenever files arrive it is computed from all of
-    them again and written under the batch's number; the highest number is the current one.
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(x.getPath().getName().removeprefix("version=")) for x in files.listStatus(path)) if files.exists(path) else []
+
+
+def _drop_version(spark: SparkSession, target: str, number: int) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={number}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def refresher(spark: SparkSession, source: str, schema: str, key: str, refresh: Callable[[DataFrame], DataFrame], target: str) -> Callable[[DataFrame, int], None]:
+    """What a micro-batch does to the derived table at ``target``: the rows of the keys that arrived are computed again from
+    all their input, the others are taken over from the version before. ``refresh`` keeps the key column.
+
+    Each batch writes the version of its number, so one that is run again changes nothing; only its predecessor is kept.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        refresh(spark.read.schema(schema).json(source)).write.mode("overwrite").parquet(f"{target}/version={number}")
+        keys = batch.select(key).distinct()
+        table = refresh(spark.read.schema(schema).json(source).join(keys, key, "left_semi"))
+        earlier = [v for v in _versions(spark, target) if v < number]
+        if earlier:
+            table = table.union(spark.read.parquet(f"{target}/version={earlier[-1]}").join(keys, key, "left_anti").select(table.columns))
+        table.write.mode("overwrite").parquet(f"{target}/version={number}")
+        for old in earlier[:-1]:
+            _drop_version(spark, target, old)
+
+    return each
+
+
+def refreshed_table(spark: SparkSession, source: str, schema: str, key: str, refresh: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> DataFrame:
+    """Bring a derived table up to date with the files below ``source`` that have arrived since the last call; returns it."""
+    run_available(spark.readStream.schema(schema).json(source), refresher(spark, source, schema, key, refresh, target), checkpoint)
+    return spark.read.parquet(f"{target}/version={_versions(spark, target)[-1]}")
+
 
-    run_available(spark.readStream.schema(schema).json(source), each, checkpoint)
-    versions = spark.read.parquet(target)
-    newest = versions.agg(F.max("version").alias("v")).scalar()
-    return versions.where(F.col("version") == newest).drop("version")
+def refresh_periodically(spark: SparkSession, source: str, schema: str, key: str, refresh: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, every: str = "90 seconds") -> StreamingQuery:
+    """As ``refreshed_table``, but as a running query that looks for new files ``every`` so often."""
+    stream = spark.readStream.schema(schema).json(source).writeStream.foreachBatch(refresher(spark, source, schema, key, refresh, target))
+    return stream.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def resume_stage(pending: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], target: str) -> DataFrame:
