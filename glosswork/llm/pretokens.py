@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
@@ -51,6 +53,18 @@ def _heads_and_rests(texts: list[str]) -> tuple[list[list[str]], list[str | None
     return heads, rests
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Python's search for reference cycles is off: it would walk through all that is remembered, which has none."""
+    was_on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was_on:
+            gc.enable()
+
+
 class _Recent:
     """Values of keys, of which the older half is forgotten whenever the newer half holds ``most``."""
 
@@ -105,7 +119,8 @@ class PieceMemory:
         heads, rests = _heads_and_rests(texts)
         lists = pc.split_pattern(pa.array(rests, pa.string()), " ")
         coded = lists.flatten().dictionary_encode()
-        of_word, known = self._known(heads, coded.dictionary.to_pylist())
+        with _uncollected():
+            of_word, known = self._known(heads, coded.dictionary.to_pylist())
         codes = coded.indices.to_numpy()
         bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
         made = []
