@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
@@ -65,14 +67,54 @@ def test_references_by_tier(spark):
 
 
 def test_only_well_named_files_are_read(spark, tmp_path):
-    (tmp_path / "Some_Name_12a.json").write_text('{"ref": "Some Name 12a", "steps": [{"stepNumber": 1, "keyTerms": [{"term": "t"}], "dependsOn": [2], "comments": {"first": [{"ref": "r", "phrases": [{"phraseNumber": 1}]}]}}]}')
+    own = '{"ref": "Some Name 12a", "spans": [], "steps": [{"stepNumber": 1, "keyTerms": [{"term": "t"}], "dependsOn": [2], "comments": {"first": [{"ref": "r", "phrases": [{"phraseNumber": 1}]}]}}]}'
+    (tmp_path / "Some_Name_12a.json").write_text(own)
     (tmp_path / "Some_Name_12b.json").write_text('{"ref": ')
+    (tmp_path / "Some_Name_13a.json").write_text('{"ref": "Some Name 13a", "steps": []}')
     (tmp_path / "_index.json").write_text('{"ref": "index"}')
-    good, bad = analyses.read_analyses(spark, str(tmp_path) + "/[A-Z]*.json")
+    good, bad = analyses.read_analyses(spark, str(tmp_path) + "/[A-Z]*.json", keys={})
     assert [r["ref"] for r in good.collect()] == ["Some Name 12a"]
-    assert bad.count() == 1
+    assert {(r["file"], r["reason"]) for r in bad.collect()} == {("Some_Name_12b.json", "malformed"), ("Some_Name_13a.json", "no spans")}
     tables = {n: t.count() for n, t in analyses.explode_analyses(good).items()}
-    assert tables == {"spans": 0, "steps": 1, "phrases": 0, "terms": 1, "comments": 1, "comment_phrases": 1, "dependencies": 1}
+    assert tables == {"units": 1, "spans": 0, "steps": 1, "phrases": 0, "terms": 1, "comments": 1, "comment_phrases": 1, "dependencies": 1}
+
+
+# a document in the published shape, with every kind of part
+PUBLISHED_DOCUMENT = {
+    "ref": "Some Name 12b", "masechet": "Some_Name", "daf": 12, "amud": "b", "mainTopic": "topic", "overview": "about",
+    "sugyaBoundaries": [{"sugyaNumber": 1, "startLine": 1, "endLine": 3, "topic": "t", "gist": "g", "openingFormula": "o", "firstStepNumber": 1, "lastStepNumber": 2}],
+    "steps": [
+        {
+            "stepNumber": 1, "hebrewStepName": "קושיא", "title": "first", "stepSummary": "s", "whatsHappening": "w", "deeperAnalysis": "d",
+            "keyTerms": [{"term": "a", "meaning": "b"}, {"term": "c", "meaning": "d"}], "whatToRemember": "r", "whyThisMatters": "m",
+            "phrases": [{"phraseNumber": 1, "aramaic": "x", "english": "y"}, {"phraseNumber": 2, "aramaic": "z", "english": "q", "notes": "n"}],
+            "classificationConfidence": "High", "branchRole": "opens_new_branch", "dependsOnStepNumbers": [], "kashyaTarget": "k",
+            "meforshim": {
+                "rashi": [{"source": "R", "ref": "R 1", "hebrew": "h", "takeaway": "t", "phrases": [{"phraseNumber": 1, "aramaic": "x", "english": "y"}]}],
+                "tosafot": [], "rishonim": [{"source": "Q", "ref": "Q 1", "hebrew": "h", "english": "e", "takeaway": "u"}], "acharonim": [], "interplaySummary": "both",
+            },
+        },
+        {"stepNumber": 2, "hebrewStepName": "תירוץ", "title": "second", "stepSummary": "s", "whatsHappening": "w", "deeperAnalysis": "d", "keyTerms": [], "phrases": [{"phraseNumber": 1, "aramaic": "x", "english": "y"}], "dependsOnStepNumbers": [1]},
+    ],
+    "pipelineVersion": "1", "generatedAt": "2026-01-01", "modelsUsed": {"structure": "m"}, "cost": {"totalUSD": 0.5, "totalInputTokens": 5, "totalOutputTokens": 6, "byPass": {"structure": 0.5}},
+}
+
+
+def without_empty(value):
+    if isinstance(value, dict):
+        return {k: v for k, v in ((k, without_empty(v)) for k, v in value.items()) if v not in (None, [], {})}
+    return [without_empty(v) for v in value] if isinstance(value, list) else value
+
+
+def test_published_documents_come_back_whole(spark, tmp_path):
+    (tmp_path / "Some_Name_12b.json").write_text(json.dumps(PUBLISHED_DOCUMENT, ensure_ascii=False, indent=2))
+    good, bad = analyses.read_analyses(spark, str(tmp_path))
+    assert bad.count() == 0
+    tables = analyses.explode_analyses(good)
+    assert tables["steps"].where("stepNumber = 1").first()["what"] == "w"
+    assert [(r["bucket"], r["commentRef"]) for r in tables["comments"].orderBy("bucket").collect()] == [("first", "R 1"), ("third", "Q 1")]
+    again = json.loads(analyses.as_documents(analyses.assemble_analyses(tables)).first()["value"])
+    assert without_empty(again) == without_empty(PUBLISHED_DOCUMENT)
 
 
 def test_stream_goes_on_where_it_ended(spark, tmp_path):
