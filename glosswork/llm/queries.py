@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glosswork.llm import bpe, imatch, langid, packing, pii, quality, sharding, simhash, vectors, warc
+from glosswork.llm import bpe, imatch, langid, packing, phrases, pii, quality, sharding, simhash, spelling, topk, vectors, warc
 from glosswork.llm.hashing import id_remainder
 from glosswork.llm.storage import materialise, new_folder
 
@@ -101,6 +101,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(_table(spark, sf_dir, "documents"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_byte_bpe": op2_byte_bpe,
@@ -112,6 +124,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_vectors": op9_vectors,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
+    "op12_phrases": op12_phrases,
+    "op13_topk": op13_topk,
 }
 # The others are learned models, tokenizers, or free choices of places, which SQL cannot express; tests hold them
 # against brute-force versions.
@@ -134,4 +149,63 @@ roots AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id),
 degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT v.vec_id, coalesce(d.n, 0) AS n_links, r.component_id, r.component_id = v.vec_id AS kept
 FROM v JOIN roots r USING (vec_id) LEFT JOIN degrees d ON d.a = v.vec_id""",
+    "op11_spelling": r"""
+WITH RECURSIVE poly AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c ELSE CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END END, i) AS c
+  FROM range(256) AS b(i))),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+kinds AS (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (SELECT doc_id, run, times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM kinds),
+hashed AS (SELECT run, times, xor(4294967295, list_reduce(range(length(x) // 2),
+             lambda c, i: xor(c // 256, t[1 + xor(c % 256, ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)]), 4294967295)) AS h FROM bytes, poly),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+holes AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON h.rest = w.word
+  UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON h.rest = w.word),
+best AS (SELECT a, count(*) AS n_near, max(n) AS most FROM near GROUP BY a),
+top AS (SELECT near.a, n_near, most, min(b) AS b FROM best JOIN near ON near.a = best.a AND n = most GROUP BY ALL),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN b END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n
+           FROM words LEFT JOIN top ON a = word),
+walk AS (SELECT word, word AS at FROM formed UNION ALL SELECT walk.word, f.form FROM walk JOIN formed f ON f.word = walk.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN walk w ON w.word = f.word JOIN formed e ON e.word = w.at AND e.form IS NULL""",
+    "op12_phrases": r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT d, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS p
+           FROM (SELECT d, lang, string_split_regex(t, '[.,;:!?\x0A-\x0D]') AS ps FROM docs)),
+words AS (SELECT lang, d, p, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+          FROM (SELECT d, lang, p, regexp_extract_all(piece, '[^ \t]+') AS ws FROM pieces)),
+runs AS (SELECT lang, w AS w1, lead(w, 1) OVER s AS w2, lead(w, 2) OVER s AS w3, lead(w, 3) OVER s AS w4
+         FROM words WINDOW s AS (PARTITION BY d, p ORDER BY i)),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, [w1] AS ws, count(*) AS f FROM runs GROUP BY ALL UNION ALL
+  SELECT lang, [w1, w2], count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY ALL UNION ALL
+  SELECT lang, [w1, w2, w3], count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY ALL UNION ALL
+  SELECT lang, [w1, w2, w3, w4], count(*) FROM runs WHERE w4 IS NOT NULL GROUP BY ALL),
+known AS (SELECT lang, ws, f::HUGEINT AS f FROM grams WHERE f >= 30),
+cuts AS (SELECT c.lang, c.ws, c.f AS a, k, l.f AS l, r.f AS r, 2000000 * c.f // (l.f + r.f) AS score
+         FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM known WHERE len(ws) > 1) c
+         JOIN known l ON l.lang = c.lang AND l.ws = c.ws[1:k] JOIN known r ON r.lang = c.lang AND r.ws = c.ws[k + 1:]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+held AS (SELECT lang, part, max(f) AS f FROM (
+    SELECT lang, f, unnest(list_distinct([ws[1:2], ws[2:3], ws[3:4], ws[1:3], ws[2:4]])) AS part, ws FROM known WHERE len(ws) > 2)
+  WHERE len(part) > 1 AND len(part) < len(ws) GROUP BY ALL),
+kept AS (SELECT c.*, array_to_string(c.ws, ' ') AS phrase FROM lowest c LEFT JOIN held h ON h.lang = c.lang AND h.part = c.ws
+         WHERE h.f IS NULL OR 100 * h.f < 80 * c.a),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::INTEGER AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM placed JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op13_topk": """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+          FROM v q JOIN v c ON q.row <> c.row AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) <= 5""",
 }
