@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 SPACES = r"(?U)\s+"
@@ -11,6 +13,16 @@ HEBREW_LETTERS = r"[א-ת]"
 BLANK_WORDS = ("n/a", "na", "none", "skip", "null")
 
 
+def bind(body: Callable[..., Column], *values: Column) -> Column:
+    """``body`` of the values, each computed once a row.
+
+    A column that is named within a lambda is no value but its expression, computed again for every element once the
+    optimizer has merged the projections below. As arguments of a lambda of their own the values stand still.
+    """
+    fields = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.transform(F.array(fields), lambda x: body(*[x[f"v{i}"] for i in range(len(values))]))[0]
+
+
 def strip_markup(text: Column) -> Column:
     """Line breaks become spaces, tags go, white space (also non-breaking) collapses; null stays null."""
     broken = F.regexp_replace(text, r"(?i)<br\s*/?>", " ")
@@ -45,13 +57,16 @@ def coverage_ratio(source: Column, generated: Column, lookahead: int) -> Column:
     """
     start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("hits"))
 
-    def step(state: Column, token: Column) -> Column:
-        place = F.array_position(F.slice(generated, state["at"], F.lit(lookahead)), token).cast("int")
-        moved = lambda p: F.struct((state["at"] + p).alias("at"), (state["hits"] + F.least(p, F.lit(1))).alias("hits"))
-        return F.transform(F.array(place), moved)[0]  # so that the place, 0 if there is none, is searched once
+    def matched(source: Column, generated: Column) -> Column:
+        def step(state: Column, token: Column) -> Column:
+            place = F.array_position(F.slice(generated, state["at"], F.lit(lookahead)), token).cast("int")
+            # the place, 0 if there is none, is searched once
+            return bind(lambda p: F.struct((state["at"] + p).alias("at"), (state["hits"] + F.least(p, F.lit(1))).alias("hits")), place)
+
+        return F.aggregate(source, start, step)["hits"]
 
-    hits = F.aggregate(source, start, step)["hits"]
-    return F.when(F.size(source) == 0, 1.0).otherwise(hits / F.size(source))
+    hits = bind(lambda s, g: F.when(F.size(s) == 0, 1.0).otherwise(matched(s, g) / F.size(s)), source, generated)
+    return F.when(source.isNotNull() & generated.isNotNull(), hits)
 
 
 def coverage_gate(ratio: Column) -> Column:

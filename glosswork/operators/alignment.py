@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glosswork.functions import text as T
@@ -75,11 +77,12 @@ def phrase_pieces(text: Column) -> Column:
     count = lambda x: F.size(T.words(x))
     soft = F.flatten(F.transform(hard, lambda x: F.when(count(x) > MOST_WORDS, clean(F.split(x, f"(?<=[{SOFT}])"))).otherwise(F.array(x))))
 
-    def chunks(x: Column) -> Column:
-        last = F.floor((count(x) - 1) / CHUNK_WORDS).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(T.words(x), k * CHUNK_WORDS + 1, F.lit(CHUNK_WORDS)), " "))
+    def chunks(x: Column, words: Column) -> Column:
+        last = F.floor((F.size(words) - 1) / CHUNK_WORDS).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(words, k * CHUNK_WORDS + 1, F.lit(CHUNK_WORDS)), " "))
+        return F.when(F.size(words) > MOST_WORDS, cut).otherwise(F.array(x))
 
-    return F.flatten(F.transform(soft, lambda x: F.when(count(x) > MOST_WORDS, chunks(x)).otherwise(F.array(x))))
+    return F.flatten(F.transform(soft, lambda x: T.bind(chunks, x, T.words(x))))
 
 
 def merge_runts(pieces: list[str]) -> list[str]:
@@ -103,17 +106,23 @@ def merge_runts(pieces: list[str]) -> list[str]:
 
 def split_phrases(rows: DataFrame) -> DataFrame:
     """(unit_id, line_no, phrase_no, phrase) of (unit_id, line_no, text). Only the joining of short pieces, an iterated
-    rewrite within one row, runs in Python, in Arrow batches; lines without a short piece stay in the JVM.
+    rewrite within one row, runs in Python, in Arrow batches; lines without a short piece pass through them as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            merged = [merge_runts(p) for p in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(merged, batch.schema.field(2).type)], names=batch.schema.names)
+            pieces = batch.column(2)
+            sizes = pc.list_value_length(pc.utf8_split_whitespace(pieces.flatten())).to_numpy()
+            short = np.zeros(batch.num_rows, bool)
+            short[pc.list_parent_indices(pieces).to_numpy()[sizes < LEAST_WORDS]] = True
+            short &= pc.list_value_length(pieces).to_numpy() > 1
+            yield batch.filter(pa.array(~short))
+            some = batch.filter(pa.array(short))
+            merged = pa.array([merge_runts(p) for p in some.column(2).to_pylist()], pieces.type)
+            yield pa.RecordBatch.from_arrays([*some.columns[:2], merged], schema=batch.schema)
 
     cut = rows.select("unit_id", "line_no", phrase_pieces(F.coalesce("text", F.lit(""))).alias("pieces"))
-    short = (F.size("pieces") > 1) & F.exists("pieces", lambda x: F.size(T.words(x)) < LEAST_WORDS)
-    merged = cut.where(short).mapInArrow(run, cut.schema).union(cut.where(~short))
+    merged = cut.mapInArrow(run, cut.schema)
     return merged.select("unit_id", "line_no", F.posexplode("pieces").alias("p", "phrase")).select("unit_id", "line_no", (F.col("p") + 1).alias("phrase_no"), "phrase")
 
 

@@ -6,42 +6,60 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from glosswork.functions.text import HEBREW_POINTS, coverage_ratio, normalise_tokens, snippet
+from glosswork.functions.text import HEBREW_POINTS, bind, coverage_ratio, normalise_tokens, snippet, strip_points
 
 KEYS = ["unit_id", "step_no"]
 
 
-def _first_match(rules: DataFrame, sources: list[str], wanted) -> Column:
-    """struct(expected, rule_ix) of the first rule, by text then rule, that matches a text and is ``wanted``; else null.
+def rule_text(source: Column, points: str = HEBREW_POINTS) -> Column:
+    """A text as rules see it: lower-cased, without points, trimmed; blank is null."""
+    bare = F.regexp_replace(strip_points(F.lower(source), points), r"^\s+|\s+$", "")
+    return F.when(bare != "", bare)
 
-    Rules (rule_ix, pattern, expected) are tens of rows written by people. Each becomes one branch with a literal pattern,
-    which is compiled once, and a step's texts are searched only as far as the first hit.
+
+def _first_match(rules: DataFrame, sources: list[Column], wanted) -> Column:
+    """struct(expected, rule_ix, rule_name, matched_text) of the first rule, by text then rule, that matches a text and is ``wanted``; else null.
+
+    Rules (rule_ix, pattern, expected, and name if they have one) are tens of rows written by people. One alternation of
+    all patterns sends most texts away; for the others each rule is one branch with a literal pattern, which is compiled
+    once, and a step's texts are searched only as far as the first hit. Each text is made ready once.
     """
     listed = rules.orderBy("rule_ix").collect()
     if len(listed) > 1000:
         raise ValueError("more than 1000 rules")
-    chains = []
-    for source in sources:
-        text, chain = F.lower(source), F.when(F.lit(False), None)
+    named = "name" in rules.columns
+    any_of = "|".join(f"(?:{r['pattern']})" for r in listed) or "(?!)"
+
+    def found(text: Column) -> Column:
+        chain = F.when(F.lit(False), None)
         for r in listed:
-            found = F.struct(F.lit(r["expected"]).cast("string").alias("expected"), F.lit(r["rule_ix"]).alias("rule_ix"))
-            chain = chain.when(wanted(r["expected"]) & text.rlike(r["pattern"]), found)
-        chains.append(chain)
-    return F.coalesce(*chains)
+            values = (("expected", r["expected"]), ("rule_ix", r["rule_ix"]), ("rule_name", r["name"] if named else None))
+            hit = F.struct(*[F.lit(v).cast("int" if n == "rule_ix" else "string").alias(n) for n, v in values], F.substring(text, 1, 80).alias("matched_text"))
+            chain = chain.when(wanted(r["expected"]) & text.rlike(r["pattern"]), hit)
+        return F.when(text.rlike(any_of), chain)
 
+    return F.coalesce(*[bind(found, s) for s in sources])
 
-def source_rule_override(steps: DataFrame, rules: DataFrame, sources: list[str]) -> DataFrame:
-    """New labels by rules (rule_ix, pattern, expected): the first rule, by text then rule, that matches and disagrees wins."""
-    disagrees = lambda expected: F.lit(False) if expected is None else F.col("label") != expected
-    hit = steps.select(*KEYS, "label", _first_match(rules, sources, disagrees).alias("hit"))
-    return hit.select(*KEYS, F.col("label").alias("old_label"), F.coalesce("hit.expected", "label").alias("label"), "hit.rule_ix")
 
+def source_rule_override(steps: DataFrame, rules: DataFrame, sources: list[str], points: str = HEBREW_POINTS) -> DataFrame:
+    """New labels by rules (rule_ix, pattern, expected, name): the first rule, by text then rule, that matches and disagrees
+    wins. Texts are searched without points; the log has the rule and the first 80 characters of the text it matched.
+    """
+    disagrees = lambda expected: F.lit(False) if expected is None else ~F.col("label").eqNullSafe(F.lit(expected))
+    hit = steps.select(*KEYS, "label", _first_match(rules, [rule_text(F.col(c), points) for c in sources], disagrees).alias("hit"))
+    return hit.select(*KEYS, F.col("label").alias("old_label"), F.coalesce("hit.expected", "label").alias("label"), "hit.rule_ix", "hit.rule_name", "hit.matched_text")
 
-def pattern_audit(steps: DataFrame, rules: DataFrame, sources: list[str]) -> DataFrame:
-    """Findings by the first rule that matches at all: REVIEW if it expects no label, MISMATCH if it expects another."""
-    first = steps.select(*KEYS, "label", _first_match(rules, sources, lambda _: F.lit(True)).alias("hit")).where("hit is not null").select(*KEYS, "label", "hit.expected")
-    finding = F.when(F.col("expected").isNull(), "REVIEW").when(F.col("expected") != F.col("label"), "MISMATCH")
-    return first.select(*KEYS, "label", "expected", finding.alias("finding")).where("finding is not null")
+
+def pattern_audit(steps: DataFrame, rules: DataFrame, sources: list[str], points: str = HEBREW_POINTS, first_text: bool = False) -> DataFrame:
+    """Findings by the first rule that matches at all: REVIEW if it expects no label, MISMATCH if it expects another.
+
+    With ``first_text`` only the first text that is not blank is searched. Texts are searched without points.
+    """
+    texts = [rule_text(F.col(c), points) for c in sources]
+    hit = _first_match(rules, [F.coalesce(*texts)] if first_text else texts, lambda _: F.lit(True))
+    first = steps.select(*KEYS, "label", hit.alias("hit")).where("hit is not null").select(*KEYS, "label", "hit.expected", "hit.rule_name")
+    finding = F.when(F.col("expected").isNull(), "REVIEW").when(~F.col("expected").eqNullSafe(F.col("label")), "MISMATCH")
+    return first.select(*KEYS, "label", "expected", "rule_name", finding.alias("finding")).where("finding is not null")
 
 
 def sequence_audit(steps: DataFrame, after: str, unexpected: list[str]) -> DataFrame:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glosswork.functions.rules import AUDIT_RULES, CHALLENGE, RESOLUTION, SOURCE_RULES, STATEMENT
 from glosswork.operators import audit as A
 from glosswork.plans.fixtures import LABELS, spark_view as fx, sql_views as sql
 from glosswork.plans.ingest import tables as analysis_tables
 from glosswork.plans.registry import query
 
+POINT = "\u05b8"  # stands after the first letter of the texts of odd units
 RULES = [(1, r"^\s*(the|and)(\s|$)", "challenge"), (2, r"^\s*(la|le|les)(\s|$)", "resolution"), (3, r"^\s*(der|die|das)(\s|$)", "statement"), (4, r"^\s*(el|los)(\s|$)", None)]
 RULE_ROWS = ", ".join(f"({i}, '{p}', {'null' if e is None else repr(e)})" for i, p, e in RULES)
 MATCHES = f"""rules(rule_ix, pattern, expected) as (values {RULE_ROWS}),
-texts as (select unit_id, step_no, label, 0 as source_ix, lower(text) as t from fx_steps union all select unit_id, step_no, label, 1, lower(reverse_words) from (select *, array_to_string(list_reverse(string_split(text, ' ')), ' ') as reverse_words from fx_steps)),
+texts as (select unit_id, step_no, label, 0 as source_ix, trim(lower(text)) as t from fx_steps union all select unit_id, step_no, label, 1, trim(lower(reverse_words)) from (select *, array_to_string(list_reverse(string_split(text, ' ')), ' ') as reverse_words from fx_steps)),
 hits as (select * from texts join rules on regexp_matches(t, pattern))"""
 
 
@@ -21,21 +23,70 @@ def rules(spark):
 
 
 def two_texts(spark, d):
-    return fx(spark, d, "fx_steps").withColumn("backwards", F.array_join(F.reverse(F.split("text", " ")), " "))
+    pointed = lambda c: F.when(F.col("unit_id") % 2 == 1, F.concat(F.substring(c, 1, 1), F.lit(POINT), F.substring(c, F.lit(2), F.length(c)))).otherwise(c)
+    backwards = F.array_join(F.reverse(F.split("text", " ")), " ")
+    return fx(spark, d, "fx_steps").withColumn("backwards", pointed(backwards)).withColumn("text", pointed(F.col("text")))
 
 
 @query("a1_source_rule_override", sql(f"""with {MATCHES}, k as (select *, row_number() over (partition by unit_id, step_no order by source_ix, rule_ix) k from hits where expected is not null and expected <> label)
-select s.unit_id, s.step_no, s.label as old_label, coalesce(k.expected, s.label) as label, k.rule_ix from fx_steps s left join k on k.unit_id = s.unit_id and k.step_no = s.step_no and k.k = 1"""))
+select s.unit_id, s.step_no, s.label as old_label, coalesce(k.expected, s.label) as label, k.rule_ix, cast(null as varchar) as rule_name, substr(k.t, 1, 80) as matched_text from fx_steps s left join k on k.unit_id = s.unit_id and k.step_no = s.step_no and k.k = 1"""))
 def a1(spark, d):
     return A.source_rule_override(two_texts(spark, d), rules(spark), ["text", "backwards"])
 
 
 @query("a2_pattern_audit", sql(f"""with {MATCHES}, k as (select *, row_number() over (partition by unit_id, step_no order by source_ix, rule_ix) k from hits)
-select unit_id, step_no, label, expected, case when expected is null then 'REVIEW' else 'MISMATCH' end as finding from k where k = 1 and (expected is null or expected <> label)"""))
+select unit_id, step_no, label, expected, cast(null as varchar) as rule_name, case when expected is null then 'REVIEW' else 'MISMATCH' end as finding from k where k = 1 and (expected is null or expected <> label)"""))
 def a2(spark, d):
     return A.pattern_audit(two_texts(spark, d), rules(spark), ["text", "backwards"])
 
 
+OPENINGS = ("לָמָּה לִי {}", "וְאִידָּךְ סָבַר {}", "וצריכא:", "תָּנוּ רַבָּנַן {}", "לָא, בְּ{}", "וְהָא {} קָאָמַר", "{}", "", "וּמִי מָצֵית אָמְרַתְּ {}", "אִי תְּנָא {}")
+LABELS_OF = (CHALLENGE, RESOLUTION, STATEMENT)
+
+
+def _rule_rows(listed) -> str:
+    return ", ".join(f"({i}, '{p}', {'null' if e is None else repr(e)}, '{n}')" for i, (p, e, n) in enumerate(listed, 1))
+
+
+def _opened(text: str) -> list[str]:
+    """A step's opening words and label, by its place; the same SQL for both engines."""
+    opening = " ".join(f"when {i} then replace('{o}', '{{}}', {text})" for i, o in enumerate(OPENINGS))
+    label = " ".join(f"when {i} then '{x}'" for i, x in enumerate(LABELS_OF))
+    return [f"case (unit_id + step_no) % {len(OPENINGS)} {opening} end as opening", f"case (unit_id + 2 * step_no) % 3 {label} end as label"]
+
+
+def _published(listed) -> str:
+    return f"""rules(rule_ix, pattern, expected, name) as (values {_rule_rows(listed)}),
+opened as (select unit_id, step_no, text, {', '.join(_opened('text'))} from fx_steps),
+texts as (select unit_id, step_no, label, k, trim(regexp_replace(lower(t), '[֑-ׇ]', '', 'g')) as t
+  from (select *, 0 as k, case when step_no % 4 = 0 then null else opening end as t from opened union all select *, 1, case when step_no % 4 = 0 then opening else text end from opened) where trim(coalesce(t, '')) <> ''),
+hits as (select * from texts join rules on regexp_matches(t, pattern))"""
+
+
+def opened_steps(spark, d):
+    opened = fx(spark, d, "fx_steps").selectExpr("unit_id", "step_no", "text", *_opened("text"))
+    late = F.col("step_no") % 4 == 0
+    return opened.withColumn("trigger", F.when(~late, F.col("opening"))).withColumn("phrase", F.when(late, F.col("opening")).otherwise(F.col("text")))
+
+
+def _named(spark, listed):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(listed, 1)], "rule_ix int, pattern string, expected string, name string")
+
+
+@query("a1_published_rules", sql(f"""with {_published(SOURCE_RULES)}, k as (select *, row_number() over (partition by unit_id, step_no order by k, rule_ix) as nth from hits where expected <> label)
+select o.unit_id, o.step_no, o.label as old_label, coalesce(k.expected, o.label) as label, k.rule_ix, k.name as rule_name, substr(k.t, 1, 80) as matched_text
+from opened o left join k on k.unit_id = o.unit_id and k.step_no = o.step_no and k.nth = 1"""))
+def a1b(spark, d):
+    return A.source_rule_override(opened_steps(spark, d), _named(spark, SOURCE_RULES), ["trigger", "phrase"])
+
+
+@query("a2_published_rules", sql(f"""with {_published(AUDIT_RULES)}, f as (select unit_id, step_no, min(k) as k from texts group by all),
+h as (select *, row_number() over (partition by unit_id, step_no order by rule_ix) as nth from hits join f using (unit_id, step_no, k))
+select unit_id, step_no, label, expected, name as rule_name, case when expected is null then 'REVIEW' else 'MISMATCH' end as finding from h where nth = 1 and (expected is null or expected <> label)"""))
+def a2b(spark, d):
+    return A.pattern_audit(opened_steps(spark, d), _named(spark, AUDIT_RULES), ["trigger", "phrase"], first_text=True)
+
+
 SEQUENCE = "seq as (select * from (select unit_id, step_no, label, lag(label) over (partition by unit_id order by step_no) as previous from fx_steps) where previous = 'challenge' and label in ('response', 'question'))"
 
 

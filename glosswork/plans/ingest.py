@@ -166,6 +166,44 @@ def _noisy(spark, d):
     return fx(spark, d, "events").select("event_id", noisy.alias("raw"))
 
 
+@query("s13_nested_export", sql("""select l_orderkey, cast(l_linenumber as bigint) as line, l_quantity as quantity, case when l_linenumber % 2 = 0 then strftime(l_shipdate, '%Y-%m-%d') end as shipped,
+  cast(case when l_linenumber % 2 = 0 then 2 else 0 end as int) as marks from lineitem"""))
+def s13b(spark, d):
+    """Wrappers three levels deep: a map that holds a list of maps that hold lists."""
+    text, whole = (lambda c: F.struct(c.alias("stringValue"))), (lambda c: F.struct(c.cast("string").alias("integerValue")))
+    listed = lambda c: F.struct(F.struct(c.alias("values")).alias("arrayValue"))
+    mapped = lambda **c: F.struct(F.struct(F.struct(*[v.alias(k) for k, v in c.items()]).alias("fields")).alias("mapValue"))
+    even = F.col("l_linenumber") % 2 == 0
+    day = F.date_format("l_shipdate", "yyyy-MM-dd'T'00:00:00'Z'")
+    shipped = F.when(even, F.struct(day.alias("timestampValue"), F.lit(None).cast("string").alias("nullValue"))).otherwise(F.struct(F.lit(None).cast("string").alias("timestampValue"), F.lit(None).cast("string").alias("nullValue")))
+    marks = F.when(even, F.array(text(F.col("l_returnflag")), text(F.col("l_linestatus"))))  # else a list without values
+    item = mapped(line=whole(F.col("l_linenumber")), quantity=F.struct(F.col("l_quantity").alias("doubleValue")), shipped=shipped, marks=listed(marks))
+    orders = fx(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    raw = orders.select("l_orderkey", F.to_json(F.struct(F.struct(mapped(items=listed(F.col("items"))).alias("order")).alias("fields"))).alias("raw"))
+    kind = "struct<items: array<struct<line: bigint, quantity: double, shipped: timestamp, marks: array<string>>>>"
+    items = R.ingest_typed_export(raw, "raw", {"order": kind}).select("l_orderkey", F.inline("order.items"))
+    return items.select("l_orderkey", "line", "quantity", F.date_format("shipped", "yyyy-MM-dd").alias("shipped"), F.size("marks").alias("marks"))
+
+
+SAID = """concat('he said “', {0}, '” twice, [list ,] end ,}} "', role, '"')"""
+
+
+@query("s14_whole_answers", sql(f"""with said as (select conv_id, turn, {SAID.format('text')} as a, concat('say "', replace(replace(text, '“', ''), '”', ''), '" ,] end') as b from conversations)
+select conv_id, turn, case when turn % 5 = 4 then b else a end as a from said union all select conv_id, turn, 'second' from said where turn % 5 = 2"""))
+def s14c(spark, d):
+    """Answers whose strings hold brackets, commas and quotes: bare, within prose, as a list, fenced, in curly quotes."""
+    said = F.concat(F.lit("he said “"), "text", F.lit("” twice, [list ,] end ,} \""), "role", F.lit('"'))
+    plain = F.concat(F.lit('say "'), F.translate("text", "“”", ""), F.lit('" ,] end'))
+    one = F.to_json(F.struct(said.alias("a")))
+    curly = F.concat(F.lit("{“a”: “"), F.replace(F.regexp_replace(F.to_json(F.struct(plain.alias("a"))), r'(?s)^\{"a":"|"\}$', ""), F.lit('\\"'), F.lit('"')), F.lit("”,}"))
+    answer = (
+        F.when(F.col("turn") % 5 == 0, one).when(F.col("turn") % 5 == 1, F.concat(F.lit("Well: "), one, F.lit(' so ends {it}, "all.')))
+        .when(F.col("turn") % 5 == 2, F.concat(F.lit("["), one, F.lit(', {"a": "second"}]')))
+        .when(F.col("turn") % 5 == 3, F.concat(F.lit("```json\n"), F.regexp_replace(one, r"\}$", ",\n}"), F.lit("\n```"))).otherwise(curly)
+    )
+    return R.ingest_model_output(fx(spark, d, "conversations").select("conv_id", "turn", answer.alias("raw")), "raw", "a string")[0]
+
+
 RECORDS = """rec as (select event_id as seq, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, user_id as unit_id, cast(event_id % 9 + 1 as int) as step_no, case event_id % 5 when 0 then 'label' when 4 then 'notes' else 'title' end as field, case when event_type = 'error' then null else concat(event_type, ' ', event_id) end as new_value from events),
 log as (select rec.*, case when new_value is null then 'missing field' when field = 'notes' then 'unknown field' when rec.unit_id not in (select unit_id from fx_steps) then 'no such unit' when s.step_no is null then 'no such step' else 'ok' end as message from rec left join fx_steps s on s.unit_id = rec.unit_id and s.step_no = rec.step_no),
 last as (select unit_id, step_no, field, new_value from (select *, row_number() over (partition by unit_id, step_no, field order by ts desc, seq desc) k from log where message = 'ok') where k = 1)"""

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, DataType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, FractionalType, IntegralType, MapType, StructField, StructType
 
 PHRASE = "struct<phraseNumber: int, source: string, translation: string, notes: string>"
 TERM = "struct<term: string, meaning: string>"
@@ -160,41 +164,111 @@ def append_feedback(records: DataFrame, path: str) -> None:
     records.select(F.to_json(F.struct(*records.columns)).alias("value")).write.mode("append").text(path)
 
 
-def typed_value(wrapped: str, kind: str) -> Column:
-    """The plain value of a typed wrapper column such as {"stringValue": "x"} or {"integerValue": "5"}."""
-    names = {"string": "stringValue", "long": "integerValue", "double": "doubleValue", "boolean": "booleanValue"}
-    return F.col(f"{wrapped}.{names[kind]}").cast(kind)
+def unwrapped(value: Column, kind: DataType) -> Column:
+    """The plain value of a typed wrapper (a VARIANT such as {"stringValue": "x"} or {"arrayValue": {"values": [...]}}).
+
+    Wrappers may lie in maps and arrays to any depth that ``kind`` declares. Whole numbers may stand in for others; a
+    nullValue, an absent field, or a wrapper of another kind give null.
+    """
+    at = lambda path, ddl: F.try_variant_get(value, path, ddl)
+    if isinstance(kind, StructType):
+        fields = [unwrapped(at(f"$.mapValue.fields['{f.name}']", "variant"), f.dataType).alias(f.name) for f in kind]
+        return F.when(at("$.mapValue", "variant").isNotNull(), F.struct(*fields))
+    if isinstance(kind, MapType):
+        entries = F.coalesce(at("$.mapValue.fields", "map<string, variant>"), F.expr("cast(map() as map<string, variant>)"))
+        return F.when(at("$.mapValue", "variant").isNotNull(), F.transform_values(entries, lambda _, v: unwrapped(v, kind.valueType)))
+    if isinstance(kind, ArrayType):
+        values = F.coalesce(at("$.arrayValue.values", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+        return F.when(at("$.arrayValue", "variant").isNotNull(), F.transform(values, lambda x: unwrapped(x, kind.elementType)))
+    number = at("$.integerValue", "string")
+    if isinstance(kind, FractionalType):
+        return F.coalesce(at("$.doubleValue", "string"), number).try_cast(kind)
+    if isinstance(kind, IntegralType):
+        return number.try_cast(kind)
+    name = {"boolean": "booleanValue", "timestamp": "timestampValue", "date": "timestampValue"}.get(kind.typeName())
+    if name is not None:
+        return at(f"$.{name}", "string").try_cast(kind)
+    return F.coalesce(at("$.stringValue", "string"), at("$.timestampValue", "string"))
 
 
 def ingest_typed_export(rows: DataFrame, raw: str, fields: dict[str, str]) -> DataFrame:
-    """Columns of typed-wrapper JSON documents {"fields": {name: {"...Value": ...}}}, for a declared schema.
+    """Columns of typed-wrapper JSON documents {"fields": {name: {"...Value": ...}}}, for a declared schema of DDL kinds.
 
-    A numeric field may come as integerValue or doubleValue; an array field (kind "array<string>") as arrayValue.
+    Each document is parsed once, to a VARIANT, and unwrapped by ``unwrapped``. A malformed document gives nulls.
     """
-    wrapper = "struct<stringValue: string, integerValue: string, doubleValue: double, booleanValue: boolean, arrayValue: struct<values: array<struct<stringValue: string>>>>"
-    schema = "fields struct<" + ", ".join(f"{n}: {wrapper}" for n in fields) + ">"
-    parsed = rows.withColumn("_doc", F.from_json(raw, schema))
-
-    def plain(name: str, kind: str) -> Column:
-        at = f"_doc.fields.{name}"
-        if kind.startswith("array"):
-            return F.transform(F.col(f"{at}.arrayValue.values"), lambda x: x["stringValue"])
-        if kind == "double":
-            return F.coalesce(F.col(f"{at}.doubleValue"), F.col(f"{at}.integerValue").cast("double"))
-        return typed_value(at, kind)
-
-    return parsed.select(*[c for c in rows.columns if c != raw], *[plain(n, k).alias(n) for n, k in fields.items()])
+    kinds = StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in fields.items()))
+    parsed = rows.withColumn("_doc", F.try_parse_json(raw))
+    plain = [unwrapped(F.try_variant_get("_doc", f"$.fields['{f.name}']", "variant"), f.dataType).alias(f.name) for f in kinds]
+    return parsed.select(*[c for c in rows.columns if c != raw], *plain)
+
+
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_BRACKETS = re.compile(r'(?s)"(?:[^"\\]++|\\.)*+(?:"|\\?\Z)|[{}\[\]]')
+_QUOTES = re.compile(rf"(?s){_STRING}|[“”]([^“”]*+)[“”]|[“”]")
+_COMMAS = re.compile(rf"(?s)({_STRING})|,\s*(?=[}}\]])")
+
+
+def balanced(text: str, opener: str, closer: str) -> str | None:
+    """The text from the first ``opener`` to the ``closer`` that balances it, brackets within JSON strings aside."""
+    start, depth = text.find(opener), 0
+    if start < 0:
+        return None
+    for token in _BRACKETS.finditer(text, start):
+        depth += (token[0] == opener) - (token[0] == closer)
+        if not depth:
+            return text[start : token.end()]
+    return None
+
+
+def repaired_json(text: str) -> str:
+    """Curly quotes become straight ones and trailing commas go, but not within strings; curly quotes make strings, too."""
+
+    def straight(m: re.Match) -> str:
+        if m[0][0] == '"':
+            return m[0]
+        return '"' if m[1] is None else '"' + m[1].replace('"', '\\"') + '"'
+
+    return _COMMAS.sub(lambda m: m[1] or "", _QUOTES.sub(straight, text))
+
+
+def answer_of(text: str | None) -> str | None:
+    """The JSON list of an answer's objects, as ``ingest_model_output`` describes; null if there is none."""
+    text = (text or "").strip()
+    if text.startswith("```"):
+        text = re.sub(r"\s*```\s*\Z", "", re.sub(r"(?i)\A```(?:json)?\s*", "", text))
+    for repair in (lambda t: t, repaired_json):
+        tried = repair(text)
+        for choose in (lambda t: t, lambda t: balanced(t, "{", "}"), lambda t: balanced(t, "[", "]")):
+            chosen = choose(tried)
+            if not chosen or chosen[0] not in "{[":
+                continue
+            try:
+                found = json.loads(chosen)
+            except (ValueError, RecursionError):
+                continue
+            return json.dumps(found if isinstance(found, list) else [found], ensure_ascii=False)
+    return None
 
 
 def ingest_model_output(rows: DataFrame, raw: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(parsed, quarantined): raw answers cut to their outermost braces, with code fences, curly quotes and trailing commas
-    repaired, parsed by ``schema``. What still does not parse is quarantined with its text.
+    """(parsed, quarantined): the JSON of raw answers, parsed by ``schema``; an array at top level gives a row an element.
+
+    A code fence around the answer goes. The first of these that is JSON counts: the whole answer; its first balanced
+    object, else array; then the same of the answer with curly quotes and trailing commas repaired outside strings.
+    Objects that do not fit the schema, also one of an array, send the whole answer to quarantine with its text, as do
+    answers without JSON and JSON that is neither object nor array. Of repeated keys the last counts. An empty array
+    gives no rows. Strings are found by one pass over the text, in Arrow batches; the schema is applied by Spark.
     """
-    text = F.regexp_replace(F.col(raw), r"```(?:json)?", "")
-    text = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    text = F.regexp_replace(text, "[“”]", '"')
-    text = F.regexp_replace(text, r",\s*([}\]])", "$1")
-    parsed = rows.withColumn("_json", text).withColumn("parsed", F.from_json("_json", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
-    bad = F.col("parsed").isNull() | F.col("parsed._corrupt").isNotNull() | (F.col("_json") == "")
+
+    @F.pandas_udf("string")
+    def answers(texts: pd.Series) -> pd.Series:
+        return texts.map(answer_of, na_action="ignore")
+
+    listed = F.concat(F.lit('{"answers": '), answers(F.col(raw)), F.lit("}"))
+    kind = f"answers array<struct<{schema}>>, _corrupt string"
+    options = {"columnNameOfCorruptRecord": "_corrupt"}
+    parsed = rows.withColumn("_parsed", F.from_json(listed, kind, options))
+    whole = F.col("_parsed._corrupt").isNull() & ~F.exists("_parsed.answers", lambda x: x.isNull())
+    good = F.coalesce(F.col("_parsed").isNotNull() & whole, F.lit(False))
     keep = [c for c in rows.columns if c != raw]
-    return parsed.where(~F.coalesce(bad, F.lit(True))).select(*keep, "parsed.*").drop("_corrupt"), parsed.where(F.coalesce(bad, F.lit(True))).select(*keep, raw)
+    return parsed.where(good).select(*keep, F.inline("_parsed.answers")), parsed.where(~good).select(*keep, raw)
