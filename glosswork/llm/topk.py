@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from glosswork.llm.storage import materialise
 
-_EXACT = 1 << 62  # below it, all bounds of a block are exact in 64-bit integers
+_EXACT = 1 << 53  # below it, all bounds of a block are exact in doubles
 _RESULT = "query_row long, query_id long, vec_id long, score long"
 
 
@@ -21,16 +21,17 @@ class ListParams:
 
     candidates_per_block: int = 8192
     queries_per_block: int = 4096
-    finalists: int = 64
-    first_share: int = 16  # the first reading goes to 1 / first_share of each list
+    queries_at_once: int = 128
+    finalists: int = 2048
+    depths: tuple[float, ...] = (0.5, 0.75, 1.0)  # shares of the lists; the last must be the whole
     scale: float = 256.0
 
 
 def _integers(vectors: pa.Array, dims: int, scale: float) -> np.ndarray:
-    """floor(scale * x) of each component; Python integers where some do not fit 63 bits."""
+    """floor(scale * x) of each component; Python integers where some are too large to add as doubles."""
     scaled = np.floor(scale * vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), dims))
     if np.abs(scaled).max(initial=0.0) < _EXACT:
-        return scaled.astype(np.int64)
+        return scaled
     return np.array([[floor(x) for x in row] for row in scaled], object).reshape(scaled.shape)
 
 
@@ -39,41 +40,50 @@ class SortedLists:
 
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T
-        self.values = np.take_along_axis(vectors.T, self.order, axis=1)
+        order = np.argsort(vectors, axis=0, kind="stable").T
+        self.values = np.take_along_axis(vectors.T, order, axis=1)
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(vectors), dtype=np.int32)[None, :], axis=1)
 
-    def finalists(self, query: np.ndarray, k: int, p: ListParams) -> np.ndarray:
-        """Candidates among which are all that have one of the k highest scores, ties included.
+    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the scores (queries x candidates) when all lists have been read to ``depth``.
 
-        Every list is read from its best end for the query, to a depth that doubles from round to round. A candidate's
-        lower bound takes the worst end of each list in which it has not been met, its upper bound the place that the
-        reading has come to. Those whose upper bound is below the k-th lower bound go for good; so do all that no list
-        has shown yet, at once. Reading stops when at most ``finalists`` are left or the lists are at their end.
+        A query reads a list from its high end where its own component is positive, else from its low end. What has not
+        been met in a list adds at least the worst of its products, and at most that of the place read last. Which
+        candidates an end shows is the same for all queries, so the bounds of many are a few matrix products.
+        """
+        n, kind = len(self.vectors), self.vectors.dtype
+        high, low = np.maximum(queries, 0), np.minimum(queries, 0)
+        shown = np.vstack([self.place >= n - depth, self.place < depth]).astype(kind)
+        met = np.hstack([high, low]) @ (shown * np.vstack([self.vectors.T, self.vectors.T]))
+        first, last = self.values[:, 0], self.values[:, -1]
+        worst = np.hstack([high * first, low * last])
+        here = np.hstack([high * self.values[:, n - depth], low * self.values[:, depth - 1]])
+        lower = met + worst.sum(axis=1)[:, None] - worst @ shown
+        upper = met + here.sum(axis=1)[:, None] - here @ shown
+        return lower, upper
+
+    def finalists(self, queries: np.ndarray, k: int, p: ListParams) -> list[np.ndarray]:
+        """For each query, candidates among which are all that have one of its k highest scores, ties included.
+
+        All lists are read to the depths of ``p.depths`` one after the other. Candidates whose upper bound is below the
+        k-th lower bound are out, those that no list has shown yet like the others. A query stops when at most
+        ``finalists`` are left, or at the lists' end, where the bounds are the scores.
         """
         n = len(self.vectors)
-        used = np.flatnonzero(query != 0)
-        if n <= max(k, p.finalists) or not len(used):
-            return np.arange(n)
-        ends = self.values[used][:, [0, -1]] * query[used][:, None]
-        worst = ends.min(axis=1)
-        lower = np.full(n, worst.sum(), self.vectors.dtype)
-        seen = np.zeros((len(used), n), bool)
-        alive, depth, start = np.arange(n), -(-n // p.first_share), 0
-        while True:
-            stop = min(start + depth, n)
-            here = np.zeros(len(used), self.vectors.dtype)
-            for i, d in enumerate(used):
-                span = slice(start, stop) if query[d] < 0 else slice(n - stop, n - start)
-                met = self.order[d, span]
-                lower[met] += query[d] * self.values[d, span] - worst[i]
-                seen[i, met] = True
-                here[i] = query[d] * self.values[d, stop - 1 if query[d] < 0 else n - stop]
-            best = np.partition(lower[alive], len(alive) - k)[len(alive) - k]
-            room = (here - worst)[:, None] * ~seen[:, alive]
-            alive = alive[lower[alive] + room.sum(axis=0) >= best]
-            if stop == n or len(alive) <= p.finalists:
-                return alive
-            start, depth = stop, stop
+        found = [np.arange(n)] * len(queries)
+        open_rows = np.arange(len(queries)) if n > max(k, p.finalists) else np.zeros(0, np.int64)
+        for share in p.depths:
+            late = []
+            for rows in np.array_split(open_rows, -(-len(open_rows) // p.queries_at_once)) if len(open_rows) else []:
+                lower, upper = self.bounds(queries[rows], min(n, int(-(-n * share // 1))))
+                least = np.partition(lower, n - k, axis=1)[:, n - k]
+                alive = upper >= least[:, None]
+                for row, left in zip(rows, alive, strict=True):
+                    found[row] = np.flatnonzero(left)
+                late.append(rows[alive.sum(axis=1) > p.finalists])
+            open_rows = np.concatenate(late) if late else open_rows
+        return found
 
 
 def _block_answers(candidates: pa.Table, queries: pa.Table, k: int, p: ListParams) -> pa.Table:
@@ -83,17 +93,19 @@ def _block_answers(candidates: pa.Table, queries: pa.Table, k: int, p: ListParam
         dims = candidates["dims"][0].as_py()
         mine, theirs = (_integers(t["vector"].combine_chunks(), dims, p.scale) for t in (candidates, queries))
         reach = int(abs(mine).max(initial=0)) * int(abs(theirs).max(initial=0)) * max(dims, 1) * 4
-        if reach >= _EXACT:
-            mine, theirs = mine.astype(object), theirs.astype(object)
+        exact = np.float64 if reach < _EXACT else object  # sums of products as doubles, or as Python integers
+        mine, theirs = mine.astype(exact), theirs.astype(exact)
         ids = candidates["id"].combine_chunks()
         rows = candidates["row"].to_numpy()
         names = ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
         unnamed = ids.is_null().to_numpy(zero_copy_only=False)
-        lists = SortedLists(mine)
-        for row, name, query in zip(queries["row"].to_pylist(), queries["id"].to_pylist(), theirs, strict=True):
-            left = lists.finalists(query, k + 1, p)  # one more, as the query itself may be in the block
+        found = SortedLists(mine).finalists(theirs, k + 1, p)  # one more, as the query itself may be in the block
+        for row, name, query, left in zip(queries["row"].to_pylist(), queries["id"].to_pylist(), theirs, found, strict=True):
             left = left[rows[left] != row]
-            scores = mine[left] @ query if dims else np.zeros(len(left), np.int64)
+            scores = mine[left] @ query if dims else np.zeros(len(left))
+            if len(left) > k:
+                best = scores >= np.partition(scores, len(left) - k)[len(left) - k]
+                left, scores = left[best], scores[best]
             first = np.lexsort((rows[left], names[left], unnamed[left], -scores))[:k]
             out += [(row, name, ids[int(i)].as_py(), int(s)) for i, s in zip(left[first], scores[first], strict=True)]
     columns = list(zip(*out, strict=True)) or [[]] * 4

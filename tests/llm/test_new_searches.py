@@ -176,15 +176,22 @@ def test_top_k_is_that_of_all_products(spark, block):
     rows += [(50, rows[50][1]), (100, rows[7][1]), (None, rows[0][1]), (None, [0.5] * 24), (2000, None), (2050, [0.1, None]), (2100, [float("nan")] * 24)]
     rows += [(2150, [float("inf")] + [0.0] * 23), (2200, []), (2201, []), (2250, [1e9, -3.0]), (2251, [1e5, 1e8]), (2252, [-1e5, 5.0]), (2300, [0.0] * 24), (2350, [-0.001] * 24)]
     df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "vec_id long, embedding array<double>, row long, dims int, id string")
-    params = topk.ListParams(candidates_per_block=block, queries_per_block=max(3, block // 4), finalists=8)
+    params = topk.ListParams(candidates_per_block=block, queries_per_block=max(3, block // 4), queries_at_once=5, finalists=8)
     got = topk.top_inner_products(df, F.col("vec_id") % 50 == 0, 5, params).collect()
     assert Counter(map(tuple, got)) == brute_top(rows, 5)
 
 
 def test_reading_stops_before_the_lists_end():
     rng = np.random.default_rng(3)
-    vectors = (rng.standard_normal((4000, 16)) * 40).astype(np.int64)
-    near = vectors[5] + rng.integers(-2, 3, (10, 16))
-    left = topk.SortedLists(np.vstack([vectors, near])).finalists(vectors[5], 5, topk.ListParams())
-    scores = np.vstack([vectors, near]) @ vectors[5]
-    assert len(left) <= 64 and set(np.argsort(-scores)[:5]) <= set(left.tolist())
+    vectors = np.floor(rng.standard_normal((4000, 16)) * 40)
+    vectors = np.vstack([vectors, vectors[5] + rng.integers(-2, 3, (10, 16))])
+    lists = topk.SortedLists(vectors)
+    queries = vectors[[5, 7, 4003]]
+    scores = queries @ vectors.T
+    for depth in (1, 500, 3000, len(vectors)):
+        lower, upper = lists.bounds(queries, depth)
+        assert (lower <= scores).all() and (scores <= upper).all()
+    assert (lower == upper).all()
+    left = lists.finalists(queries, 5, topk.ListParams(finalists=64, depths=(0.3, 1.0)))
+    for found, row in zip(left, scores, strict=True):
+        assert set(np.argsort(-row)[:5]) <= set(found.tolist()) and len(found) < 400
