@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glosswork.operators import spans as S
+from glosswork.operators.spine import catalogue_of_analyses
 from glosswork.plans.fixtures import spark_view as fx, sql_views as sql
 from glosswork.plans.registry import query
+from glosswork.plans.spans import ASKED, COUNTS, LOCATED, PROPORTIONAL, SUMMARY, asked_steps, recursive
 from glosswork.sources import analyses as R
 from glosswork.sources.scratch import scratch_folder
 from glosswork.streaming import corrections as C
+from glosswork.streaming.views import Stage, Views
 
 
 # what the tables of analyses are derived from: steps with three terms, one to two comments, and spans of four steps
@@ -252,6 +256,68 @@ def r3(spark, d):
     return table
 
 
+UNIT_DOCUMENT = """unit_id bigint, sent int, collection string, lines array<struct<line_no: int, text: string>>, steps array<struct<step_no: int, text: string>>,
+  spans array<struct<span_no: int, start_line: int, end_line: int, topic: string>>"""
+
+
+def unit_documents(spark, d):
+    """One document a unit: its lines, the steps that are to be found in them, and its spans."""
+    listed = lambda df, *names: df.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct(*names[1:]))).alias(names[0]))
+    documents = fx(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.col("source").alias("collection"))
+    lines = listed(fx(spark, d, "fx_lines"), "lines", "line_no", "text")
+    steps = listed(asked_steps(spark, d), "steps", "step_no", "text")
+    spans = listed(fx(spark, d, "fx_spans"), "spans", "span_no", "start_line", "end_line", "topic")
+    return documents.join(lines, "unit_id").join(steps, "unit_id").join(spans, "unit_id")
+
+
+def _unit_bounds(tables):
+    units = tables["input"]
+    spans = units.select("unit_id", F.inline("spans"))
+    located = S.locate_start_lines(units.select("unit_id", F.inline("steps")), units.select("unit_id", F.inline("lines")))
+    counts = units.select("unit_id", F.size("lines").alias("n_steps"))
+    return S.rebuild_bounds(located, spans, S.proportional_bounds(spans, counts), counts)
+
+
+def _unit_summaries(tables):
+    spans = tables["input"].select("unit_id", F.inline("spans")).join(tables["bounds"], ["unit_id", "span_no"])
+    gist = F.concat(F.lit("steps "), F.concat_ws("-", "first_step", "last_step"))
+    return S.unit_summary(spans.select("unit_id", "span_no", "topic", gist.alias("gist")), tables["input"])
+
+
+def _unit_catalogue(tables):
+    units = tables["summaries"].join(tables["input"].select("unit_id", "collection"), "unit_id")
+    named = units.selectExpr("concat('Unit ', unit_id) as ref", "collection", "cast(unit_id as int) as unitNo", "'a' as side", "topic as mainTopic", "cast(null as string) as generatedAt", "concat(collection, '_', unit_id, 'a.json') as file")
+    return catalogue_of_analyses(named).withColumn("unit_id", F.col("unitNo").cast("bigint"))
+
+
+CHAIN = [Stage("bounds", ("input",), _unit_bounds), Stage("summaries", ("bounds", "input"), _unit_summaries), Stage("catalogue", ("summaries", "input"), _unit_catalogue)]
+
+
+@query("r3_refresh_chain", recursive(f"""{ASKED}, {LOCATED}, {COUNTS}, {PROPORTIONAL},
+own as (select unit_id, span_no, min(step_no) f, max(step_no) l from (select l.unit_id, l.step_no, min(p.span_no) as span_no from located l join fx_spans p on p.unit_id = l.unit_id and l.line_no between p.start_line and p.end_line group by 1, 2) group by 1, 2),
+bounds as (select p.unit_id, p.span_no, coalesce(o.f, case when p.first_step <= c.n_steps then p.first_step end) as first_step, coalesce(o.l, case when p.last_step <= c.n_steps then p.last_step end) as last_step
+  from prop p join counts c using (unit_id) left join own o on o.unit_id = p.unit_id and o.span_no = p.span_no),
+gisted as (select unit_id, span_no, topic, concat('steps ', concat_ws('-', first_step, last_step)) as gist from bounds join fx_spans using (unit_id, span_no)), {SUMMARY}""", """
+select 'bounds' as kind, unit_id, cast(span_no as int) as n, concat_ws('-', first_step, last_step) as a, '' as b from bounds union all select 'summary', unit_id, 0, topic, overview from summary
+union all select 'catalogue', unit_id, 0, topic, concat_ws('|', concat('Unit ', unit_id), source, concat(source, '_', unit_id, 'a.json')) from summary join documents on doc_id = unit_id"""))
+def r3_chain(spark, d):
+    """Three arrivals, with documents that are sent again, changed or stale, give the tables of the last versions."""
+    folder = scratch_folder(spark, "chain")
+    docs = unit_documents(spark, d)
+    old_spans = F.transform("spans", lambda x: F.struct(x["span_no"], x["start_line"], (x["end_line"] + 1).alias("end_line"), F.upper(x["topic"]).alias("topic")))
+    old = docs.withColumn("spans", F.when(F.col("unit_id") % 5 == 0, old_spans).otherwise(F.col("spans"))).withColumn("steps", F.when(F.col("unit_id") % 7 == 0, F.slice("steps", 1, 1)).otherwise(F.col("steps")))
+    again = F.col("unit_id") % 35 % 7 * (F.col("unit_id") % 5) == 0
+    arrivals = [old.where("unit_id % 3 <> 2").withColumn("sent", F.lit(1)), docs.where("unit_id % 3 = 2").withColumn("sent", F.lit(2)), docs.where(again).withColumn("sent", F.lit(3)).union(old.where("unit_id % 11 = 0").withColumn("sent", F.lit(0)))]
+    views = Views(spark, f"{folder}/views", "unit_id", CHAIN, identity=("unit_id",), version="sent", buckets=16)
+    for rows in arrivals:
+        rows.write.mode("append").json(f"{folder}/in")
+        C.run_available(spark.readStream.schema(UNIT_DOCUMENT).json(f"{folder}/in"), views.apply, f"{folder}/checkpoint")
+    bounds = views.table("bounds").selectExpr("'bounds' as kind", "unit_id", "span_no as n", "concat_ws('-', first_step, last_step) as a", "'' as b")
+    summaries = views.table("summaries").selectExpr("'summary'", "unit_id", "0", "topic", "overview")
+    entries = views.table("catalogue").selectExpr("'catalogue'", "unit_id", "0", "mainTopic", "concat_ws('|', ref, collection, file)")
+    return bounds.union(summaries).union(entries)
+
+
 @query("r6_resume_stage", sql("select collection, window_no, count(*) as units, cast(sum(n_lines) as bigint) as n_lines from fx_windows group by 1, 2"))
 def r6(spark, d):
     target = f"{scratch_folder(spark, 'stage')}/table"

@@ -36,7 +36,7 @@ wsteps as (select collection, window_no, span_no as step_no, start_line as first
 """
 
 
-def _recursive(views: str, body: str) -> str:
+def recursive(views: str, body: str) -> str:
     return sql(f"with recursive {views} {body}")
 
 
@@ -63,12 +63,12 @@ def window_steps(spark, d):
     return window_spans(spark, d).select("collection", "window_no", F.col("span_no").alias("step_no"), F.col("start_line").alias("first_line"), F.col("end_line").alias("last_line"))
 
 
-@query("i1_repair_spans", _recursive(REPAIRED, "select * from repaired"))
+@query("i1_repair_spans", recursive(REPAIRED, "select * from repaired"))
 def i1(spark, d):
     return repaired(spark, d)
 
 
-@query("i2_repair_step_ranges", _recursive("""
+@query("i2_repair_step_ranges", recursive("""
 s0 as (select f.unit_id, f.span_no, f.start_line s, f.end_line e, u.n_lines t, row_number() over (partition by f.unit_id order by f.span_no) rn, count(*) over (partition by f.unit_id) n
        from fx_spans f join fx_units u using (unit_id)),
 chain as (select unit_id, rn, greatest(e, s, 1) u from s0 where rn = 1
@@ -79,7 +79,7 @@ def i2(spark, d):
     return S.repair_step_ranges(fx(spark, d, "fx_spans"), fx(spark, d, "fx_units"))
 
 
-@query("i3_localise", _recursive(REPAIRED + ", l as (select unit_id, span_no, k as step_no, k * 2 - 3 as ls, k * 2 + (unit_id % 3) - 3 as le from repaired, (select 1 k union all select 2 union all select 3))", """
+@query("i3_localise", recursive(REPAIRED + ", l as (select unit_id, span_no, k as step_no, k * 2 - 3 as ls, k * 2 + (unit_id % 3) - 3 as le from repaired, (select 1 k union all select 2 union all select 3))", """
 select l.unit_id, l.span_no, cast(step_no as int) as step_no,
   cast(least(start_line - 1 + greatest(1, ls), least(start_line - 1 + greatest(ls, le), end_line)) as int) as first_line, cast(least(start_line - 1 + greatest(ls, le), end_line) as int) as last_line
 from l join repaired r on r.unit_id = l.unit_id and r.span_no = l.span_no"""))
@@ -100,7 +100,7 @@ def i4(spark, d):
     return S.drop_consecutive_duplicates(r)
 
 
-@query("i5_split_large_spans", _recursive(REPAIRED + """, c as (select *, greatest(cast(ceil((end_line - start_line + 1) / 5.0) as int), 1) as chunks from repaired),
+@query("i5_split_large_spans", recursive(REPAIRED + """, c as (select *, greatest(cast(ceil((end_line - start_line + 1) / 5.0) as int), 1) as chunks from repaired),
 z as (select *, cast(ceil((end_line - start_line + 1) / chunks::double) as int) as size, unnest(range(0, chunks)) as part from c)""", """
 select unit_id, span_no, cast(part + 1 as int) as part, cast(start_line + part * size as int) as start_line, cast(least(start_line + part * size + size - 1, end_line) as int) as end_line,
   case when chunks > 1 then concat(topic, ' (part ', part + 1, '/', chunks, ')') else topic end as topic from z where start_line + part * size <= end_line"""))
@@ -147,13 +147,13 @@ def i10(spark, d):
     return S.remap_dependencies(deps, S.assign_steps_to_units(steps, ranges(spark, d)))
 
 
-@query("i11_span_step_bounds_overlap", _recursive(REPAIRED + ", " + STEP_RANGES, """select p.unit_id, p.span_no, min(s.step_no) as first_step, max(s.step_no) as last_step
+@query("i11_span_step_bounds_overlap", recursive(REPAIRED + ", " + STEP_RANGES, """select p.unit_id, p.span_no, min(s.step_no) as first_step, max(s.step_no) as last_step
 from fx_spans p left join steps s on s.unit_id = p.unit_id and s.first_line <= p.end_line and s.last_line >= p.start_line group by 1, 2"""))
 def i11(spark, d):
     return S.span_step_bounds(fx(spark, d, "fx_spans"), steps_of(repaired(spark, d)), overlap=True)
 
 
-@query("i12_span_step_bounds_start", _recursive(REPAIRED + ", " + STEP_RANGES, """select p.unit_id, p.span_no, min(s.step_no) as first_step, max(s.step_no) as last_step
+@query("i12_span_step_bounds_start", recursive(REPAIRED + ", " + STEP_RANGES, """select p.unit_id, p.span_no, min(s.step_no) as first_step, max(s.step_no) as last_step
 from fx_spans p left join steps s on s.unit_id = p.unit_id and s.first_line between p.start_line and p.end_line group by 1, 2"""))
 def i12(spark, d):
     return S.span_step_bounds(fx(spark, d, "fx_spans"), steps_of(repaired(spark, d)))
@@ -162,7 +162,7 @@ def i12(spark, d):
 BOUNDS = "bounds as (select unit_id, span_no, case when unit_id % 4 > 0 then span_no end as first_step, case when unit_id % 4 > 0 then span_no + 1 end as last_step from repaired where span_no % 2 = 1)"
 
 
-@query("i13_steps_in_span", _recursive(REPAIRED + ", " + STEP_RANGES + ", " + BOUNDS + ", g as (select s.unit_id, b.span_no, s.step_no from steps s join bounds b on s.unit_id = b.unit_id and s.step_no between b.first_step and b.last_step)", """
+@query("i13_steps_in_span", recursive(REPAIRED + ", " + STEP_RANGES + ", " + BOUNDS + ", g as (select s.unit_id, b.span_no, s.step_no from steps s join bounds b on s.unit_id = b.unit_id and s.step_no between b.first_step and b.last_step)", """
 select * from g union all select unit_id, 0, step_no from steps where unit_id not in (select unit_id from g)"""))
 def i13(spark, d):
     spans = repaired(spark, d)
@@ -170,7 +170,7 @@ def i13(spark, d):
     return S.steps_in_span(bounds, steps_of(spans))
 
 
-@query("i14_orphan_steps", _recursive(REPAIRED + ", " + STEP_RANGES, "select * from steps s where not exists (select 1 from fx_spans p where p.unit_id = s.unit_id and s.first_line between p.start_line and p.end_line)"))
+@query("i14_orphan_steps", recursive(REPAIRED + ", " + STEP_RANGES, "select * from steps s where not exists (select 1 from fx_spans p where p.unit_id = s.unit_id and s.first_line between p.start_line and p.end_line)"))
 def i14(spark, d):
     return S.orphan_steps(steps_of(repaired(spark, d)), fx(spark, d, "fx_spans"))
 
@@ -209,7 +209,7 @@ def step_counts(spark, d):
     return fx(spark, d, "fx_units").selectExpr("unit_id", "n_lines as n_steps")
 
 
-@query("i16_rebuild_bounds", _recursive(f"{ASKED}, {LOCATED}, {COUNTS}, {PROPORTIONAL}" + """,
+@query("i16_rebuild_bounds", recursive(f"{ASKED}, {LOCATED}, {COUNTS}, {PROPORTIONAL}" + """,
 own as (select unit_id, span_no, min(step_no) f, max(step_no) l from (select l.unit_id, l.step_no, min(p.span_no) as span_no from located l join fx_spans p on p.unit_id = l.unit_id and l.line_no between p.start_line and p.end_line group by 1, 2) group by 1, 2)""", """
 select p.unit_id, p.span_no, cast(coalesce(o.f, case when p.first_step <= c.n_steps then p.first_step end) as int) as first_step, cast(coalesce(o.l, case when p.last_step <= c.n_steps then p.last_step end) as int) as last_step
 from prop p join counts c using (unit_id) left join own o on o.unit_id = p.unit_id and o.span_no = p.span_no"""))
@@ -219,7 +219,7 @@ def i16(spark, d):
     return S.rebuild_bounds(located, spans, S.proportional_bounds(spans, counts), counts)
 
 
-@query("i17_proportional_bounds", _recursive(f"{COUNTS}, {PROPORTIONAL}", "select * from prop"))
+@query("i17_proportional_bounds", recursive(f"{COUNTS}, {PROPORTIONAL}", "select * from prop"))
 def i17(spark, d):
     return S.proportional_bounds(fx(spark, d, "fx_spans"), step_counts(spark, d))
 
@@ -252,12 +252,12 @@ def _summary(spark, d):
     return S.unit_summary(gisted, fx(spark, d, "fx_units"))
 
 
-@query("i20_unit_summary", _recursive(f"{REPAIRED}, {GISTED}, {SUMMARY}", "select * from summary"))
+@query("i20_unit_summary", recursive(f"{REPAIRED}, {GISTED}, {SUMMARY}", "select * from summary"))
 def i20(spark, d):
     return _summary(spark, d)
 
 
-@query("i21_changed_only", _recursive(f"{REPAIRED}, {GISTED}, {SUMMARY}", "select unit_id, topic, overview from summary where not (unit_id % 3 = 0)"))
+@query("i21_changed_only", recursive(f"{REPAIRED}, {GISTED}, {SUMMARY}", "select unit_id, topic, overview from summary where not (unit_id % 3 = 0)"))
 def i21(spark, d):
     now = _summary(spark, d)
     stored = now.withColumn("overview", F.expr("case unit_id % 3 when 0 then overview when 1 then null else concat(overview, '!') end"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from glosswork.streaming.views import INPUT, Stage, Views
+
 RECORD = "seq long, ts string, unit_id long, step_no int, field string, new_value string"
 FIELDS = ("title", "label")
 KEYS = ["unit_id", "step_no"]
@@ -14,8 +16,9 @@ KEYS = ["unit_id", "step_no"]
 
 def judged(records: DataFrame, steps: DataFrame) -> DataFrame:
     """Every record with applied and message: all four fields are needed, the field listed, and unit and step present."""
-    units = steps.select("unit_id").distinct().withColumn("_unit", F.lit(True))
-    known = steps.select(*KEYS).withColumn("_step", F.lit(True))
+    asked = steps.select(*KEYS).join(records.select("unit_id").distinct(), "unit_id", "left_semi")  # of few units, so that the rest is not shuffled
+    units = asked.select("unit_id").distinct().withColumn("_unit", F.lit(True))
+    known = asked.withColumn("_step", F.lit(True))
     j = records.join(units, "unit_id", "left").join(known, KEYS, "left")
     missing = F.col("unit_id").isNull() | F.col("step_no").isNull() | F.col("field").isNull() | F.col("new_value").isNull()
     message = (
@@ -64,46 +67,25 @@ def recent_corrections(log: DataFrame, n: int = 10) -> DataFrame:
     return log.orderBy(F.desc("ts"), F.desc("seq")).limit(n).withColumn("total", total)
 
 
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(int(x.getPath().getName().removeprefix("version=")) for x in files.listStatus(path)) if files.exists(path) else []
-
-
-def _drop_version(spark: SparkSession, target: str, number: int) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/version={number}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def one_view(spark: SparkSession, key: str, refresh: Callable[[DataFrame], DataFrame], target: str) -> Views:
+    """A single derived table at ``target``; ``refresh`` keeps the key column."""
+    return Views(spark, target, key, [Stage("table", (INPUT,), lambda tables: refresh(tables[INPUT]))])
 
 
-def refresher(spark: SparkSession, source: str, schema: str, key: str, refresh: Callable[[DataFrame], DataFrame], target: str) -> Callable[[DataFrame, int], None]:
-    """What a micro-batch does to the derived table at ``target``: the rows of the keys that arrived are computed again from
-    all their input, the others are taken over from the version before. ``refresh`` keeps the key column.
+def refreshed_table(spark: SparkSession, source: str, schema: str, key: str, refresh: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> DataFrame:
+    """Bring a derived table up to date with the files below ``source`` that have arrived since the last call; returns it.
 
-    Each batch writes the version of its number, so one that is run again changes nothing; only its predecessor is kept.
+    The rows of the keys that arrived are computed again from all their input, which is kept in buckets by key; the
+    others stay as they are.
     """
-
-    def each(batch: DataFrame, number: int) -> None:
-        keys = batch.select(key).distinct()
-        table = refresh(spark.read.schema(schema).json(source).join(keys, key, "left_semi"))
-        earlier = [v for v in _versions(spark, target) if v < number]
-        if earlier:
-            table = table.union(spark.read.parquet(f"{target}/version={earlier[-1]}").join(keys, key, "left_anti").select(table.columns))
-        table.write.mode("overwrite").parquet(f"{target}/version={number}")
-        for old in earlier[:-1]:
-            _drop_version(spark, target, old)
-
-    return each
-
-
-def refreshed_table(spark: SparkSession, source: str, schema: str, key: str, refresh: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> DataFrame:
-    """Bring a derived table up to date with the files below ``source`` that have arrived since the last call; returns it."""
-    run_available(spark.readStream.schema(schema).json(source), refresher(spark, source, schema, key, refresh, target), checkpoint)
-    return spark.read.parquet(f"{target}/version={_versions(spark, target)[-1]}")
+    views = one_view(spark, key, refresh, target)
+    run_available(spark.readStream.schema(schema).json(source), views.apply, checkpoint)
+    return views.table("table")
 
 
-def refresh_periodically(spark: SparkSession, source: str, schema: str, key: str, refresh: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, every: str = "90 seconds") -> StreamingQuery:
-    """As ``refreshed_table``, but as a running query that looks for new files ``every`` so often."""
-    stream = spark.readStream.schema(schema).json(source).writeStream.foreachBatch(refresher(spark, source, schema, key, refresh, target))
+def refresh_periodically(spark: SparkSession, source: str, schema: str, views: Views, checkpoint: str, every: str = "90 seconds") -> StreamingQuery:
+    """A running query that looks for new files ``every`` so often and brings all views up to date with them."""
+    stream = spark.readStream.schema(schema).json(source).writeStream.foreachBatch(views.apply)
     return stream.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
