@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from glosswork.functions.rules import AUDIT_RULES, CHALLENGE, RESOLUTION, SOURCE_RULES, STATEMENT
 from glosswork.operators import audit as A
+from glosswork.operators.gram_index import GramIndex
 from glosswork.plans.fixtures import LABELS, spark_view as fx, sql_views as sql
 from glosswork.plans.ingest import tables as analysis_tables
 from glosswork.plans.registry import query
+from glosswork.sources.scratch import scratch_folder
 
 POINT = "\u05b8"  # stands after the first letter of the texts of odd units
 RULES = [(1, r"^\s*(the|and)(\s|$)", "challenge"), (2, r"^\s*(la|le|les)(\s|$)", "resolution"), (3, r"^\s*(der|die|das)(\s|$)", "statement"), (4, r"^\s*(el|los)(\s|$)", None)]
@@ -306,15 +310,34 @@ def a14b(spark, d):
     return A.compare_labels(steps.where("unit_id % 2 = 0 and label <> 'proof'"), steps.where("unit_id % 2 = 1 and label <> 'question'"))
 
 
-@query("f3_search_analyses", sql(f"""with {STEPS}, {WHOLE}, k as (select *, list_extract([1, 2, 3, 4], cast(step_no % 4 + 1 as int)) as bucket, unnest(range(0, cast(unit_id % 2 as int) + 1)) as pos from fx_steps),
+SEARCHED = f"""with {STEPS}, {WHOLE}, k as (select *, list_extract([1, 2, 3, 4], cast(step_no % 4 + 1 as int)) as bucket, unnest(range(0, cast(unit_id % 2 as int) + 1)) as pos from fx_steps),
 f as (select concat('Unit ', unit_id) as ref, 0 as step_no, 0 as kind, 0 as pos, 'mainTopic' as field, 10 as weight, min_by(text, step_no) as loose, null::varchar as exact, '' as lead, false as whole from fx_steps group by unit_id
  union all select ref, step_no, 1, 0, 'title', 8, role, null, '', false from st union all select ref, step_no, 2, 0, 'summary', 5, concat('In short: ', role), null, '', false from st
  union all select ref, step_no, 3, 0, 'what', 5, what, null, '', false from st union all select ref, step_no, 4, 0, 'deeper', 5, concat_ws(' ', label, branch_role, what), null, '', false from st
  union all select concat('Unit ', unit_id), step_no, 5, term_pos - 1, 'term', 7, concat('of ', reverse(term)), term, '', true from fx_terms where term_pos <= 3
  union all select concat('Unit ', unit_id), step_no, 6, 2 * phrase_no, 'source phrase', 6, null, source, '', false from ph union all select concat('Unit ', unit_id), step_no, 6, 2 * phrase_no + 1, 'translated phrase', 4, reverse(source), null, '', false from ph
- union all select concat('Unit ', unit_id), step_no, 7, bucket * 1000000 + pos, 'takeaway', 6, role, null, concat('source ', pos, ': '), false from k),
-h as (select *, coalesce(loose, exact) as t from f where contains(lower(loose), 'er') or contains(exact, 'ER') order by weight desc, ref, step_no, kind, pos limit 4000),
-s as (select *, instr(lower(t), 'er') as a from h), w as (select *, greatest(a - 50, 1) as b, least(a + 52, length(t) + 1) as e from s)
-select ref, cast(step_no as int) as step_no, kind, cast(pos as int) as pos, field, weight, case when whole then concat_ws(' — ', exact, loose) when a > 0 then concat(lead, case when b > 1 then '…' else '' end, substr(t, b, e - b), case when e <= length(t) then '…' else '' end) else concat(lead, substr(t, 1, 120)) end as snippet from w"""))
+ union all select concat('Unit ', unit_id), step_no, 7, bucket * 1000000 + pos, 'takeaway', 6, role, null, concat('source ', pos, ': '), false from k),"""
+
+
+def _hits(needle: str, k: int, name: str = "h") -> str:
+    """The k best hits of a needle in the searched fields, as common table expressions that end in ``name``."""
+    n = len(needle)
+    return f"""{name}_h as (select *, coalesce(loose, exact) as t from f where contains(lower(loose), '{needle.lower()}') or contains(exact, '{needle}') order by weight desc, ref, step_no, kind, pos limit {k}),
+{name}_s as (select *, instr(lower(t), '{needle.lower()}') as a from {name}_h), {name}_w as (select *, greatest(a - 50, 1) as b, least(a + 50 + {n}, length(t) + 1) as e from {name}_s),
+{name} as (select ref, cast(step_no as int) as step_no, kind, cast(pos as int) as pos, field, weight, case when whole then concat_ws(' — ', exact, loose) when a > 0 then concat(lead, case when b > 1 then '…' else '' end, substr(t, b, e - b), case when e <= length(t) then '…' else '' end) else concat(lead, substr(t, 1, 120)) end as snippet from {name}_w)"""
+
+
+@query("f3_search_analyses", sql(f"{SEARCHED}\n{_hits('ER', 4000)} select * from h"))
 def f3b(spark, d):
     return A.search_analyses(A.search_fields(parts_of(spark, d)), " ER ", 4000)
+
+NEEDLES = ("e", "TI", "the", "ation", "continues_current_li", "in short: user", "qqq")  # of 1 to 20 characters
+
+
+@query("f3_indexed_search", sql(f"{SEARCHED}\n" + ", ".join(_hits(x, 300, f"h{i}") for i, x in enumerate(NEEDLES)) + " " + " union all ".join(f"select '{x}' as needle, * from h{i}" for i, x in enumerate(NEEDLES))))
+def f3c(spark, d):
+    """The search over analyses, each needle through the posting lists of its trigrams."""
+    index = GramIndex(spark, scratch_folder(spark, "gram-index"))
+    index.build(A.search_fields(parts_of(spark, d)), ["loose", "exact"])
+    found = [A.search_analyses(index.candidates(x), x, 300).withColumn("needle", F.lit(x)) for x in NEEDLES]
+    return reduce(DataFrame.union, found)
