@@ -16,7 +16,7 @@ from glosswork.llm.storage import materialise
 
 # What ends a piece, what parts its words.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-_CHUNK_CHARS = 1 << 23
+_CHUNK_CHARS = 1 << 21
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 
