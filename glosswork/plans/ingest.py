@@ -11,7 +11,7 @@ from glosswork.plans.registry import query
 from glosswork.plans.spans import ASKED, COUNTS, LOCATED, PROPORTIONAL, SUMMARY, asked_steps, recursive
 from glosswork.sources import analyses as R
 from glosswork.sources.scratch import scratch_folder
-from glosswork.streaming import corrections as C
+from glosswork.streaming import corrections as C, progress as P
 from glosswork.streaming.views import Stage, Views
 
 
@@ -242,6 +242,41 @@ def r2(spark, d):
     return C.recent_corrections(C.judged(records(spark, d), steps(spark, d))).select("seq", "unit_id", "step_no", "field", "message", "total")
 
 
+@query("r2_recent_stream", sql(f"with {RECORDS} select seq, unit_id, step_no, field, new_value, (select count(*) from rec) as total from rec order by ts desc, seq desc limit 10"))
+def r2b(spark, d):
+    """The newest corrections and the running total, over files that arrive in no order of time."""
+    folder = scratch_folder(spark, "recent")
+    records(spark, d).repartition(9, F.col("seq") % 9).write.json(f"{folder}/in")
+    stream = spark.readStream.schema(C.RECORD).option("maxFilesPerTrigger", 3).json(f"{folder}/in")
+    return P.recent_with_total(spark, stream, f"{folder}/view", f"{folder}/checkpoint").select("seq", "unit_id", "step_no", "field", "new_value", "total")
+
+
+def streamed_tails(spark, d, lateness):
+    """The view after the messages of each five days have come in files of their own, in order of days."""
+    folder = scratch_folder(spark, "tails")
+    log = fx(spark, d, "fx_progress").withColumn("days", F.floor(F.datediff("ts", F.lit("2024-01-01")) / 5))
+    view = None
+    for day in sorted(r[0] for r in log.select("days").distinct().collect()):
+        log.where(F.col("days") == day).select("run_id", "seq", "ts", "msg").repartition(2).write.mode("append").json(f"{folder}/arrived")
+        stream = spark.readStream.schema(P.LOG).json(f"{folder}/arrived")
+        view = P.follow_tails(P.live_tails(stream, lateness=lateness), f"{folder}/view", f"{folder}/checkpoint")
+    return spark.createDataFrame([], "run_id bigint, live boolean, last_ts timestamp, last_msg string, seqs array<bigint>, msgs array<string>") if view is None else view
+
+
+@query("r4_live_tails", sql("select run_id, seq, msg, cast(k as int) as k from (select *, row_number() over (partition by run_id order by ts desc, seq desc) k from fx_progress) where k <= 200"))
+def r4b(spark, d):
+    tails = streamed_tails(spark, d, "90 days")
+    rows = tails.select("run_id", F.posexplode(F.arrays_zip("seqs", "msgs")).alias("at", "x"))
+    return rows.select("run_id", "x.seqs", "x.msgs", (F.col("at") + 1).alias("k")).toDF("run_id", "seq", "msg", "k")
+
+
+@query("r5_stale_stream", sql("""with l as (select * from (select *, row_number() over (partition by run_id order by ts desc, seq desc) k from fx_progress) where k = 1), n as (select max(ts) - interval 1 hour as now from fx_progress)
+select run_id, msg as last_msg, seq as last_seq from l, n where msg = 'purchase' and cast(floor(epoch(now)) as bigint) - cast(floor(epoch(ts)) as bigint) > 30"""))
+def r5b(spark, d):
+    """The runs whose timers have gone off: finished, and silent for 30 seconds at the watermark, an hour behind the newest message."""
+    return streamed_tails(spark, d, "1 hour").where("not live").select("run_id", "last_msg", F.col("seqs")[0].alias("last_seq"))
+
+
 @query("r3_periodic_refresh", sql("select source as collection, count(*) as entries, max(doc_id) as last_doc, cast(sum(length(text)) as bigint) as chars from documents group by 1"))
 def r3(spark, d):
     folder = scratch_folder(spark, "refresh")

@@ -40,9 +40,9 @@ def snapshot(steps: DataFrame, log: DataFrame) -> DataFrame:
     return steps.join(last, KEYS, "left").select(*KEYS, *[F.coalesce(f"_{f}", f).alias(f) for f in FIELDS])
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Handle all files there are now, in micro-batches, and stop; a later call goes on where this one ended."""
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
