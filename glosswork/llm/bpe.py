@@ -36,32 +36,32 @@ WITH RECURSIVE steps AS (
 )
 SELECT w, pos, tok FROM steps WHERE done ORDER BY w, pos
 """
-# As above, for long pieces: a round takes every place of the least rank from left to right, overlaps aside (every other
-# place of a run), which are the places of the next rounds anyway. A merge after which a pair of lesser rank may arise
-# beside it (alone) is taken once a round.
+# As above, for long pieces. A round takes the places of the least rank from left to right, overlaps aside (every other
+# place of a run): one after the other they are the next rounds, as long as no pair of lesser rank arises beside a merged
+# token. The place where one does (it stirs) is the last of its round. What stands beside a token when it is merged is
+# what is left of it then, so the token itself where it was merged just before, and what is right of it now. A round
+# hands on the rows that change alone, the second one of a merge without a token; the key keeps the last state of each.
 _ENCODE_LONG = """
-WITH RECURSIVE steps AS (
-  SELECT w, pos, tok, false AS done FROM start_rows
-  UNION ALL
-  (WITH neighbours AS (
-     SELECT w, pos, tok, lead(tok) OVER word AS next_tok, row_number() OVER word AS place
-     FROM steps WHERE NOT done WINDOW word AS (PARTITION BY w ORDER BY pos)),
-   pairs AS (
-     SELECT n.w, n.pos, n.tok, n.place, m.merged, m.alone
-     FROM neighbours n LEFT JOIN merges m ON m.first = n.tok AND m.second = n.next_tok),
-   best AS (SELECT w, min(merged) AS least FROM pairs GROUP BY w),
-   hits AS (
-     SELECT p.w, p.pos, p.place, p.alone, row_number() OVER (PARTITION BY p.w ORDER BY p.place) AS nth
-     FROM pairs p JOIN best b ON p.w = b.w AND p.merged = b.least),
-   taken AS (
-     SELECT w, place FROM (SELECT *, row_number() OVER (PARTITION BY w, place - nth ORDER BY place) AS in_run FROM hits)
-     WHERE CASE WHEN alone THEN nth = 1 ELSE in_run % 2 = 1 END)
-   SELECT p.w, p.pos, CASE WHEN t.place IS NULL THEN p.tok ELSE b.least END AS tok, b.least IS NULL AS done
-   FROM pairs p JOIN best b ON p.w = b.w LEFT JOIN taken t ON t.w = p.w AND t.place = p.place
-     LEFT JOIN taken before ON before.w = p.w AND before.place + 1 = p.place
-   WHERE before.place IS NULL)
+WITH RECURSIVE steps USING KEY (w, pos) AS (
+  SELECT w, pos, tok FROM start_rows
+  UNION
+  (WITH live AS (
+     SELECT w, pos, tok, lag(tok) OVER word AS left_tok, lead(tok) OVER word AS next_tok, lead(tok, 2) OVER word AS right_tok,
+       lead(pos) OVER word AS next_pos, row_number() OVER word AS place
+     FROM recurring.steps WHERE tok IS NOT NULL AND w IN (SELECT w FROM steps) WINDOW word AS (PARTITION BY w ORDER BY pos)),
+   pairs AS (SELECT l.*, m.merged, m.alone FROM live l JOIN merges m ON m.first = l.tok AND m.second = l.next_tok),
+   hits AS (SELECT * FROM pairs QUALIFY merged = min(merged) OVER (PARTITION BY w)),
+   runs AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY place) AS nth FROM hits),
+   odd AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY w, place - nth ORDER BY place) % 2 = 1),
+   beside AS (SELECT *, CASE WHEN lag(place) OVER in_order = place - 2 THEN merged ELSE left_tok END AS before FROM odd WINDOW in_order AS (PARTITION BY w ORDER BY place)),
+   stirred AS (
+     SELECT b.w, min(b.place) AS place FROM beside b
+       LEFT JOIN merges x ON x.first = b.before AND x.second = b.merged LEFT JOIN merges y ON y.first = b.merged AND y.second = b.right_tok
+     WHERE b.alone AND (x.merged < b.merged OR y.merged < b.merged) GROUP BY b.w),
+   taken AS (SELECT b.* FROM beside b LEFT JOIN stirred s ON s.w = b.w WHERE s.place IS NULL OR b.place <= s.place)
+   SELECT w, pos, merged AS tok FROM taken UNION ALL SELECT w, next_pos, NULL FROM taken)
 )
-SELECT w, pos, tok FROM steps WHERE done ORDER BY w, pos
+SELECT w, pos, tok FROM steps WHERE tok IS NOT NULL ORDER BY w, pos
 """
 _LONG = 64
 _DECODE = """
@@ -104,6 +104,7 @@ class DuckBpe:
         self.con = duckdb.connect()
         self.con.execute("SET threads = 1")
         self.con.execute("SET memory_limit = '400MB'")
+        self.con.execute("SET temp_directory = ''")  # never a folder of the machine
         self._load("merges", pa.table({"first": first, "second": second, "merged": merged, "alone": alone}))
         self._load("vocabulary", pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes_hex": [t.hex() for t in ranks]}))
         self.memory = PieceMemory(self.ids_and_bytes, ["<u4", "u1"])
@@ -203,7 +204,7 @@ def encode_documents(docs: DataFrame, rank_path: str, id_col: str = "doc_id", te
     chunk that the worker has not met yet become one recursive query, and decoding joins the ids with the
     vocabulary again. Repeated rows stay; other columns are not read. ``rank_path`` must exist on every worker. A
     short word of n bytes takes up to n rounds over n rows. A long one is cut where no token reaches across, and a round
-    takes all places of its least rank, so that it takes as many rounds as it has distinct merges.
+    takes all places of its least rank up to one that stirs, so that it mostly takes as many rounds as it has distinct merges.
     """
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(thin.dtypes)["id"]

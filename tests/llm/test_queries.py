@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -416,3 +417,34 @@ def test_op1_and_op6_rows(spark, folder, docs):
     assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in one.collect())
     blank = {i for i, t, *_ in docs if not re.search(r"[^\W\d_]", t or "")}
     assert {r["doc_id"] for r in six.where("lang_pred = 'und'").collect()} == blank and LONG in {t for _, t, *_ in docs}
+
+
+PERIODIC = ["aab" * 20_000, "thecatsat" * 1500, "itualinctions" * 90, "ab" * 4000, "tion" * 900, "a" * 5000, "olltit" * 300]
+
+
+def test_periodic_words_give_the_librarys_ids_in_few_rounds():
+    engine, library = bpe.engine(RANKS), tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    began = time.time()
+    for word in PERIODIC:
+        assert engine.encode([word.encode()])["tok"].to_pylist() == library.encode(word), word[:20]
+    assert time.time() - began < 30
+
+
+def test_long_words_of_few_letters_merge_in_the_order_of_ranks():
+    rng, ranks = random.Random(4), bpe.read_ranks(RANKS)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(66, 140))).encode() for letters in ("otli", "ab", "estr", "nio ") for _ in range(60)]
+
+    def plainly(word):
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while True:
+            found = [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+            if not found:
+                return [ranks[x] for x in parts]
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    rows = bpe.engine(RANKS).encode(words)
+    got = {}
+    for w, tok in zip(rows["w"].to_pylist(), rows["tok"].to_pylist(), strict=True):
+        got.setdefault(w, []).append(tok)
+    assert [got[w] for w in range(len(words))] == [plainly(x) for x in words]
