@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from glosswork.llm.components import connected_components
+from glosswork.llm.ranking import join_counted
 from glosswork.llm.storage import materialise
 
 
@@ -161,10 +162,10 @@ def near_duplicate_vectors(rows: DataFrame, params: PigeonholeParams = Pigeonhol
     grouped = classes.select("rep", "least").join(labels, "rep", "left").select("rep", "least", F.coalesce("component", "rep").alias("component"))
     named = grouped.join(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("rep", "component_id")
     known = classes.join(others, classes.rep == others.a, "left").join(named, "rep").select(
-        F.col("label").alias("l"), F.col("h").alias("k"), F.col("vector").alias("v"),
-        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id",
+        F.struct("label", "h", "vector").alias("key"), "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id",
     )
-    joined = usable.join(known, (F.col("h") == F.col("k")) & (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v"))).select("row", "id", "n_links", "component_id")
+    keyed = usable.select("row", "id", F.struct("label", "h", "vector").alias("key"))
+    joined = join_counted(keyed, known, "key", "copies", ["row", "id", "n_links", "component_id"])
     alone = rows.join(joined.select("row"), "row", "left_anti").select("row", "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     result = joined.select("row", "id", F.col("n_links").cast("long").alias("n_links"), "component_id").union(alone)
     return result.select("id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
