@@ -11,6 +11,7 @@ from glosswork.plans.registry import query
 from glosswork.plans.spans import ASKED, COUNTS, LOCATED, PROPORTIONAL, SUMMARY, asked_steps, recursive
 from glosswork.sources import analyses as R
 from glosswork.sources.scratch import scratch_folder
+from glosswork.sources.unit_files import read_unit_files, write_unit_files
 from glosswork.streaming import corrections as C, progress as P
 from glosswork.streaming.views import Stage, Views
 
@@ -126,6 +127,17 @@ def s3(spark, d):
     )
 
 
+@query("s3_unit_files", sql("select concat('Coll_', ['a', 'b', 'c'][1 + conv_id % 3], '_', conv_id, case when conv_id % 2 = 0 then 'a' else 'b' end, '.json') as file, concat('Unit ', conv_id) as ref, min_by(text, turn) as main_topic, count(*) as steps from conversations group by conv_id"))
+def s3b(spark, d):
+    """Assembled analyses, written as a file a unit and read again by the files' names."""
+    folder = scratch_folder(spark, "units")
+    n = F.col("unitNo")
+    placed = assembled(spark, d).withColumns({"collection": F.concat(F.lit("Coll-"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), n % 3 + 1)), "side": F.when(n % 2 == 0, "a").otherwise("b")})
+    write_unit_files(placed, folder)
+    good, _ = read_unit_files(spark, folder)
+    return good.select("file", "ref", F.col("mainTopic").alias("main_topic"), F.size("steps").cast("bigint").alias("steps"))
+
+
 @query("s4_feedback_log", sql("select field, count(*) as records, max(ts) as last_ts from (select case event_id % 3 when 0 then 'title' when 1 then 'label' else 'notes' end as field, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts from events) group by 1"))
 def s4(spark, d):
     path = scratch_folder(spark, "feedback")

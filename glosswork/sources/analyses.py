@@ -62,6 +62,10 @@ def read_analyses(spark: SparkSession, path: str, file_pattern: str | None = UNI
     rows = reader.option("multiLine", multi_line).json(path).withColumn("file", F.col("_metadata.file_name"))
     if file_pattern:
         rows = rows.where(F.col("file").rlike(file_pattern))
+    return _judged(rows, schema, own)
+
+
+def _judged(rows: DataFrame, schema: StructType, own: StructType) -> tuple[DataFrame, DataFrame]:
     named = [F.col(k.name).cast(f.dataType).alias(f.name) for k, f in zip(schema, own, strict=False)]
     rows = rows.select(*named, "_corrupt", "file")
     reason = F.when(F.col("_corrupt").isNotNull(), "malformed")
@@ -71,6 +75,14 @@ def read_analyses(spark: SparkSession, path: str, file_pattern: str | None = UNI
     return rows.where("reason is null").drop("_corrupt", "reason"), rows.where("reason is not null").select("file", "reason", "_corrupt")
 
 
+def judged_documents(files: DataFrame, keys: dict[str, str] = PUBLISHED) -> tuple[DataFrame, DataFrame]:
+    """As ``read_analyses``, of rows (file, value) that hold a document each."""
+    own = StructType.fromDDL(ANALYSIS)
+    schema = keyed(own, keys).add("_corrupt", "string")
+    parsed = files.select("file", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
+    return _judged(parsed.select("file", "d.*"), schema, own)
+
+
 def explode_analyses(analyses: DataFrame) -> dict[str, DataFrame]:
     """The tables units, spans, steps, phrases, terms, comments, comment_phrases and dependencies, keyed by ref."""
     steps = analyses.select("ref", F.explode("steps").alias("s"))
@@ -138,11 +150,12 @@ def assemble_analyses(tables: dict[str, DataFrame]) -> DataFrame:
     return made.select(*[c for c in own if c in made.columns])
 
 
-def as_documents(analyses: DataFrame, keys: dict[str, str] = PUBLISHED) -> DataFrame:
-    """(value: string): each analysis as a JSON document with the documents' keys; nulls are left out."""
-    kinds = keyed(analyses.schema, keys)
-    columns = [F.col(c).cast(k.dataType).alias(k.name) for c, k in zip(analyses.columns, kinds, strict=True)]
-    return analyses.select(F.to_json(F.struct(*columns)).alias("value"))
+def as_documents(analyses: DataFrame, keys: dict[str, str] = PUBLISHED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(carried columns, value: string): each analysis as a JSON document with the documents' keys; nulls are left out."""
+    told = analyses.drop(*carry)
+    kinds = keyed(told.schema, keys)
+    columns = [F.col(c).cast(k.dataType).alias(k.name) for c, k in zip(told.columns, kinds, strict=True)]
+    return analyses.select(*carry, F.to_json(F.struct(*columns)).alias("value"))
 
 
 def write_analyses(analyses: DataFrame, path: str, keys: dict[str, str] = PUBLISHED) -> None:
