@@ -117,7 +117,8 @@ class UnitFiles(DataSource):
 def write_unit_files(analyses: DataFrame, path: str, keys: dict[str, str] = PUBLISHED) -> None:
     """One JSON document a unit, at ``unit_file`` of its collection, number and side; units that are there are replaced.
 
-    If a task fails, or two rows are of one unit, no file is written at all.
+    If a task fails, or two rows are of one unit, no unit's file is written; a task that outlives its job may leave a
+    draft folder ``_job-...``, which readers pass over.
     """
     analyses.sparkSession.dataSource.register(UnitFiles)
     named = analyses.select(unit_file(F.col("collection"), F.col("unitNo"), F.col("side")).alias("file"), *[F.col(c) for c in analyses.columns if c != "file"])
