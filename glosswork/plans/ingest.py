@@ -13,6 +13,7 @@ from glosswork.sources import analyses as R
 from glosswork.sources.scratch import scratch_folder
 from glosswork.sources.unit_files import read_unit_files, write_unit_files
 from glosswork.streaming import corrections as C, progress as P
+from glosswork.streaming.stages import StagedRun
 from glosswork.streaming.views import Stage, Views
 
 
@@ -376,3 +377,33 @@ def r6(spark, d):
     C.resume_stage(windows.where("window_no % 2 = 0"), "key", work, target)  # a run that was broken off half-way
     C.resume_stage(windows, "key", work, target)
     return C.resume_stage(windows, "key", work, target).drop("key")
+
+
+PARTS = [("segmented", "n_lines div 4 + 1 as spans"), ("structured", "n_lines + spans as steps"), ("phrased", "steps * 3 as phrases"), ("linked", "phrases % 7 as links"), ("polished", "concat_ws('/', spans, steps, phrases, links) as told")]
+
+
+@query("r6_staged_resume", sql("""with a as (select concat(collection, '/', window_no) as window_key, unit_id, n_lines, n_lines // 4 + 1 as spans from fx_windows), b as (select *, n_lines + spans as steps from a), c as (select *, steps * 3 as phrases from b)
+select window_key, unit_id, concat_ws('/', spans, steps, phrases, phrases % 7) as told from c"""))
+def r6b(spark, d):
+    """Runs that break off after each stage in turn, then one that ends: every window once, the polished ones taken up."""
+    windows = fx(spark, d, "fx_windows").select(F.concat_ws("/", "collection", "window_no").alias("window_key"), "unit_id", "n_lines", "window_no")
+    stages = [(name, lambda rows, e=e: rows.selectExpr("*", e)) for name, e in PARTS]
+    run = StagedRun(spark, scratch_folder(spark, "staged"), "window_key", stages, buckets=8)
+    for i, (name, _) in enumerate(PARTS):
+        run.run(windows.where(F.col("window_no") % 6 == i), stop_after=name)
+    run.run(windows)
+    run.run(windows)  # nothing is left to do
+    return run.output().select("window_key", "unit_id", "told")
+
+
+@query("u1_user_ledger", sql("select run_id as user_id, coalesce(pass, 'all') as pass, round(sum(seconds), 4) as seconds, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, count(*) as calls from (select * replace (coalesce(nullif(pass, 'view'), 'unknown') as pass) from fx_usage) group by rollup (run_id, pass)"))
+def u1b(spark, d):
+    """The rollup by user and pass of a ledger that three arrivals of calls have been added to."""
+    folder = scratch_folder(spark, "ledger")
+    calls = fx(spark, d, "fx_usage").select(F.col("run_id").alias("user_id"), F.expr("nullif(pass, 'view')").alias("pass"), "ts", "seconds", "input_tokens", "output_tokens", "seq")
+    kind = calls.drop("seq").schema
+    for part in range(3):
+        calls.where(F.col("seq") % 3 == part).drop("seq").write.mode("append").json(f"{folder}/in")
+        ledger = P.usage_ledger(spark.readStream.schema(kind).json(f"{folder}/in"), f"{folder}/view", f"{folder}/checkpoint")
+    total = ledger.rollup("user_id", "pass").agg(F.round(F.sum("seconds"), 4).alias("seconds"), *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "calls")])
+    return total.withColumn("pass", F.coalesce("pass", F.lit("all")))

@@ -79,3 +79,27 @@ def recent_with_total(spark: SparkSession, records: DataFrame, root: str, checkp
     run_available(records, each, checkpoint)
     found = view.table(INPUT)
     return found.select(F.inline("records"), "total") if found is not None else spark.createDataFrame([], records.schema.add("total", "bigint"))
+
+
+def usage_ledger(calls: DataFrame, root: str, checkpoint: str, sums: tuple[str, ...] = ("seconds", "input_tokens", "output_tokens")) -> DataFrame:
+    """Totals per user_id, pass and day of a stream of calls (user_id, pass, ts and the summed columns), kept below ``root``.
+
+    A micro-batch adds its own totals to those of the users that it names, and the sums are committed under its number:
+    a batch that is run again adds nothing. Calls without a pass are unknown; those without a user are left out.
+    """
+    groups = ["user_id", "pass", "day"]
+    view = Views(calls.sparkSession, root, "user_id", [], identity=tuple(groups), version="batch")
+
+    def each(batch: DataFrame, number: int) -> None:
+        if number <= view.committed():
+            return
+        named = batch.where("user_id is not null").withColumns({"pass": F.coalesce("pass", F.lit("unknown")), "day": F.to_date("ts"), "calls": F.lit(1).cast("bigint")})
+        added = named.groupBy(*groups).agg(*[F.sum(c).alias(c) for c in (*sums, "calls")])
+        stored = view.table(INPUT)
+        if stored is not None:
+            earlier = stored.join(named.select("user_id").distinct(), "user_id", "left_semi").select(added.columns)
+            added = added.unionByName(earlier).groupBy(*groups).agg(*[F.sum(c).alias(c) for c in (*sums, "calls")])
+        view.apply(added.withColumn("batch", F.lit(number)), number)
+
+    run_available(calls, each, checkpoint)
+    return view.table(INPUT).drop("batch")
