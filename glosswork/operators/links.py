@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -50,17 +52,35 @@ def without_prefix(ref: Column, prefixes: list[str]) -> Column:
 def fuzzy_ref_lookup(asked: DataFrame, candidates: DataFrame, prefixes: list[str]) -> DataFrame:
     """The candidate that a reference means, within one step (unit_id, line_no): equal, equal without a prefix, or one the end
     of the other, in that order, then by the candidates' order. References that mean none are dropped.
+
+    Every tier is an equi-join on a text: a reference, one without its prefix, or its end at a length that references of
+    the other side have in that step. Of the candidates that share a text only the first is joined, so each asked
+    reference gets one row a tier and length, however many candidates its step has.
     """
     keys = ["unit_id", "line_no"]
-    a = asked.select(*keys, "ask_pos", "asked_ref").distinct()
-    c = candidates.select(*keys, "cand_pos", "full_ref").distinct()
-    j = a.join(c, keys)
-    bare_a, bare_c = without_prefix(F.col("asked_ref"), prefixes), without_prefix(F.col("full_ref"), prefixes)
-    ends = F.col("full_ref").endswith(F.col("asked_ref")) | F.col("asked_ref").endswith(F.col("full_ref"))
-    tier = F.when(F.col("asked_ref") == F.col("full_ref"), 1).when(bare_a == bare_c, 2).when(ends, 3)
-    hits = j.withColumn("tier", tier).where("tier is not null")
-    w = Window.partitionBy(*keys, "ask_pos", "asked_ref").orderBy("tier", "cand_pos", "full_ref")
-    return hits.withColumn("k", F.row_number().over(w)).where("k = 1").select(*keys, "ask_pos", "asked_ref", "full_ref", "tier")
+    a = asked.select(*keys, "ask_pos", "asked_ref").where("asked_ref is not null").distinct()
+    c = candidates.select(*keys, "cand_pos", "full_ref").where("full_ref is not null").distinct()
+
+    def ends(rows: DataFrame, ref: str, others: DataFrame, other: str) -> DataFrame:
+        lengths = others.groupBy(*keys).agg(F.collect_set(F.length(other)).alias("lengths"))
+        fitting = F.filter("lengths", lambda n: n <= F.length(ref))
+        cut = rows.join(lengths, keys).select(*rows.columns, F.explode(fitting).alias("n"))
+        return cut.withColumn("meet", F.right(F.col(ref), F.col("n"))).drop("n")
+
+    whole = lambda rows, ref: rows.withColumn("meet", F.col(ref))
+    bare = lambda rows, ref: rows.withColumn("meet", without_prefix(F.col(ref), prefixes))
+    tiers = [
+        (1, whole(a, "asked_ref"), whole(c, "full_ref")),
+        (2, bare(a, "asked_ref"), bare(c, "full_ref")),
+        (3, whole(a, "asked_ref"), ends(c, "full_ref", a, "asked_ref")),
+        (3, ends(a, "asked_ref", c, "full_ref"), whole(c, "full_ref")),
+    ]
+    hits = []
+    for tier, left, right in tiers:
+        first = right.groupBy(*keys, "meet").agg(F.min(F.struct("cand_pos", "full_ref")).alias("x"))
+        hits.append(left.join(first, [*keys, "meet"]).select(*keys, "ask_pos", "asked_ref", F.struct(F.lit(tier).alias("tier"), "x.*").alias("hit")))
+    best = reduce(DataFrame.union, hits).groupBy(*keys, "ask_pos", "asked_ref").agg(F.min("hit").alias("hit"))
+    return best.select(*keys, "ask_pos", "asked_ref", "hit.full_ref", "hit.tier")
 
 
 def dedupe_by_ref(comments: DataFrame) -> DataFrame:

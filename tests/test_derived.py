@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
-from glosswork.operators import audit as A
+from glosswork.operators import audit as A, links as L
 from glosswork.operators.gram_index import GramIndex
 from glosswork.sources import analyses as R
 from glosswork.sources.unit_files import UnitFilesReader, read_unit_files, write_unit_files
@@ -207,3 +207,30 @@ def test_files_that_come_later_are_not_read_again(spark, tmp_path):
         run_available(spark.readStream.schema(ROW).json(str(tmp_path / "in")), views.apply, str(tmp_path / "c"))
         os.remove(tmp_path / "in" / f"{part}.json")
     assert rows_of(views.table("sums"), "k", "total") == [(1, 20)]
+
+
+def test_a_reference_meets_its_candidates_by_texts(spark):
+    rng = random.Random(6)
+    some = ["", "a", "ba", "cba", "x cba", "ref cba", "b", "ab", "xab", None]
+    asked = [(u, 1, i, rng.choice(some)) for u in range(6) for i in range(7)]
+    cands = [(u, 1, i, rng.choice(some)) for u in range(6) for i in range(5)]
+    prefixes = ["ref ", "x "]
+
+    def bare(t):
+        return next((t[len(p) :] for p in prefixes if t.startswith(p)), t)
+
+    want = set()
+    for u, line, i, a in asked:
+        hits = []
+        for v, _, j, c in cands:
+            if u == v and a is not None and c is not None:
+                tier = 1 if a == c else 2 if bare(a) == bare(c) else 3 if a.endswith(c) or c.endswith(a) else None
+                hits += [(tier, j, c)] if tier else []
+        if hits:
+            want.add((u, line, i, a, min(hits)[2], min(hits)[0]))
+    got = L.fuzzy_ref_lookup(
+        spark.createDataFrame(asked, "unit_id long, line_no int, ask_pos int, asked_ref string"),
+        spark.createDataFrame(cands, "unit_id long, line_no int, cand_pos int, full_ref string"),
+        prefixes,
+    )
+    assert set(map(tuple, got.collect())) == want and got.count() == len(want)
