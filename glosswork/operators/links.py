@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -61,25 +59,21 @@ def fuzzy_ref_lookup(asked: DataFrame, candidates: DataFrame, prefixes: list[str
     a = asked.select(*keys, "ask_pos", "asked_ref").where("asked_ref is not null").distinct()
     c = candidates.select(*keys, "cand_pos", "full_ref").where("full_ref is not null").distinct()
 
-    def ends(rows: DataFrame, ref: str, others: DataFrame, other: str) -> DataFrame:
+    def meeting(rows: DataFrame, ref: str, others: DataFrame, other: str, ends: int, kinds: tuple[int, ...]) -> DataFrame:
+        """A row for each text at which a reference may meet: (kind, meet)."""
         lengths = others.groupBy(*keys).agg(F.collect_set(F.length(other)).alias("lengths"))
-        fitting = F.filter("lengths", lambda n: n <= F.length(ref))
-        cut = rows.join(lengths, keys).select(*rows.columns, F.explode(fitting).alias("n"))
-        return cut.withColumn("meet", F.right(F.col(ref), F.col("n"))).drop("n")
-
-    whole = lambda rows, ref: rows.withColumn("meet", F.col(ref))
-    bare = lambda rows, ref: rows.withColumn("meet", without_prefix(F.col(ref), prefixes))
-    tiers = [
-        (1, whole(a, "asked_ref"), whole(c, "full_ref")),
-        (2, bare(a, "asked_ref"), bare(c, "full_ref")),
-        (3, whole(a, "asked_ref"), ends(c, "full_ref", a, "asked_ref")),
-        (3, ends(a, "asked_ref", c, "full_ref"), whole(c, "full_ref")),
-    ]
-    hits = []
-    for tier, left, right in tiers:
-        first = right.groupBy(*keys, "meet").agg(F.min(F.struct("cand_pos", "full_ref")).alias("x"))
-        hits.append(left.join(first, [*keys, "meet"]).select(*keys, "ask_pos", "asked_ref", F.struct(F.lit(tier).alias("tier"), "x.*").alias("hit")))
-    best = reduce(DataFrame.union, hits).groupBy(*keys, "ask_pos", "asked_ref").agg(F.min("hit").alias("hit"))
+        at = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("meet"))
+        cut = F.transform(F.filter("lengths", lambda n: n <= F.length(ref)), lambda n: at(ends, F.right(F.col(ref), n)))
+        texts = {1: F.col(ref), 2: without_prefix(F.col(ref), prefixes)}
+        fixed = F.array(*[at(k, texts.get(k, F.col(ref))) for k in kinds])
+        return rows.join(lengths, keys).select(*rows.columns, F.inline(F.concat(fixed, cut)))
+
+    left = meeting(a, "asked_ref", c, "full_ref", 4, (1, 2, 3))
+    right = meeting(c, "full_ref", a, "asked_ref", 3, (1, 2, 4))
+    first = right.groupBy(*keys, "kind", "meet").agg(F.min(F.struct("cand_pos", "full_ref")).alias("x"))
+    hit = F.struct(F.least("kind", F.lit(3)).alias("tier"), "x.*").alias("hit")
+    hits = left.join(first, [*keys, "kind", "meet"]).select(*keys, "ask_pos", "asked_ref", hit)
+    best = hits.groupBy(*keys, "ask_pos", "asked_ref").agg(F.min("hit").alias("hit"))
     return best.select(*keys, "ask_pos", "asked_ref", "hit.full_ref", "hit.tier")
 
 
