@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ from glosswork.functions import text as T
 HARD, SOFT = "׃.!?", ",;:—–-"
 MOST_WORDS, CHUNK_WORDS, LEAST_WORDS = 8, 6, 3
 UNAVAILABLE = "[translation unavailable]"
+AFTER_HARD, AFTER_SOFT = (re.compile(f"[^{marks}]+[{marks}]?|[{marks}]") for marks in (HARD, SOFT))
+WORD = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")  # between white space, as T.words
+BATCH_CHARS = 4_000_000
 
 
 def merge_versions(lines: DataFrame) -> DataFrame:
@@ -70,60 +74,69 @@ def padded_slice(steps: DataFrame, units: DataFrame, head: int = 80, least_pad:
     return j.withColumn("placed", placed).select("unit_id", F.inline(F.transform("placed", part)))
 
 
-def phrase_pieces(text: Column) -> Column:
-    """Pieces after hard marks; those of more than 8 words after soft marks; still longer ones in chunks of 6 words."""
-    clean = lambda a: F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != "")
-    hard = clean(F.split(text, f"(?<=[{HARD}])"))
-    count = lambda x: F.size(T.words(x))
-    soft = F.flatten(F.transform(hard, lambda x: F.when(count(x) > MOST_WORDS, clean(F.split(x, f"(?<=[{SOFT}])"))).otherwise(F.array(x))))
+def pieces_after(text: str, after: re.Pattern) -> list[str]:
+    """The trimmed pieces between the cuts, without empty ones."""
+    return [y for x in after.findall(text) if (y := x.strip(" "))]
 
-    def chunks(x: Column, words: Column) -> Column:
-        last = F.floor((F.size(words) - 1) / CHUNK_WORDS).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice(words, k * CHUNK_WORDS + 1, F.lit(CHUNK_WORDS)), " "))
-        return F.when(F.size(words) > MOST_WORDS, cut).otherwise(F.array(x))
 
-    return F.flatten(F.transform(soft, lambda x: T.bind(chunks, x, T.words(x))))
+def phrase_pieces(text: str) -> list[str]:
+    """Pieces after hard marks; those of more than 8 words after soft marks; still longer ones in chunks of 6 words."""
+    pieces: list[str] = []
+    for sentence in pieces_after(text, AFTER_HARD):
+        if len(WORD.findall(sentence)) <= MOST_WORDS:
+            pieces.append(sentence)
+            continue
+        for clause in pieces_after(sentence, AFTER_SOFT):
+            words = WORD.findall(clause)
+            if len(words) <= MOST_WORDS:
+                pieces.append(clause)
+            else:
+                pieces += [" ".join(words[k : k + CHUNK_WORDS]) for k in range(0, len(words), CHUNK_WORDS)]
+    return pieces
 
 
 def merge_runts(pieces: list[str]) -> list[str]:
     """Join pieces of fewer than 3 words to a neighbour, never beyond 8 words: the one before if it is no longer than the one
-    after, else that; from the start again after each join, until none fits.
+    after, else that; the first that can be joined goes first, until none fits.
+
+    A join only makes neighbours longer, so a piece that was passed never fits later: one way through with those passed on
+    a stack, in time proportional to the pieces.
     """
-    pieces = list(pieces)
-    sizes = [len(p.split()) for p in pieces]
-    at = 0
-    while at < len(pieces):
-        room = {k: sizes[k] for k in (at - 1, at + 1) if 0 <= k < len(pieces) and sizes[k] + sizes[at] <= MOST_WORDS}
-        if sizes[at] >= LEAST_WORDS or not room:
-            at += 1
-            continue
-        lo = min(at, min(room, key=lambda k: (room[k], k)))
-        pieces[lo : lo + 2] = [f"{pieces[lo]} {pieces[lo + 1]}"]
-        sizes[lo : lo + 2] = [sizes[lo] + sizes[lo + 1]]
-        at = 0
-    return pieces
+    passed: list[tuple[str, int]] = []
+    ahead = [(p, len(WORD.findall(p))) for p in reversed(pieces)]
+    while ahead:
+        piece, size = ahead.pop()
+        before = passed[-1][1] if passed else MOST_WORDS + 1
+        after = ahead[-1][1] if ahead else MOST_WORDS + 1
+        if size >= LEAST_WORDS or size + min(before, after) > MOST_WORDS:
+            passed.append((piece, size))
+        elif before <= after:
+            ahead.append((f"{passed.pop()[0]} {piece}", before + size))
+        else:
+            ahead.append((f"{piece} {ahead.pop()[0]}", size + after))
+    return [p for p, _ in passed]
 
 
 def split_phrases(rows: DataFrame) -> DataFrame:
-    """(unit_id, line_no, phrase_no, phrase) of (unit_id, line_no, text). Only the joining of short pieces, an iterated
-    rewrite within one row, runs in Python, in Arrow batches; lines without a short piece pass through them as they are.
+    """(unit_id, line_no, phrase_no, phrase) of (unit_id, line_no, text); null and blank texts have no phrase.
+
+    Cutting and joining run line by line in Arrow batches: patterns with marks beyond Latin-1 cost the JVM some ten times
+    as much. An output batch holds about ``BATCH_CHARS`` characters, so that long lines do not add up.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = batch.column(2)
-            sizes = pc.list_value_length(pc.utf8_split_whitespace(pieces.flatten())).to_numpy()
-            short = np.zeros(batch.num_rows, bool)
-            short[pc.list_parent_indices(pieces).to_numpy()[sizes < LEAST_WORDS]] = True
-            short &= pc.list_value_length(pieces).to_numpy() > 1
-            yield batch.filter(pa.array(~short))
-            some = batch.filter(pa.array(short))
-            merged = pa.array([merge_runts(p) for p in some.column(2).to_pylist()], pieces.type)
-            yield pa.RecordBatch.from_arrays([*some.columns[:2], merged], schema=batch.schema)
-
-    cut = rows.select("unit_id", "line_no", phrase_pieces(F.coalesce("text", F.lit(""))).alias("pieces"))
-    merged = cut.mapInArrow(run, cut.schema)
-    return merged.select("unit_id", "line_no", F.posexplode("pieces").alias("p", "phrase")).select("unit_id", "line_no", (F.col("p") + 1).alias("phrase_no"), "phrase")
+            chars = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
+            ends = [*np.flatnonzero(np.diff(chars // BATCH_CHARS)) + 1, batch.num_rows]
+            for since, until in zip([0, *ends], ends):
+                part = batch.slice(since, until - since)
+                phrases = [merge_runts(phrase_pieces(x)) if x else [] for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(phrases, pa.list_(pa.string()))], names=["unit_id", "line_no", "phrases"])
+
+    lines = rows.select("unit_id", "line_no", "text")
+    kinds = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in ("unit_id", "line_no"))
+    cut = lines.mapInArrow(run, f"{kinds}, phrases array<string>")
+    return cut.select("unit_id", "line_no", F.posexplode("phrases").alias("p", "phrase")).select("unit_id", "line_no", (F.col("p") + 1).alias("phrase_no"), "phrase")
 
 
 def align_translation(phrases: DataFrame, translations: DataFrame) -> DataFrame:

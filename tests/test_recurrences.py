@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from glosswork.operators import alignment, audit, spans
 
@@ -69,3 +70,33 @@ def test_phrases_keep_every_word(spark):
         assert len(r["phrase"].split()) <= 8
     for unit, text in enumerate(texts):
         assert " ".join(got.get(unit, [])).split() == (text or "").split()
+
+
+def test_short_phrases_join_as_by_the_restarting_rule(spark):
+    """One way through with a stack gives what the literal rule gives, which starts again after each join."""
+
+    def literal(pieces):
+        count = lambda x: len(re.findall(r"(?u)\S+", x))
+        at = 0
+        while at < len(pieces):
+            sizes = [count(p) for p in pieces]
+            room = [(sizes[k], k) for k in (at - 1, at + 1) if 0 <= k < len(pieces) and sizes[k] + sizes[at] <= 8]
+            if sizes[at] >= 3 or not room:
+                at += 1
+                continue
+            lo = min(at, min(room)[1])
+            pieces[lo : lo + 2] = [f"{pieces[lo]} {pieces[lo + 1]}"]
+            at = 0
+        return pieces
+
+    r = random.Random(5)
+    marks = [*"abcé😀,;:.!?—–-׃", *"    ", "\t", "\u2003", "\xa0", "\x85", "\u200b"]
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 90))) for _ in range(800)]
+    texts += ["\t a b. c", "ab cd. " * 90, "word " * 90, "", "   ", None]
+    df = spark.createDataFrame([(i, 1, x) for i, x in enumerate(texts)], "unit_id long, line_no int, text string")
+    found = {}
+    for row in alignment.split_phrases(df).orderBy("unit_id", "phrase_no").collect():
+        found.setdefault(row["unit_id"], []).append(row["phrase"])
+    for i, x in enumerate(texts):
+        assert found.get(i, []) == literal(alignment.phrase_pieces(x or "")), x
+    assert all(len(p.split()) == 6 for p in found[802])
