@@ -33,6 +33,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each group of near-duplicates: 0.8 or more of their five-word shingles in common.
 
+    Candidates meet in balls around their SimHash fingerprints, and in MinHash bands where these are further apart.
     Repeated rows of one id are one document and stay together; rows without an id cannot be named and stay.
     """
     groups = shingles.near_duplicate_groups(docs)

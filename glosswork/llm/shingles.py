@@ -1,4 +1,4 @@
-"""Near-duplicate groups by exact shingle similarity; banded MinHash proposes the pairs."""
+"""Near-duplicate groups by exact shingle similarity; SimHash balls and banded MinHash propose the pairs."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from glosswork.llm.components import connected_components
 from glosswork.llm.ranking import join_counted
+from glosswork.llm.simhash import crowded_balls, simhash64
 from glosswork.llm.storage import materialise
 
 SEED = 42
@@ -22,7 +23,8 @@ _STEP = 256
 class ShingleParams:
     """Texts link when their sets of ``words_per_shingle`` words have a Jaccard similarity of ``least_similarity`` or more.
 
-    A pair of similarity s is proposed with probability 1 - (1 - s ** rows) ** bands: 0.9999 at 0.8.
+    All pairs whose SimHash fingerprints are within two bits are proposed. A pair of similarity s that is not among these is
+    proposed with probability 1 - (1 - s ** rows) ** bands: 0.9999 at 0.8.
     """
 
     words_per_shingle: int = 5
@@ -70,19 +72,29 @@ def band_hashes(hashes: np.ndarray, params: ShingleParams) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, params: ShingleParams) -> DataFrame:
-    """(row, id, key, bands, text) of each row; ``row`` is unique."""
+    """(row, id, key, fp, bands, text) of each row; ``row`` is unique, ``fp`` the fingerprint of ``simhash64``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            fps = np.fromiter((simhash64(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows).view(np.int64)
             keys, bands = [], []
             for text in batch.column(2):
                 hashes = shingle_hashes(text.as_py(), params.words_per_shingle)
                 keys.append(set_key(hashes))
                 bands.append(band_hashes(hashes, params))
-            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64())), batch.column(2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "key", "bands", "text"])
+            columns = [batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(fps), pa.array(bands, pa.list_(pa.int64())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "key", "fp", "bands", "text"])
 
-    return docs.mapInArrow(run, "row long, id long, key long, bands array<long>, text string")
+    return docs.mapInArrow(run, "row long, id long, key long, fp long, bands array<long>, text string")
+
+
+def _ball_postings(sketches: DataFrame) -> DataFrame:
+    """(key, bucket) of the sets in each ball of radius 1 that holds two or more: pairs within two bits share a ball, and no others do."""
+    fps = materialise(sketches.select("key", "fp").distinct(), "shingle-fps")
+    nodes = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    several = nodes.where("n > 1").select(F.col("fp").alias("bucket"), "fp")  # sets of one fingerprint
+    balls = crowded_balls(nodes.select("fp")).select(F.col("variant").alias("bucket"), F.explode("members").alias("fp"))
+    return several.union(balls).join(fps, "fp").select("key", "bucket").distinct()
 
 
 def _shingle_sets(texts: DataFrame, params: ShingleParams) -> DataFrame:
@@ -133,8 +145,9 @@ def _prefix_pairs(labelled: DataFrame, sets: DataFrame, params: ShingleParams) -
 def near_duplicate_groups(docs: DataFrame, params: ShingleParams = ShingleParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (id, key, component_id), the last the smallest id reachable by links.
 
-    Equal sets of shingles collapse to one node. Nodes that share a bucket (the hash of one band) are candidates, and every
-    link is verified on the whole sets. Each bucket is first compared with its busiest node, whose similarity to
+    Equal sets of shingles collapse to one node. Nodes that share a bucket are candidates, and every link is verified on the
+    whole sets. Buckets are the balls of radius 1 around SimHash fingerprints, and the hashes of MinHash bands for pairs more than
+    two bits apart. Each bucket is first compared with its busiest node, whose similarity to
     most others joins a large group without all its pairs. Of the members of buckets that still hold several components, those
     pairs of different components are compared whose rarest shingles meet, so no candidate that is similar enough is left
     out. Null ids take part but never name a component.
@@ -143,7 +156,7 @@ def near_duplicate_groups(docs: DataFrame, params: ShingleParams = ShingleParams
     sketches = materialise(_sketches(thin, params), "shingle-sketches", "zstd")
     nodes = materialise(sketches.groupBy("key").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.count(F.lit(1)).alias("n")), "shingle-nodes")
     own = sketches.select("row", "bands").join(nodes.select("key", "row"), "row")
-    postings = own.select("key", F.explode("bands").alias("bucket"))
+    postings = own.select("key", F.explode("bands").alias("bucket")).union(_ball_postings(sketches))
     crowded = postings.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(postings.join(crowded, "bucket").select("bucket", "key", "n"), "shingle-buckets")
     wanted = members.select("key").distinct().join(nodes.select("key", "row"), "key")

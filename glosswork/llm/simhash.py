@@ -54,14 +54,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return thin.mapInArrow(_fingerprint_batches, "id long, fp long")
 
 
-def fingerprint_links(distinct_fps: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect exactly the fingerprints within two bits of each other.
+def crowded_balls(distinct_fps: DataFrame) -> DataFrame:
+    """(variant, members) of every ball of radius 1 that holds two fingerprints or more.
 
     Every fingerprint emits itself and its 64 one-bit variants; two fingerprints differ in at most two bits if
     and only if they share a variant. A variant's members are kept as one 64-bit mask of the flipped places, so
-    a group is a fixed-size aggregate of at most 65 members. Each group gives a star around its smallest
-    member instead of all pairs: members of one group are all within two bits, so components stay the same.
-    The distance of every edge is verified.
+    a group is a fixed-size aggregate of at most 65 members.
     """
     masks = [1 << i for i in range(63)] + [-(1 << 63)]
     flips = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(m).cast("long") for m in masks])).alias("flip")
@@ -72,8 +70,16 @@ def fingerprint_links(distinct_fps: DataFrame) -> DataFrame:
     crowded = balls.where(F.bit_count("mask") + F.col("own") > 1)
     flipped = F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(m)) != 0, F.col("variant").bitwiseXOR(F.lit(m))) for m in masks])
     own = F.array(F.when(F.col("own") == 1, F.col("variant")))
-    members = crowded.select(F.array_compact(F.concat(own, flipped)).alias("members"))
-    edges = members.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a <> b")
+    return crowded.select("variant", F.array_compact(F.concat(own, flipped)).alias("members"))
+
+
+def fingerprint_links(distinct_fps: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect exactly the fingerprints within two bits of each other.
+
+    Each ball gives a star around its smallest member instead of all pairs: members of one ball are all within two
+    bits, so components stay the same. The distance of every edge is verified.
+    """
+    edges = crowded_balls(distinct_fps).select(F.array_min("members").alias("a"), F.explode("members").alias("b")).where("a <> b")
     return edges.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
 
 

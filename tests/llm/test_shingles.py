@@ -8,7 +8,7 @@ from itertools import combinations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from glosswork.llm import shingles
+from glosswork.llm import shingles, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -72,6 +72,17 @@ def test_stage_drops_near_copies_of_similarity_point_eight(spark):
     assert sorted(r["doc_id"] for r in kept) == [0, 2]
 
 
+def test_fingerprints_within_two_bits_meet_without_bands(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "band_hashes", lambda hashes, params: [])
+    words = [f"w{i}" for i in range(1000)]
+    texts = [*edited_texts(), *(" ".join([*words, last]) for last in "abcdef")]
+    fps, sets = [simhash.simhash64(t) for t in texts], [word_sets(t) for t in texts]
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if (fps[a] ^ fps[b]).bit_count() <= 2 and similarity(sets[a], sets[b]) >= 0.8]
+    group = {r["id"]: r["component_id"] for r in shingles.near_duplicate_groups(frame(spark, texts)).collect()}
+    assert any(fps[a] != fps[b] for a, b in near) and any(fps[a] == fps[b] and sets[a] != sets[b] for a, b in near)
+    assert all(group[a] == group[b] for a, b in near)
+
+
 def test_prefix_pairs_lose_no_similar_pair(spark):
     rng = random.Random(37)
     base = [rng.sample(range(1000), rng.choice([5, 12, 40])) for _ in range(6)]
