@@ -177,31 +177,32 @@ def append_feedback(records: DataFrame, path: str) -> None:
     records.select(F.to_json(F.struct(*records.columns)).alias("value")).write.mode("append").text(path)
 
 
-def unwrapped(value: Column, kind: DataType) -> Column:
-    """The plain value of a typed wrapper (a VARIANT such as {"stringValue": "x"} or {"arrayValue": {"values": [...]}}).
+def unwrapped(value: Column, kind: DataType, path: str = "$") -> Column:
+    """The plain value of the typed wrapper (such as {"stringValue": "x"} or {"arrayValue": {"values": [...]}}) at ``path`` of a VARIANT.
 
     Wrappers may lie in maps and arrays to any depth that ``kind`` declares. Whole numbers may stand in for others; a
-    nullValue, an absent field, or a wrapper of another kind give null.
+    nullValue, an absent field, or a wrapper of another kind give null. Values are read by their whole path from the nearest
+    array element or map entry, so no level between is copied to a VARIANT of its own.
     """
-    at = lambda path, ddl: F.try_variant_get(value, path, ddl)
+    at = lambda step, ddl: F.try_variant_get(value, path + step, ddl)
     if isinstance(kind, StructType):
-        fields = [unwrapped(at(f"$.mapValue.fields['{f.name}']", "variant"), f.dataType).alias(f.name) for f in kind]
-        return F.when(at("$.mapValue", "variant").isNotNull(), F.struct(*fields))
+        fields = [unwrapped(value, f.dataType, f"{path}.mapValue.fields['{f.name}']").alias(f.name) for f in kind]
+        return F.when(at(".mapValue", "variant").isNotNull(), F.struct(*fields))
     if isinstance(kind, MapType):
-        entries = F.coalesce(at("$.mapValue.fields", "map<string, variant>"), F.expr("cast(map() as map<string, variant>)"))
-        return F.when(at("$.mapValue", "variant").isNotNull(), F.transform_values(entries, lambda _, v: unwrapped(v, kind.valueType)))
+        entries = F.coalesce(at(".mapValue.fields", "map<string, variant>"), F.expr("cast(map() as map<string, variant>)"))
+        return F.when(at(".mapValue", "variant").isNotNull(), F.transform_values(entries, lambda _, v: unwrapped(v, kind.valueType)))
     if isinstance(kind, ArrayType):
-        values = F.coalesce(at("$.arrayValue.values", "array<variant>"), F.expr("cast(array() as array<variant>)"))
-        return F.when(at("$.arrayValue", "variant").isNotNull(), F.transform(values, lambda x: unwrapped(x, kind.elementType)))
-    number = at("$.integerValue", "string")
+        values = F.coalesce(at(".arrayValue.values", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+        return F.when(at(".arrayValue", "variant").isNotNull(), F.transform(values, lambda x: unwrapped(x, kind.elementType)))
+    number = at(".integerValue", "string")
     if isinstance(kind, FractionalType):
-        return F.coalesce(at("$.doubleValue", "string"), number).try_cast(kind)
+        return F.coalesce(at(".doubleValue", "string"), number).try_cast(kind)
     if isinstance(kind, IntegralType):
         return number.try_cast(kind)
     name = {"boolean": "booleanValue", "timestamp": "timestampValue", "date": "timestampValue"}.get(kind.typeName())
     if name is not None:
-        return at(f"$.{name}", "string").try_cast(kind)
-    return F.coalesce(at("$.stringValue", "string"), at("$.timestampValue", "string"))
+        return at(f".{name}", "string").try_cast(kind)
+    return F.coalesce(at(".stringValue", "string"), at(".timestampValue", "string"))
 
 
 def ingest_typed_export(rows: DataFrame, raw: str, fields: dict[str, str]) -> DataFrame:
@@ -211,7 +212,7 @@ def ingest_typed_export(rows: DataFrame, raw: str, fields: dict[str, str]) -> Da
     """
     kinds = StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in fields.items()))
     parsed = rows.withColumn("_doc", F.try_parse_json(raw))
-    plain = [unwrapped(F.try_variant_get("_doc", f"$.fields['{f.name}']", "variant"), f.dataType).alias(f.name) for f in kinds]
+    plain = [unwrapped(F.col("_doc"), f.dataType, f"$.fields['{f.name}']").alias(f.name) for f in kinds]
     return parsed.select(*[c for c in rows.columns if c != raw], *plain)
 
 

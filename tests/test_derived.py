@@ -251,3 +251,12 @@ def test_references_meet_at_their_ends_in_one_shuffle(spark):
     assert set(map(tuple, L.fuzzy_ref_lookup(a, c, prefixes).collect())) == want
     by_tail = L._hits_by_tail(a, c, ["unit_id", "line_no"], prefixes)
     assert by_tail._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1 and by_tail._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_wrappers_are_read_by_whole_paths(spark):
+    inner = {"mapValue": {"fields": {"n": {"integerValue": "3"}, "x": {"nullValue": None}, "l": {"arrayValue": {"values": [{"stringValue": "a"}]}}}}}
+    docs = [{"o": {"mapValue": {"fields": {"p": inner}}}}, {"o": {"mapValue": {"fields": {"p": {"stringValue": "no map"}}}}}, {"o": {"mapValue": {}}}, {"o": {"stringValue": "a"}}, {}]
+    rows = spark.createDataFrame([(json.dumps({"fields": x}),) for x in docs], "raw string")
+    found = R.ingest_typed_export(rows, "raw", {"o": "struct<p: struct<n: bigint, x: double, l: array<string>>>"})
+    assert [r["o"] and r["o"].asDict(True) for r in found.collect()] == [{"p": {"n": 3, "x": None, "l": ["a"]}}, {"p": None}, {"p": None}, None, None]
+    assert "try_variant_get(try_variant_get" not in found._jdf.queryExecution().analyzed().toString()
