@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, FractionalType, IntegralType, MapType, StructField, StructType
 
@@ -264,6 +265,9 @@ def answer_of(text: str | None) -> str | None:
     return None
 
 
+_SLICE = 64
+
+
 def ingest_model_output(rows: DataFrame, raw: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(parsed, quarantined): the JSON of raw answers, parsed by ``schema``; an array at top level gives a row an element.
 
@@ -271,12 +275,15 @@ def ingest_model_output(rows: DataFrame, raw: str, schema: str) -> tuple[DataFra
     object, else array; then the same of the answer with curly quotes and trailing commas repaired outside strings.
     Objects that do not fit the schema, also one of an array, send the whole answer to quarantine with its text, as do
     answers without JSON and JSON that is neither object nor array. Of repeated keys the last counts. An empty array
-    gives no rows. Strings are found by one pass over the text, in Arrow batches; the schema is applied by Spark.
+    gives no rows. Strings are found by one pass over the text, in slices of Arrow batches, so that a worker holds few texts
+    beside its batch; the schema is applied by Spark.
     """
 
-    @F.pandas_udf("string")
-    def answers(texts: pd.Series) -> pd.Series:
-        return texts.map(answer_of, na_action="ignore")
+    @F.arrow_udf("string")
+    def answers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for at in range(0, len(texts), _SLICE):
+                yield pa.array([None if t is None else answer_of(t) for t in texts.slice(at, _SLICE).to_pylist()], pa.string())
 
     listed = F.concat(F.lit('{"answers": '), answers(F.col(raw)), F.lit("}"))
     kind = f"answers array<struct<{schema}>>, _corrupt string"

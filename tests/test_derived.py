@@ -260,3 +260,11 @@ def test_wrappers_are_read_by_whole_paths(spark):
     found = R.ingest_typed_export(rows, "raw", {"o": "struct<p: struct<n: bigint, x: double, l: array<string>>>"})
     assert [r["o"] and r["o"].asDict(True) for r in found.collect()] == [{"p": {"n": 3, "x": None, "l": ["a"]}}, {"p": None}, {"p": None}, None, None]
     assert "try_variant_get(try_variant_get" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_answers_are_cut_into_slices_of_a_batch(spark):
+    texts = [None if i % 50 == 7 else "no answer" if i % 50 == 8 else f'Well: {{"a": "x{i}",}} so' for i in range(3 * R._SLICE + 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, raw string").coalesce(1)
+    parsed, quarantined = R.ingest_model_output(df, "raw", "a string")
+    assert {(r["id"], r["a"]) for r in parsed.collect()} == {(i, f"x{i}") for i, t in enumerate(texts) if t and t != "no answer"}
+    assert {r["id"] for r in quarantined.collect()} == {i for i in range(len(texts)) if i % 50 in (7, 8)}
