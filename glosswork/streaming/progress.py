@@ -1,58 +1,78 @@
-"""Live views of running jobs: the newest messages of each run in keyed state, with timers that end a finished run."""
+"""Live views of running jobs: the newest messages of each run, kept by run, with a clock that ends a finished run."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from glosswork.streaming.corrections import run_available
 from glosswork.streaming.views import INPUT, Views
 
 LOG = "run_id bigint, seq bigint, ts timestamp, msg string"
-_STATE = "seqs array<bigint>, seconds array<bigint>, micros array<bigint>, msgs array<string>"
-_TAIL = "run_id bigint, live boolean, last_ts timestamp, last_msg string, seqs array<bigint>, msgs array<string>"
+TAIL = "run_id bigint, live boolean, last_ts timestamp, last_msg string, seqs array<bigint>, msgs array<string>"
 
 
-def live_tails(log: DataFrame, keep: int = 200, quiet_seconds: int = 30, done: str = "purchase", lateness: str = "1 hour") -> DataFrame:
-    """A stream of (run_id, live, last_ts, last_msg, seqs, msgs) of a stream of messages (run_id, seq, ts, msg).
+@dataclass(frozen=True)
+class Tails:
+    """What ``follow_tails`` keeps of a stream of messages (run_id, seq, ts, msg); see ``live_tails``."""
 
-    A run's row comes whenever it has new messages: its newest ``keep`` ones, newest first, whatever the order of
-    arrival. Once the watermark is more than ``quiet_seconds`` past the last message of a run that is ``done``, a last row
-    with live = false comes and its state goes; a run that comes back later starts a new tail. Messages more than
-    ``lateness`` behind the newest may be left out. State holds at most ``keep`` messages a run.
+    log: DataFrame
+    keep: int
+    quiet_seconds: int
+    done: str
+    lateness: str
+
+
+def live_tails(log: DataFrame, keep: int = 200, quiet_seconds: int = 30, done: str = "purchase", lateness: str = "1 hour") -> Tails:
+    """The tails (run_id, live, last_ts, last_msg, seqs, msgs) of a stream of messages (run_id, seq, ts, msg).
+
+    A run has its newest ``keep`` messages, newest first, whatever the order of arrival. Once the watermark, which is
+    ``lateness`` behind the newest message of all, is more than ``quiet_seconds`` past the last message of a run that is
+    ``done``, live is false; a run that comes back later starts a new tail. Late messages count like others.
     """
+    return Tails(log, keep, quiet_seconds, done, lateness)
 
-    def merge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = list(zip(*state.get, strict=True)) if state.exists else []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            for batch in batches:
-                moments = batch["ts"].astype("datetime64[us]").astype("int64")
-                rows += zip(batch["seq"], moments // 1_000_000, moments % 1_000_000, batch["msg"], strict=True)
-            rows = sorted(rows, key=lambda r: (r[1], r[2], r[0]), reverse=True)[:keep]
-            seqs, seconds, micros, msgs = (list(c) for c in zip(*rows, strict=True))
-            state.update(([int(x) for x in seqs], [int(x) for x in seconds], [int(x) for x in micros], msgs))
-            if msgs[0] == done:  # goes in the first second that is more than ``quiet_seconds`` later
-                state.setTimeoutTimestamp(max(1000 * (int(seconds[0]) + quiet_seconds + 1) - 1, state.getCurrentWatermarkMs() + 1))
-        last = pd.Timestamp(1_000_000 * int(rows[0][1]) + int(rows[0][2]), unit="us")
-        yield pd.DataFrame(
-            {"run_id": [key[0]], "live": [state.exists], "last_ts": [last], "last_msg": [rows[0][3]], "seqs": [[int(r[0]) for r in rows]], "msgs": [[r[3] for r in rows]]}
-        )
-
-    timed = log.withWatermark("ts", lateness).groupBy("run_id")
-    return timed.applyInPandasWithState(merge, _TAIL, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def follow_tails(tails: DataFrame, root: str, checkpoint: str) -> DataFrame:
-    """Bring the view of the last row of every run below ``root`` up to date with the stream ``tails``; returns it."""
-    view = Views(tails.sparkSession, root, "run_id", [], identity=("run_id",), version="batch")
-    numbered = lambda batch, number: view.apply(batch.withColumn("batch", F.lit(number)), number)
-    run_available(tails, numbered, checkpoint, "update")
-    return view.table(INPUT).drop("batch")
+
+def follow_tails(tails: Tails, root: str, checkpoint: str) -> DataFrame:
+    """Bring the view of the tail of every run below ``root`` up to date with the stream; returns it.
+
+    The view is the state: a micro-batch merges its own newest messages with the stored ones of the runs that it names.
+    ``due`` is the last millisecond of the watermark at which a finished run is live; ``newest`` is a run's newest moment
+    ever, so that the watermark, of all of them, never goes back.
+    """
+    spark = tails.log.sparkSession
+    view = Views(spark, root, "run_id", [], identity=("run_id",), version="batch")
+    sorted_tail = lambda c: F.slice(F.sort_array(c, False), 1, tails.keep)
+
+    def watermark(stored: DataFrame | None) -> int | None:
+        return None if stored is None else stored.agg(F.unix_millis(F.max("newest") - F.expr(f"interval '{tails.lateness}'"))).first()[0]
+
+    def each(batch: DataFrame, number: int) -> None:
+        if number <= view.committed():
+            return
+        stored = view.table(INPUT)
+        clock = watermark(stored)
+        order = Window.partitionBy("run_id").orderBy(F.desc("ts"), F.desc("seq"))
+        last = batch.where("run_id is not null").withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= tails.keep)
+        rows = last.groupBy("run_id").agg(F.max("ts").alias("newest"), sorted_tail(F.collect_list(F.struct("ts", "seq", "msg"))).alias("tail"))
+        if stored is not None:
+            live = F.coalesce(F.col("due") >= F.lit(clock), F.lit(True))
+            before = stored.select("run_id", F.col("newest").alias("_newest"), F.when(live, F.col("tail")).alias("_tail"))
+            merged = F.when(F.col("_tail").isNull(), F.col("tail")).otherwise(sorted_tail(F.concat("tail", "_tail")))
+            rows = rows.join(before, "run_id", "left").select("run_id", F.greatest("newest", "_newest").alias("newest"), merged.alias("tail"))
+        top = F.col("tail")[0]
+        due = 1000 * (F.floor(F.unix_millis(top["ts"]) / 1000) + tails.quiet_seconds + 1) - 1
+        due = F.when(top["msg"] == tails.done, due if clock is None else F.greatest(due, F.lit(clock + 1)))
+        view.apply(rows.withColumns({"due": due, "batch": F.lit(number)}), number)
+
+    run_available(tails.log, each, checkpoint)
+    stored = view.table(INPUT)
+    if stored is None:
+        return spark.createDataFrame([], TAIL)
+    live = F.coalesce(F.col("due") >= F.lit(watermark(stored)), F.lit(True))
+    top = F.col("tail")[0]
+    return stored.select("run_id", live.alias("live"), top["ts"].alias("last_ts"), top["msg"].alias("last_msg"), F.col("tail.seq").alias("seqs"), F.col("tail.msg").alias("msgs"))
 
 
 def recent_with_total(spark: SparkSession, records: DataFrame, root: str, checkpoint: str, n: int = 10) -> DataFrame:

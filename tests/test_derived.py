@@ -268,3 +268,17 @@ def test_answers_are_cut_into_slices_of_a_batch(spark):
     parsed, quarantined = R.ingest_model_output(df, "raw", "a string")
     assert {(r["id"], r["a"]) for r in parsed.collect()} == {(i, f"x{i}") for i, t in enumerate(texts) if t and t != "no answer"}
     assert {r["id"] for r in quarantined.collect()} == {i for i in range(len(texts)) if i % 50 in (7, 8)}
+
+
+def test_tails_are_merged_without_python_state(spark, tmp_path):
+    """Micro-batches of one call: a run ended at the watermark of a batch starts anew in a later one, a late message counts."""
+    start = datetime(2024, 1, 1)
+    parts = ([(1, 0, "purchase"), (2, 2, "purchase")], [(3, 40, "click"), (2, 20, "purchase")], [(1, 39, "purchase"), (3, 10, "late")], [(3, 75, "end")])
+    (tmp_path / "in").mkdir()
+    for part, lines in enumerate(parts):
+        (tmp_path / "in" / f"{part}.json").write_text("\n".join(json.dumps({"run_id": r, "seq": s, "ts": (start + timedelta(seconds=s)).isoformat(), "msg": m}) for r, s, m in lines))
+        os.utime(tmp_path / "in" / f"{part}.json", (1_700_000_000 + part,) * 2)
+    stream = spark.readStream.schema(P.LOG).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = P.follow_tails(P.live_tails(stream, lateness="0 seconds"), str(tmp_path / "view"), str(tmp_path / "check"))
+    assert {r.run_id: (r.live, r.last_msg, r.seqs) for r in got.collect()} == {1: (False, "purchase", [39]), 2: (False, "purchase", [20, 2]), 3: (True, "end", [75, 40, 10])}
+    assert not (tmp_path / "check" / "state").exists()  # the view is the only state
