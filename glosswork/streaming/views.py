@@ -102,13 +102,16 @@ class Views:
         """A stage's rows, or the input's, as of the newest pointer."""
         return self._read(self._pointer(self.committed()), name)
 
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        """The rows dealt by bucket, so that a write makes one file a bucket, not one for each task and bucket."""
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets))).repartition("bucket")
+
     def _write(self, pointer: dict, table: str, number: int, rows: DataFrame, touched: set[str]) -> None:
-        bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)))
-        bucketed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/{table}/batch={number}")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/{table}/batch={number}")
         known = dict(pointer.get(table, {"buckets": {}})["buckets"])
         written = {n.removeprefix("bucket=") for n in self._names("data", table, f"batch={number}") if n.startswith("bucket=")}
         buckets = {k: b for k, b in known.items() if k not in touched} | dict.fromkeys(sorted(written), number)
-        pointer[table] = {"schema": rows.schema.jsonValue(), "buckets": buckets}
+        pointer[table] = {"schema": rows.drop("bucket").schema.jsonValue(), "buckets": buckets}
 
     def _buckets_of(self, keys: DataFrame) -> set[str]:
         found = keys.select(F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("string")).distinct().collect()
@@ -140,15 +143,18 @@ class Views:
                 return
             stored = self._read(pointer, INPUT, touched)
             rows = batch if stored is None else stored.unionByName(batch.select(stored.columns))
-            if self.identity:
-                newest = Window.partitionBy(*self.identity).orderBy(F.desc(self.version))
-                rows = rows.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
+            if self.identity:  # in the partitions of the buckets, so that rows move once
+                newest = Window.partitionBy("bucket", *self.identity).orderBy(F.desc(self.version))
+                rows = self._bucketed(rows).withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
+            else:
+                rows = rows.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)))
             self._write(pointer, INPUT, number, rows, touched)
-            keys = self._fixed(keys)
-            mine = lambda df: None if df is None else df.join(keys, self.key, "left_semi")
-            changed = {INPUT: self._fixed(self._changed(mine(self._read(pointer, INPUT, touched)), mine(stored)))}
-            for stage in self.stages:
-                changed[stage.name] = self._refresh(pointer, stage, number, changed)
+            if self.stages:
+                keys = self._fixed(keys)
+                mine = lambda df: None if df is None else df.join(keys, self.key, "left_semi")
+                changed = {INPUT: self._fixed(self._changed(mine(self._read(pointer, INPUT, touched)), mine(stored)))}
+                for stage in self.stages:
+                    changed[stage.name] = self._refresh(pointer, stage, number, changed)
             self._commit(number, pointer)
             self._forget(number)
         finally:
@@ -166,6 +172,6 @@ class Views:
         made = stage.compute({t: self._read(pointer, t, touched).join(keys, self.key, "left_semi") for t in stage.reads})
         stored = self._read(pointer, stage.name, touched)
         rows = made if stored is None else made.unionByName(stored.join(keys, self.key, "left_anti"))
-        self._write(pointer, stage.name, number, rows, touched)
+        self._write(pointer, stage.name, number, self._bucketed(rows), touched)
         now = self._read(pointer, stage.name, touched).join(keys, self.key, "left_semi")
         return self._fixed(self._changed(now, None if stored is None else stored.join(keys, self.key, "left_semi")))

@@ -282,3 +282,13 @@ def test_tails_are_merged_without_python_state(spark, tmp_path):
     got = P.follow_tails(P.live_tails(stream, lateness="0 seconds"), str(tmp_path / "view"), str(tmp_path / "check"))
     assert {r.run_id: (r.live, r.last_msg, r.seqs) for r in got.collect()} == {1: (False, "purchase", [39]), 2: (False, "purchase", [20, 2]), 3: (True, "end", [75, 40, 10])}
     assert not (tmp_path / "check" / "state").exists()  # the view is the only state
+
+
+def test_a_write_makes_one_file_a_bucket(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id as k", "id % 3 as id", "cast(1 as bigint) as sent", "id as v").repartition(7)
+    views = Views(spark, str(tmp_path / "v"), "k", [Stage("twice", (INPUT,), lambda t: t[INPUT].selectExpr("k", "2 * v as w"))], identity=("k", "id"), version="sent", buckets=5)
+    for number in range(2):
+        views.apply(rows.withColumn("sent", F.lit(number).cast("bigint")), number)
+    for table in (INPUT, "twice"):
+        assert [len(list(b.glob("*.parquet"))) for b in (tmp_path / "v" / "data" / table / "batch=0").glob("bucket=*")] == [1] * 5
+    assert views.table("twice").agg(F.sum("w"), F.count("k")).first()[:] == (4000 * 3999, 4000)
