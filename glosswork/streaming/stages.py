@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from glosswork.sources.scratch import scratch_folder
+from glosswork.sources.scratch import fixed
 from glosswork.streaming.views import INPUT, Views
 
 # The stages in their order; only the last can be taken up again.
@@ -49,11 +49,6 @@ class StagedRun:
         found = self._rows("output")
         return None if found is None else found.select(F.inline("rows"))
 
-    def _fixed(self, rows: DataFrame) -> DataFrame:
-        path = scratch_folder(self.spark, "windows")
-        rows.write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
     def run(self, pending: DataFrame, stop_after: str | None = None) -> None:
         """Bring the windows of ``pending`` to the output. ``stop_after`` breaks off when that stage is written, for tests."""
         done, status = self._rows("output"), self._rows("status")
@@ -62,11 +57,11 @@ class StagedRun:
         last = self.stages[-1][0]
         if status is not None:
             ready = status.where(F.col("stage") == last).select(self.key)
-            ready = self._fixed(ready.join(pending, self.key, "left_semi"))
+            ready = fixed(ready.join(pending, self.key, "left_semi"), "windows")
             if not ready.isEmpty():
                 self._finish(self._rows(last).join(ready, self.key, "left_semi").select(F.inline("rows")))
                 pending = pending.join(ready, self.key, "left_anti")
-        rows = self._fixed(pending)
+        rows = fixed(pending, "windows")
         if rows.isEmpty():
             return
         for name, work in self.stages:

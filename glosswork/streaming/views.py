@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-from glosswork.sources.scratch import scratch_folder
+from glosswork.sources.scratch import fixed
 
 INPUT = "input"
 
@@ -117,11 +117,6 @@ class Views:
         found = keys.select(F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("string")).distinct().collect()
         return {r[0] for r in found}
 
-    def _fixed(self, keys: DataFrame) -> DataFrame:
-        path = scratch_folder(self.spark, "changed-keys")
-        keys.distinct().write.parquet(path)
-        return self.spark.read.schema(keys.schema).parquet(path)
-
     def _changed(self, new: DataFrame, old: DataFrame | None) -> DataFrame:
         """The keys whose rows differ."""
         if old is None:
@@ -150,9 +145,9 @@ class Views:
                 rows = rows.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)))
             self._write(pointer, INPUT, number, rows, touched)
             if self.stages:
-                keys = self._fixed(keys)
+                keys = fixed(keys.distinct(), "changed-keys")
                 mine = lambda df: None if df is None else df.join(keys, self.key, "left_semi")
-                changed = {INPUT: self._fixed(self._changed(mine(self._read(pointer, INPUT, touched)), mine(stored)))}
+                changed = {INPUT: fixed(self._changed(mine(self._read(pointer, INPUT, touched)), mine(stored)).distinct(), "changed-keys")}
                 for stage in self.stages:
                     changed[stage.name] = self._refresh(pointer, stage, number, changed)
             self._commit(number, pointer)
@@ -165,7 +160,7 @@ class Views:
         keys = changed[stage.reads[0]]
         for name in stage.reads[1:]:
             keys = keys.union(changed[name])
-        keys = self._fixed(keys)
+        keys = fixed(keys.distinct(), "changed-keys")
         touched = self._buckets_of(keys)
         if not touched:
             return keys
@@ -174,4 +169,4 @@ class Views:
         rows = made if stored is None else made.unionByName(stored.join(keys, self.key, "left_anti"))
         self._write(pointer, stage.name, number, self._bucketed(rows), touched)
         now = self._read(pointer, stage.name, touched).join(keys, self.key, "left_semi")
-        return self._fixed(self._changed(now, None if stored is None else stored.join(keys, self.key, "left_semi")))
+        return fixed(self._changed(now, None if stored is None else stored.join(keys, self.key, "left_semi")).distinct(), "changed-keys")

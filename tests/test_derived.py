@@ -17,6 +17,7 @@ from glosswork.sources import analyses as R
 from glosswork.sources.unit_files import UnitFilesReader, read_unit_files, write_unit_files
 from glosswork.streaming import progress as P
 from glosswork.streaming.corrections import run_available
+from glosswork.streaming.stages import StagedRun
 from glosswork.streaming.views import INPUT, Stage, Views
 
 ROW = "k long, id long, sent int, v long"
@@ -292,3 +293,13 @@ def test_a_write_makes_one_file_a_bucket(spark, tmp_path):
     for table in (INPUT, "twice"):
         assert [len(list(b.glob("*.parquet"))) for b in (tmp_path / "v" / "data" / table / "batch=0").glob("bucket=*")] == [1] * 5
     assert views.table("twice").agg(F.sum("w"), F.count("k")).first()[:] == (4000 * 3999, 4000)
+
+
+def test_staged_runs_read_the_documents_once(spark, tmp_path, monkeypatch):
+    from glosswork.plans import ingest
+
+    seen, run = [], StagedRun.run
+    monkeypatch.setattr(StagedRun, "run", lambda self, pending, stop_after=None: (seen.append(pending.inputFiles()), run(self, pending, stop_after))[1])
+    got = ingest.r6b(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 7 and not any("documents" in f for files in seen for f in files)
+    assert got.count() == got.select("unit_id").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").count()
