@@ -59,19 +59,24 @@ def padded_slice(steps: DataFrame, units: DataFrame, head: int = 80, least_pad:
     asked = steps.groupBy("unit_id").agg(F.collect_list(F.struct("step_no", squeeze("text").alias("s"))).alias("asked"))
     j = asked.join(units.select("unit_id", squeeze("src").alias("u"), T.words("translation").alias("tr")), "unit_id")
 
-    def part(x: Column) -> Column:
-        at = x["at"]
-        i0 = F.floor((at - 1) / F.length("u") * F.size("tr")).cast("int")
-        i1 = F.floor(F.least((at - 1 + F.length(x["s"])) / F.length("u"), F.lit(1.0)) * F.size("tr")).cast("int")
+    def around(lo: Column, hi: Column) -> Column:
+        return F.array_join(F.slice("tr", lo + 1, F.greatest(hi - lo, F.lit(0))), " ")
+
+    def padded(i0: Column, i1: Column, n: Column) -> Column:
         pad = F.greatest(F.lit(least_pad), i1 - i0)
-        lo, hi = F.greatest(F.lit(0), i0 - pad), F.least(F.size("tr"), i1 + pad)
-        found = F.array_join(F.slice("tr", lo + 1, F.greatest(hi - lo, F.lit(0))), " ")
-        whole = F.array_join("tr", " ")
-        return F.struct(x["step_no"].alias("step_no"), F.when((at > 0) & (F.length(x["s"]) > 0), found).otherwise(whole).alias("translation"))
-
-    # one row a unit, so that its texts are not copied to each of its steps
-    placed = F.transform("asked", lambda x: F.struct(x["step_no"].alias("step_no"), x["s"].alias("s"), F.instr(F.col("u"), F.substring(x["s"], 1, head)).alias("at")))
-    return j.withColumn("placed", placed).select("unit_id", F.inline(F.transform("placed", part)))
+        return T.bind(around, F.greatest(F.lit(0), i0 - pad), F.least(n, i1 + pad))
+
+    def part(x: Column, length: Column, n: Column, whole: Column) -> Column:
+        def found(at: Column) -> Column:
+            i0 = F.floor((at - 1) / length * n).cast("int")
+            i1 = F.floor(F.least((at - 1 + F.length(x["s"])) / length, F.lit(1.0)) * n).cast("int")
+            return F.when((at > 0) & (F.length(x["s"]) > 0), T.bind(lambda i0, i1: padded(i0, i1, n), i0, i1)).otherwise(whole)
+
+        return F.struct(x["step_no"].alias("step_no"), T.bind(found, F.instr(F.col("u"), F.substring(x["s"], 1, head))).alias("translation"))
+
+    # one row a unit, so that its texts are not copied to each of its steps; its length and its whole translation once a unit
+    parts = T.bind(lambda *of: F.transform("asked", lambda x: part(x, *of)), F.length("u"), F.size("tr"), F.array_join("tr", " "))
+    return j.select("unit_id", F.inline(parts))
 
 
 def pieces_after(text: str, after: re.Pattern) -> list[str]:

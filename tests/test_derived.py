@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import os
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
-from glosswork.operators import audit as A, links as L
+from glosswork.operators import alignment, audit as A, links as L, spans as S
 from glosswork.operators.gram_index import GramIndex
 from glosswork.sources import analyses as R
 from glosswork.sources.unit_files import UnitFilesReader, read_unit_files, write_unit_files
@@ -303,3 +304,11 @@ def test_staged_runs_read_the_documents_once(spark, tmp_path, monkeypatch):
     got = ingest.r6b(spark, "/root/testdata/sf0.001")
     assert len(seen) == 7 and not any("documents" in f for files in seen for f in files)
     assert got.count() == got.select("unit_id").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").count()
+
+
+def test_a_padded_slice_measures_its_unit_once(spark):
+    steps = spark.createDataFrame([(1, 1, "a b"), (1, 2, "zz"), (2, 1, ""), (3, 1, None)], "unit_id long, step_no int, text string")
+    units = spark.createDataFrame([(1, "x a b c", "p q r s t"), (2, "", ""), (3, "k", None)], "unit_id long, src string, translation string")
+    got = alignment.padded_slice(steps, units, least_pad=1)
+    assert rows_of(got, "unit_id", "step_no", "translation") == [(1, 1, "p q r s t"), (1, 2, "p q r s t"), (2, 1, ""), (3, 1, None)]
+    assert len(re.findall(r"length\(u#", got._jdf.queryExecution().optimizedPlan().toString())) == 1
