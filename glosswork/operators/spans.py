@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from glosswork.functions.text import bind
+
 
 def by_unit():
     return Window.partitionBy("unit_id")
@@ -163,15 +165,18 @@ def locate_start_lines(steps: DataFrame, lines: DataFrame, head: int = 60, short
     squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
     w = by_unit().orderBy("line_no")
     flat = lines.select("unit_id", "line_no", squeeze("text").alias("t"))
-    starts = flat.withColumn("pos", F.coalesce(F.sum(F.length("t")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
+    sizes = lines.select("unit_id", "line_no", F.length(squeeze("text")).alias("size"))  # before the shuffle, which leaves the texts behind
+    starts = sizes.withColumn("pos", F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
     whole = flat.groupBy("unit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]), "").alias("whole"))
     needle = F.struct("step_no", F.length("n").alias("size"), F.substring("n", 1, head).alias("long"), F.substring("n", 1, short_head).alias("short"))
     needles = steps.select("unit_id", "step_no", squeeze("text").alias("n")).groupBy("unit_id").agg(F.collect_list(needle).alias("needles"))
 
     def place(x: Column) -> Column:
-        found, short = F.instr(F.col("whole"), x["long"]), F.instr(F.col("whole"), x["short"])
-        at = F.when(x["size"] < least, None).when(found > 0, found).when(short > 0, short)
-        return F.struct(x["step_no"].alias("step_no"), at.alias("at"))
+        """The longer needle begins with the shorter, so it is nowhere before it: both take one pass through the text."""
+        whole = F.col("whole")
+        after = lambda p: bind(lambda p, q: F.when(q > 0, q).when(p > 0, p), p, F.when(p > 0, F.call_function("locate", x["long"], whole, p)))
+        at = bind(after, F.instr(whole, x["short"])) if short_head < head else bind(lambda q: F.when(q > 0, q), F.instr(whole, x["long"]))
+        return F.struct(x["step_no"].alias("step_no"), F.when(x["size"] >= least, at).alias("at"))
 
     # one row a unit, so that its text is not copied to each of its steps
     asked = needles.join(whole, "unit_id", "left").select("unit_id", F.inline(F.transform("needles", place)))

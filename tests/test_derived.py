@@ -312,3 +312,22 @@ def test_a_padded_slice_measures_its_unit_once(spark):
     got = alignment.padded_slice(steps, units, least_pad=1)
     assert rows_of(got, "unit_id", "step_no", "translation") == [(1, 1, "p q r s t"), (1, 2, "p q r s t"), (2, 1, ""), (3, 1, None)]
     assert len(re.findall(r"length\(u#", got._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def test_both_needles_take_one_pass(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    lines = [(u, i, text(rng.randrange(0, 9))) for u in range(25) for i in range(1, 9)]
+    steps = [(u, i, text(rng.randrange(2, 9))) for u in range(25) for i in range(1, 13)]
+    flat = lambda t: t.replace(" ", "")
+    args = [spark.createDataFrame(x, f"unit_id long, {n} int, text string") for x, n in ((steps, "step_no"), (lines, "line_no"))]
+    for head, short in ((6, 3), (3, 3), (2, 4)):
+        want = []
+        for u, k, t in steps:
+            own = [flat(x) for v, _, x in sorted(lines) if v == u]
+            at = next((p for p in ("".join(own).find(flat(t)[:n]) for n in (head, short)) if p >= 0), None) if len(flat(t)) >= 2 else None
+            want.append((u, k, None if at is None else max(i + 1 for i in range(len(own)) if len("".join(own[:i])) <= at)))
+        got = S.locate_start_lines(*args, head=head, short_head=short, least=2)
+        assert rows_of(got, "unit_id", "step_no", "line_no") == sorted(want, key=repr)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("instr(whole") == 1 and plan.count("locate(") == (short < head)
