@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from glosswork.sources.scratch import fixed
 
 INPUT = "input"
+_MOMENT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 @dataclass(frozen=True)
@@ -117,11 +118,13 @@ class Views:
         found = keys.select(F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("string")).distinct().collect()
         return {r[0] for r in found}
 
-    def _changed(self, new: DataFrame, old: DataFrame | None) -> DataFrame:
-        """The keys whose rows differ."""
+    def _changed(self, new: DataFrame, old: DataFrame | None, keys: DataFrame) -> DataFrame:
+        """The keys, of ``keys``, whose rows differ; digests stand for the rows, so that these stay where they are."""
+        written = F.to_json(F.struct(*new.columns), {"timestampFormat": _MOMENT, "timestampNTZFormat": _MOMENT.removesuffix("XXX")})
+        digests = lambda df: df.select(self.key, F.sha2(written, 256).alias("digest")).join(keys, self.key, "left_semi")
         if old is None:
-            return new.select(self.key)
-        old = old.select(new.columns)
+            return new.select(self.key).join(keys, self.key, "left_semi")
+        new, old = digests(new), digests(old)
         return new.exceptAll(old).select(self.key).union(old.exceptAll(new).select(self.key))
 
     def apply(self, batch: DataFrame, number: int) -> None:
@@ -146,8 +149,9 @@ class Views:
             self._write(pointer, INPUT, number, rows, touched)
             if self.stages:
                 keys = fixed(keys.distinct(), "changed-keys")
-                mine = lambda df: None if df is None else df.join(keys, self.key, "left_semi")
-                changed = {INPUT: fixed(self._changed(mine(self._read(pointer, INPUT, touched)), mine(stored)).distinct(), "changed-keys")}
+                if self.identity:
+                    keys = fixed(self._changed(self._read(pointer, INPUT, touched), stored, keys).distinct(), "changed-keys")
+                changed = {INPUT: keys}  # without an identity every row is one more, so all keys have changed
                 for stage in self.stages:
                     changed[stage.name] = self._refresh(pointer, stage, number, changed)
             self._commit(number, pointer)
@@ -168,5 +172,4 @@ class Views:
         stored = self._read(pointer, stage.name, touched)
         rows = made if stored is None else made.unionByName(stored.join(keys, self.key, "left_anti"))
         self._write(pointer, stage.name, number, self._bucketed(rows), touched)
-        now = self._read(pointer, stage.name, touched).join(keys, self.key, "left_semi")
-        return fixed(self._changed(now, None if stored is None else stored.join(keys, self.key, "left_semi")).distinct(), "changed-keys")
+        return fixed(self._changed(self._read(pointer, stage.name, touched), stored, keys).distinct(), "changed-keys")

@@ -331,3 +331,13 @@ def test_both_needles_take_one_pass(spark):
         assert rows_of(got, "unit_id", "step_no", "line_no") == sorted(want, key=repr)
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("instr(whole") == 1 and plan.count("locate(") == (short < head)
+
+
+def test_rows_that_are_only_added_are_not_compared(spark, tmp_path, monkeypatch):
+    views, compare = Views(spark, str(tmp_path / "v"), "k", [Stage("sums", (INPUT,), lambda t: t[INPUT].groupBy("k").agg(F.sum("v").alias("total")))], buckets=3), []
+    changed = Views._changed
+    monkeypatch.setattr(Views, "_changed", lambda self, new, *rest: (compare.append(new.columns), changed(self, new, *rest))[1])
+    views.apply(spark.createDataFrame([(1, 1), (2, 5)], "k long, v long"), 0)
+    views.apply(spark.createDataFrame([(1, 7), (1, 1), (None, 3)], "k long, v long"), 1)
+    assert rows_of(views.table("sums"), "k", "total") == [(1, 9), (2, 5)] and rows_of(views.table(INPUT), "k", "v") == [(1, 1), (1, 1), (1, 7), (2, 5)]
+    assert compare == [["k", "total"]] * 2  # the stage's rows alone
