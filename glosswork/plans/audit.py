@@ -338,6 +338,6 @@ NEEDLES = ("e", "TI", "the", "ation", "continues_current_li", "in short: user",
 def f3c(spark, d):
     """The search over analyses, each needle through the posting lists of its trigrams."""
     index = GramIndex(spark, scratch_folder(spark, "gram-index"))
-    index.build(A.search_fields(parts_of(spark, d)), ["loose", "exact"])
-    found = [A.search_analyses(index.candidates(x), x, 300).withColumn("needle", F.lit(x)) for x in NEEDLES]
+    index.build(A.search_fields(parts_of(spark, d)), ["loose", "exact"], tier="weight")
+    found = [index.best(x, 300, lambda rows, x=x: A.search_analyses(rows, x, 300)).withColumn("needle", F.lit(x)) for x in NEEDLES]
     return reduce(DataFrame.union, found)

@@ -8,11 +8,12 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
-from glosswork.operators import alignment, audit as A, links as L, spans as S
+from glosswork.operators import alignment, audit as A, gram_index, links as L, spans as S
 from glosswork.operators.gram_index import GramIndex
 from glosswork.sources import analyses as R
 from glosswork.sources.unit_files import UnitFilesReader, read_unit_files, write_unit_files
@@ -133,6 +134,41 @@ def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path):
     assert "PartitionFilters: [_folder" in plan.replace("isnotnull(_folder", "[_folder") or "_folder" in plan.split("PartitionFilters")[1][:200]
 
 
+def test_best_hits_come_from_the_highest_tiers_that_have_enough(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(f"r{i:03}", 0, 0, 0, "title", 3 - i % 3, "".join(rng.choice("abc") for _ in range(12)), "XY" if i % 3 == 1 else "xy" if i % 3 == 0 else None, "", False) for i in range(240)]
+    fields = spark.createDataFrame(rows, "ref string, step_no int, kind int, pos int, field string, weight int, loose string, exact string, lead string, whole boolean")
+    index = GramIndex(spark, str(tmp_path / "index"), folders=7)
+    index.build(fields.repartition(3), ["loose", "exact"], tier="weight")
+    for needle, k, searched in [("a", 40, [80]), ("XY", 30, [80, 160]), ("abc", 1000, None), ("qqq", 5, [0]), ("", 5, [0])]:
+        seen = []
+
+        def search(rows, needle=needle, k=k, seen=seen):
+            seen.append(rows.count())
+            return A.search_analyses(rows, needle, k)
+
+        got = rows_of(index.best(needle, k, search), "ref", "snippet")
+        assert got == rows_of(A.search_analyses(fields, needle, k), "ref", "snippet"), needle
+        if searched is not None:  # "a" is in nearly all texts of the highest tier; "XY" in 80 rows there in the wrong case, so all are searched
+            assert len(seen) == len(searched) and all(n <= most for n, most in zip(seen, searched, strict=True)), (needle, seen)
+
+
+def test_gram_lists_hold_every_gram_once_a_slice(monkeypatch):
+    monkeypatch.setattr(gram_index, "_SLICE", 400)
+    rng = random.Random(13)
+    rare = [chr(c) for c in range(0x100, 0x20000) if not 0xD800 <= c < 0xE000]  # too many for a gram and a place in 63 bits
+    few = [(i * 90 + (i // 300 << 33), i // 50 % 2, *["".join(rng.choice("abΣé😀 \0") for _ in range(rng.randrange(9))) or None for _ in "xy"]) for i in range(900)]
+    for rows in (few, [(7, 0, "".join(rare), "ab")], []):
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], ["_row", "_tier", "x", "y"])
+        found, keys = [], []
+        for out in gram_index._lists([batch]):
+            for r in out.to_pylist():
+                keys.append((r["gram"], r["chunk"]))
+                found += [(r["gram"], r["tier"], (r["chunk"] >> 15 << 15) + place) for place in r["rows"]]
+        assert len(set(keys)) == len(keys) and len(set(found)) == len(found)
+        assert set(found) == {(t[i : i + 3], r[1], r[0]) for r in rows for t in r[2:] if t for i in range(len(t))}
+
+
 def test_tails_do_not_depend_on_the_order_of_arrival(spark, tmp_path):
     start = datetime(2024, 1, 1)
     rows = [(i % 4, i, (start + timedelta(seconds=(i * 37) % 500)).isoformat(), "purchase" if i % 5 == 0 else f"m{i}") for i in range(120)]
