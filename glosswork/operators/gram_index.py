@@ -21,7 +21,7 @@ _SPREAD = 4  # a folder of posting lists is made by so many keys, as some charac
 
 def folded(text: Column) -> Column:
     """Lower case, with one small sigma, so that equal needles fold alike wherever they stand in a word."""
-    return F.translate(F.lower(text), "ς", "σ")
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
 
 
 def _slices(numbers: np.ndarray, tiers: np.ndarray, sizes: np.ndarray):
