@@ -162,26 +162,47 @@ def locate_start_lines(steps: DataFrame, lines: DataFrame, head: int = 60, short
     """The line in which a step's text begins: its first ``head`` characters without white space, else its first
     ``short_head``, are searched in the unit's joined text; a needle shorter than ``least`` gives null.
     """
-    squeeze = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
-    w = by_unit().orderBy("line_no")
-    flat = lines.select("unit_id", "line_no", squeeze("text").alias("t"))
-    sizes = lines.select("unit_id", "line_no", F.length(squeeze("text")).alias("size"))  # before the shuffle, which leaves the texts behind
-    starts = sizes.withColumn("pos", F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
+    flat = lines.select("unit_id", "line_no", _squeezed("text").alias("t"))
+    sizes = lines.select("unit_id", "line_no", F.length(_squeezed("text")).alias("size"))  # before the shuffle, which leaves the texts behind
     whole = flat.groupBy("unit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]), "").alias("whole"))
-    needle = F.struct("step_no", F.length("n").alias("size"), F.substring("n", 1, head).alias("long"), F.substring("n", 1, short_head).alias("short"))
-    needles = steps.select("unit_id", "step_no", squeeze("text").alias("n")).groupBy("unit_id").agg(F.collect_list(needle).alias("needles"))
+    needles = steps.select("unit_id", "step_no", _squeezed("text").alias("n")).groupBy("unit_id").agg(F.collect_list(_needle(F.col("step_no"), F.col("n"), head, short_head)).alias("needles"))
+    # one row a unit, so that its text is not copied to each of its steps
+    asked = needles.join(whole, "unit_id", "left").select("unit_id", F.inline(F.transform("needles", lambda x: _placed(x, F.col("whole"), head, short_head, least))))
+    return _lines_at(asked, sizes)
 
-    def place(x: Column) -> Column:
-        """The longer needle begins with the shorter, so it is nowhere before it: both take one pass through the text."""
-        whole = F.col("whole")
-        after = lambda p: bind(lambda p, q: F.when(q > 0, q).when(p > 0, p), p, F.when(p > 0, F.call_function("locate", x["long"], whole, p)))
-        at = bind(after, F.instr(whole, x["short"])) if short_head < head else bind(lambda q: F.when(q > 0, q), F.instr(whole, x["long"]))
-        return F.struct(x["step_no"].alias("step_no"), F.when(x["size"] >= least, at).alias("at"))
 
-    # one row a unit, so that its text is not copied to each of its steps
-    asked = needles.join(whole, "unit_id", "left").select("unit_id", F.inline(F.transform("needles", place)))
+def locate_in_units(units: DataFrame, head: int = 60, short_head: int = 12, least: int = 10) -> DataFrame:
+    """As ``locate_start_lines``, for units whose ``steps`` and ``lines`` are arrays: a unit is searched in its own row, so no
+    text is shuffled.
+    """
+    whole = F.array_join(F.transform(F.array_sort("lines"), lambda x: _squeezed(x["text"])), "")
+    needles = F.transform("steps", lambda x: bind(lambda n: _needle(x["step_no"], n, head, short_head), _squeezed(x["text"])))
+    placed = bind(lambda whole, needles: F.transform(needles, lambda x: _placed(x, whole, head, short_head, least)), whole, needles)
+    sizes = F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), F.length(_squeezed(x["text"])).alias("size")))
+    return _lines_at(units.select("unit_id", F.inline(placed)), units.select("unit_id", F.inline(sizes)))
+
+
+def _squeezed(text) -> Column:
+    return F.regexp_replace(F.lower(text), r"\s+", "")
+
+
+def _needle(step_no: Column, n: Column, head: int, short_head: int) -> Column:
+    return F.struct(step_no.alias("step_no"), F.length(n).alias("size"), F.substring(n, 1, head).alias("long"), F.substring(n, 1, short_head).alias("short"))
+
+
+def _placed(x: Column, whole: Column, head: int, short_head: int, least: int) -> Column:
+    """Where a needle lies. The longer one begins with the shorter, so it is nowhere before it: both take one pass through the text."""
+    after = lambda p: bind(lambda p, q: F.when(q > 0, q).when(p > 0, p), p, F.when(p > 0, F.call_function("locate", x["long"], whole, p)))
+    at = bind(after, F.instr(whole, x["short"])) if short_head < head else bind(lambda q: F.when(q > 0, q), F.instr(whole, x["long"]))
+    return F.struct(x["step_no"].alias("step_no"), F.when(x["size"] >= least, at).alias("at"))
+
+
+def _lines_at(asked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The line that holds the character ``at``, by the sizes of the lines before it; null where that is null."""
+    w = by_unit().orderBy("line_no")
+    starts = sizes.withColumn("pos", F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
     none = lambda kind: F.lit(None).cast(kind)
-    marks = starts.select("unit_id", F.col("pos").cast("long").alias("at"), F.lit(0).alias("asks"), F.col("line_no").cast("int").alias("line_no"), none(dict(steps.dtypes)["step_no"]).alias("step_no"))
+    marks = starts.select("unit_id", F.col("pos").cast("long").alias("at"), F.lit(0).alias("asks"), F.col("line_no").cast("int").alias("line_no"), none(dict(asked.dtypes)["step_no"]).alias("step_no"))
     questions = asked.select("unit_id", F.col("at").cast("long").alias("at"), F.lit(1).alias("asks"), none("int").alias("line_no"), "step_no")
     order = by_unit().orderBy("at", "asks", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.when(F.col("at").isNotNull(), F.max("line_no").over(order))

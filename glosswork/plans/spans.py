@@ -186,8 +186,12 @@ located as (select a.unit_id, a.step_no, cast(max(p.line_no) as int) as line_no
 """
 
 
+def asked_text(line_no, text):
+    return F.when(line_no % 3 == 0, F.substr(text, F.lit(5))).when(line_no % 3 == 1, F.concat(F.substring(text, 1, 40), F.lit(" zzz"))).otherwise(F.concat(F.lit("zz"), text))
+
+
 def asked_steps(spark, d):
-    return fx(spark, d, "fx_lines").selectExpr("unit_id", "line_no as step_no", "case line_no % 3 when 0 then substr(text, 5) when 1 then concat(substr(text, 1, 40), ' zzz') else concat('zz', text) end as text")
+    return fx(spark, d, "fx_lines").select("unit_id", F.col("line_no").alias("step_no"), asked_text(F.col("line_no"), F.col("text")).alias("text"))
 
 
 @query("i15_locate_start_line", sql(f"with {ASKED}, {LOCATED} select * from located"))

@@ -388,3 +388,74 @@ def test_changed_rows_are_told_by_digests(spark, tmp_path):
     keys = spark.range(1, 8).withColumnRenamed("id", "k")
     changed = views._changed(spark.createDataFrame(new, kind), spark.createDataFrame(old, kind), keys)
     assert sorted({r.k for r in changed.collect()}) == [1, 2, 3, 5, 6]
+
+
+def test_an_input_in_parts_is_not_written_again(spark, tmp_path):
+    seen, rng, known, folder = [], random.Random(5), {}, tmp_path / "v"
+
+    def sums(tables):
+        made = tables[INPUT].groupBy("k").agg(F.sum("v").alias("total"))
+        seen.append(sorted(r[0] for r in made.select("k").collect()))
+        return made
+
+    views = Views(spark, str(folder), "k", [Stage("sums", (INPUT,), sums)], identity=("k", "id"), version="sent", buckets=3, in_parts=True)
+    files = lambda: {f.relative_to(folder): f.stat().st_mtime_ns for f in folder.glob("data/input/batch=*/bucket=*/*.parquet")}
+    for number in range(12):  # rows that are new, newer, stale, sent twice in a batch, or as new as one before with other values
+        batch = [(rng.randrange(7), rng.choice([None, 1, 2]), rng.choice([None, *range(4 * number)]), rng.randrange(99)) for _ in range(6)] if number != 3 else []
+        order = lambda s: -1 if s is None else s
+        for at, (k, i, s, _) in enumerate(batch):
+            batch = [r for j, r in enumerate(batch) if j <= at or (r[0], r[1]) != (k, i) or order(r[2]) != order(s)]  # no ties within a batch
+        before, changed = files(), set()
+        for k, i, s, v in batch:
+            if (k, i) not in known or order(s) > order(known[k, i][0]):
+                known[k, i], changed = (s, v), changed | {k}
+        seen.clear()
+        views.apply(spark.createDataFrame([*batch, (None, 1, 1, 1)], ROW).repartition(2), number)
+        assert seen == ([sorted(changed)] if changed else [])
+        assert rows_of(views.table(INPUT), "k", "id", "sent", "v") == sorted(((*x, *y) for x, y in known.items()), key=repr) and views.table(INPUT).columns == ["k", "id", "sent", "v"]
+        assert rows_of(views.table("sums"), "k", "total") == sorted(((k, sum(v for (x, _), (_, v) in known.items() if x == k)) for k in {k for k, _ in known}), key=repr)
+        after = files()
+        assert all(after[f] == at for f, at in before.items() if f in after)
+        new = [f for f in after if f not in before and f.parts[2] == f"batch={number}"]
+        assert (spark.read.parquet(*(str(folder / f) for f in new)).count() if new else 0) == len(batch)  # what came, and no more
+    assert any("-whole" in f.parts[2] for f in files())  # buckets with more replaced rows than others
+
+
+def test_a_bucket_of_many_parts_becomes_one(spark, tmp_path):
+    views = Views(spark, str(tmp_path / "v"), "k", [Stage("sums", (INPUT,), lambda t: t[INPUT].groupBy("k").agg(F.sum("v").alias("total")))], buckets=1)
+    for number in range(13):
+        views.apply(spark.createDataFrame([(1, number)], "k long, v long"), number)
+    assert rows_of(views.table(INPUT), "v") == sorted(((n,) for n in range(13)), key=repr) and rows_of(views.table("sums"), "k", "total") == [(1, 78)]
+    held = lambda: sorted(p.parent.name for p in (tmp_path / "v" / "data" / INPUT).glob("batch=*/bucket=0"))
+    assert held() == ["batch=10", "batch=11", "batch=12", "batch=9", "batch=9-whole"]
+
+
+def test_units_are_searched_in_their_own_rows(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("aB \t") for _ in range(n)) if rng.random() < 0.95 else None
+    units = [(u, [(i, text(rng.randrange(0, 9))) for i in rng.sample(range(1, 9), 8)], [(i, text(rng.randrange(2, 9))) for i in range(1, rng.randrange(2, 9))]) for u in range(30)]
+    units += [(90, [(1, "")], []), (91, None, [(1, "aaaa")]), (92, [(1, "ab")], None)]
+    df = spark.createDataFrame(units, "unit_id long, lines array<struct<line_no: int, text: string>>, steps array<struct<step_no: int, text: string>>")
+    flat = [df.select("unit_id", F.inline(n)) for n in ("steps", "lines")]
+    for head, short in ((6, 3), (3, 3), (2, 4)):
+        got = S.locate_in_units(df, head=head, short_head=short, least=2)
+        assert rows_of(got, "unit_id", "step_no", "line_no") == rows_of(S.locate_start_lines(*flat, head=head, short_head=short, least=2), "unit_id", "step_no", "line_no")
+
+
+def test_the_chain_keeps_no_arrivals_and_moves_no_texts(spark, tmp_path, monkeypatch):
+    from glosswork.plans import ingest
+    from glosswork.plans.fixtures import spark_view
+    from glosswork.plans.spans import asked_steps
+
+    monkeypatch.setattr(ingest, "scratch_folder", lambda *_: str(tmp_path / "chain"))
+    d = "/root/testdata/sf0.001"
+    made = ingest.unit_documents(spark, d)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    for name, want in (("lines", spark_view(spark, d, "fx_lines")), ("steps", asked_steps(spark, d)), ("spans", spark_view(spark, d, "fx_spans"))):
+        got = made.select("unit_id", F.inline(name))
+        assert sorted(got.columns) == sorted(want.columns) and rows_of(got, *want.columns) == rows_of(want, *want.columns)
+    ingest.r3_chain(spark, d).count()
+    arrived = [len(list((tmp_path / "chain" / "in").glob(p))) for p in ("*.json", "*.json.gz")]
+    sent = spark.read.parquet(str(tmp_path / "chain" / "views" / "data" / "input")).groupBy("batch").agg(F.max("sent")).collect()
+    assert arrived[0] == 0 and sorted(map(tuple, sent)) == [(0, 1), (1, 2), (2, 3)]
+    assert arrived[1] == len(list((tmp_path / "chain" / "in").glob("*.gz"))) <= 2 * spark.sparkContext.defaultParallelism
