@@ -241,12 +241,15 @@ class Views:
     def _refresh(self, pointer: dict, stage: Stage, number: int, changed: dict[str, DataFrame], arrived: DataFrame) -> DataFrame:
         """Compute a stage's rows of the keys that changed in what it reads; returns the keys of which they differ now.
 
-        All changes begin in the input, so a stage that reads it is asked for all keys of ``arrived``, its rows of changed keys.
+        All changes begin in the input, so a stage that reads it is asked for all keys of ``arrived``, its rows of changed keys;
+        what changed in other tables matters to the other stages only.
         """
-        keys = changed[stage.reads[0]]
-        for name in stage.reads[1:]:
-            keys = keys.union(changed[name])
-        keys = fixed(keys.distinct(), "changed-keys")
+        keys = changed[INPUT]
+        if INPUT not in stage.reads:
+            keys = changed[stage.reads[0]]
+            for name in stage.reads[1:]:
+                keys = keys.union(changed[name])
+            keys = fixed(keys.distinct(), "changed-keys")
         touched = self._buckets_of(keys)
         if not touched:
             return keys
@@ -255,4 +258,5 @@ class Views:
         stored = self._read(pointer, stage.name, touched)
         rows = made if stored is None else made.unionByName(stored.join(keys, self.key, "left_anti"))
         self._write(pointer, stage.name, number, self._bucketed(rows), touched)
-        return fixed(self._changed(self._read(pointer, stage.name, touched), stored, keys).distinct(), "changed-keys")
+        differ = self._changed(self._read(pointer, stage.name, touched), stored, keys).distinct()
+        return fixed(differ, "changed-keys") if any(INPUT not in s.reads and stage.name in s.reads for s in self.stages) else differ

@@ -16,6 +16,7 @@ from glosswork.functions import text as T
 from glosswork.operators import alignment, audit as A, gram_index, links as L, spans as S
 from glosswork.operators.gram_index import GramIndex
 from glosswork.sources import analyses as R
+from glosswork.sources.scratch import fixed
 from glosswork.sources.unit_files import UnitFilesReader, read_unit_files, write_unit_files
 from glosswork.streaming import progress as P
 from glosswork.streaming.corrections import run_available
@@ -459,3 +460,16 @@ def test_the_chain_keeps_no_arrivals_and_moves_no_texts(spark, tmp_path, monkeyp
     sent = spark.read.parquet(str(tmp_path / "chain" / "views" / "data" / "input")).groupBy("batch").agg(F.max("sent")).collect()
     assert arrived[0] == 0 and sorted(map(tuple, sent)) == [(0, 1), (1, 2), (2, 3)]
     assert arrived[1] == len(list((tmp_path / "chain" / "in").glob("*.gz"))) <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_stages_that_read_the_input_compare_nothing(spark, tmp_path, monkeypatch):
+    from glosswork.streaming import views as V
+
+    written = []
+    monkeypatch.setattr(V, "fixed", lambda rows, name: (written.append(name), fixed(rows, name))[1])
+    views = Views(spark, str(tmp_path / "v"), "k", [Stage("sums", (INPUT,), lambda t: t[INPUT].groupBy("k").agg(F.sum("v").alias("total"))),
+                  Stage("twice", ("sums", INPUT), lambda t: t["sums"].join(t[INPUT], "k").selectExpr("k", "total + v as w"))], identity=("k",), version="sent", buckets=3, in_parts=True)
+    for number, rows in enumerate(([(1, 0, 1, 5), (2, 0, 1, 6)], [(2, 0, 2, 6), (1, 0, 0, 9)])):
+        views.apply(spark.createDataFrame(rows, ROW), number)
+    assert rows_of(views.table("twice"), "k", "w") == [(1, 10), (2, 12)]
+    assert written == ["row-marks", "changed-keys"] * 2  # none of them for a comparison of a stage's rows
